@@ -69,7 +69,7 @@ def assert_dataframes_approx_equal(
         date_range=_date_range(ref_date_column, start_date, end_date), **options,
     ).pin()
     _print_counts(result, count_nulls, show_detailed_regression)
-    if output_path_name and result.write_report(output_path_name, single_file=True):
+    if output_path_name and result.write_report(output_path_name):
         print(f"the tables differ, see {output_path_name}")
     return result.rows
 

@@ -106,10 +106,15 @@ def restore_with_map(text: Column, names: Column, style: TokenStyle = TokenStyle
     return _interleave(text, style.token_pattern, found)
 
 
-def token_pieces(text: Column, style: TokenStyle = TokenStyle()) -> Column:
-    """The text as ``(gap, word)`` pieces; the last piece has no word."""
-    return F.zip_with(
-        F.split(text, style.token_pattern, -1),
-        token_words(text, style),
-        lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")),
+def restore_with_list(
+    text: Column, words: Column, style: TokenStyle, if_unequal: Column
+) -> Column:
+    """The token-like words of ``text`` replaced, in order, by ``words`` (null for none).
+
+    ``if_unequal`` is the result when their numbers differ.
+    """
+    found = F.size(token_words(text, style))
+    given = F.coalesce(words, F.array().cast("array<string>"))
+    return F.when(text.isNotNull() & (found != F.size(given)), if_unequal).otherwise(
+        _interleave(text, style.token_pattern, given)
     )

@@ -36,6 +36,10 @@ NULL_TEXTS = (
 )
 
 
+# Working column: which cells of a row did not read as their type.
+UNREAD = "_unread_cells"
+
+
 def spark_type(rule: ColumnRule) -> T.DataType:
     try:
         return TYPES[rule.type]
@@ -64,31 +68,64 @@ def _typed(rule: ColumnRule) -> Column:
     return cell.try_cast(dtype)
 
 
-def _check_columns(raw: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> None:
+def checked(raw: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFrame:
+    """Text columns brought to their contract types, other columns left as text.
+
+    Cells that do not read as their type become null, and the names of their columns go
+    into the array ``UNREAD``.
+    """
     missing = [r.name for r in rules if r.name not in raw.columns]
     if missing:
         raise ValueError(f"table {table}: columns missing from the file: {missing}")
+    by_name = {r.name: r for r in rules}
+    columns = [
+        (_typed(by_name[n]) if n in by_name else _cell(n)).alias(n) for n in raw.columns
+    ]
+    unread = [
+        F.when(_cell(r.name).isNotNull() & _typed(r).isNull(), F.lit(r.name))
+        for r in rules if not isinstance(spark_type(r), T.StringType)
+    ]
+    names = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
+    return raw.select(*columns, names.alias(UNREAD))
 
 
 def conform(
     raw: DataFrame, table: str, rules: tuple[ColumnRule, ...], *, dates_as_text: bool = True
 ) -> DataFrame:
-    """Text columns brought to their contract types; other columns stay text.
-
-    Cells that do not read as their type become null; ``violations`` counts them.
-    """
-    _check_columns(raw, table, rules)
-    by_name = {r.name: r for r in rules}
-
-    def shown(name: str) -> Column:
-        if name not in by_name:
-            return _cell(name).alias(name)
-        value = _typed(by_name[name])
-        if dates_as_text and isinstance(spark_type(by_name[name]), T.DateType):
-            value = render_date(value)
-        return value.alias(name)
-
-    return raw.select(*[shown(name) for name in raw.columns])
+    """``raw`` with contract types; cells that do not read as their type are null."""
+    return _shown(checked(raw, table, rules), rules, dates_as_text)
+
+
+def _shown(typed: DataFrame, rules: tuple[ColumnRule, ...], dates_as_text: bool) -> DataFrame:
+    dates = {r.name for r in rules if isinstance(spark_type(r), T.DateType)}
+    return typed.drop(UNREAD).select(
+        *[
+            render_date(column(n)).alias(n) if dates_as_text and n in dates else column(n)
+            for n in typed.columns if n != UNREAD
+        ]
+    )
+
+
+def _table_violations(typed: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFrame:
+    checks = {}
+    for i, rule in enumerate(rules):
+        unread = F.array_contains(UNREAD, rule.name)
+        if not rule.nullable:
+            checks[f"n{i}"] = (rule.name, "not_null", column(rule.name).isNull() & ~unread)
+        if not isinstance(spark_type(rule), T.StringType):
+            checks[f"t{i}"] = (rule.name, "type", unread)
+    counts = typed.agg(
+        F.count("*").alias("rows"), *[F.count_if(c[2]).alias(n) for n, c in checks.items()]
+    )
+    found = [
+        F.struct(
+            F.lit(table).alias("table"), F.lit(name).alias("column"),
+            F.lit(rule).alias("rule"), F.col(count).alias("cells"),
+        )
+        for count, (name, rule, _) in checks.items()
+    ]
+    rows = "array<struct<table:string,column:string,rule:string,cells:bigint>>"
+    return counts.select(F.inline(F.array(*found).cast(rows))).filter("cells > 0")
 
 
 def violations(raw_tables: Mapping[str, DataFrame], contract: Contract) -> DataFrame:
@@ -97,36 +134,17 @@ def violations(raw_tables: Mapping[str, DataFrame], contract: Contract) -> DataF
     ``not_null`` counts empty cells of columns that may not be null, ``type`` cells that do
     not read as the declared type. One aggregate per table covers all its columns.
     """
+    return _all_violations(
+        {table: checked(raw, table, contract[table]) for table, raw in raw_tables.items()},
+        contract,
+    )
 
-    def of(table: str, raw: DataFrame) -> DataFrame:
-        rules = contract[table]
-        _check_columns(raw, table, rules)
-        checks = {}
-        for i, rule in enumerate(rules):
-            if not rule.nullable:
-                checks[f"n{i}"] = (rule.name, "not_null", _cell(rule.name).isNull())
-            if not isinstance(spark_type(rule), T.StringType):
-                unread = _cell(rule.name).isNotNull() & _typed(rule).isNull()
-                checks[f"t{i}"] = (rule.name, "type", unread)
-        counts = raw.agg(
-            F.count("*").alias("rows"), *[F.count_if(c[2]).alias(n) for n, c in checks.items()]
-        )
-        found = F.array(
-            *[
-                F.struct(
-                    F.lit(table).alias("table"), F.lit(name).alias("column"),
-                    F.lit(rule).alias("rule"), F.col(count).alias("cells"),
-                )
-                for count, (name, rule, _) in checks.items()
-            ]
-        )
-        return counts.select(F.inline(found)) if checks else None
 
-    frames = [of(table, raw) for table, raw in raw_tables.items()]
-    frames = [f for f in frames if f is not None]
-    if not frames:
-        raise ValueError("the contract declares nothing to check")
-    return reduce(DataFrame.unionByName, frames).filter("cells > 0")
+def _all_violations(typed: Mapping[str, DataFrame], contract: Contract) -> DataFrame:
+    return reduce(
+        DataFrame.unionByName,
+        [_table_violations(df, table, contract[table]) for table, df in typed.items()],
+    )
 
 
 def read_raw_tables(
@@ -154,18 +172,21 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Check text tables against the contract, then write them typed, one folder each.
 
-    The text is parsed once into the scratch folder; check and output both read that
-    columnar copy. Nothing is written to ``out`` if any table breaks the contract: the
-    error lists every offending column.
+    The text is parsed once, into typed columns in the scratch folder; check and output
+    both read that columnar copy. Nothing is written to ``out`` if any table breaks the
+    contract: the error lists every offending column.
     """
     unknown = sorted(set(raw_tables) - set(contract))
     if unknown:
         raise ValueError(f"tables without a contract: {unknown}")
-    staged = {table: pin(raw, f"raw-{table}") for table, raw in raw_tables.items()}
-    broken = violations(staged, contract).collect()
+    staged = {
+        table: pin(checked(raw, table, contract[table]), f"staged-{table}")
+        for table, raw in raw_tables.items()
+    }
+    broken = _all_violations(staged, contract).collect()
     if broken:
         listed = ", ".join(f"{r['table']}.{r['column']}: {r['cells']} {r['rule']}" for r in broken)
         raise ValueError(f"contract violations: {listed}")
-    typed = {table: conform(raw, table, contract[table]) for table, raw in staged.items()}
-    write_tables(typed, out, fmt=fmt)
-    return typed
+    shown = {table: _shown(df, contract[table], True) for table, df in staged.items()}
+    write_tables(shown, out, fmt=fmt)
+    return shown

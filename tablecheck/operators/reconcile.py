@@ -21,7 +21,7 @@ from tablecheck.operators.standardize import (
     standardize_dates,
     upper_names,
 )
-from tablecheck.plans.copies import pair_copies
+from tablecheck.plans.copies import pair_copies, split_by_repetition
 from tablecheck.plans.folding import unfold
 from tablecheck.plans.joining import fan_out, full_outer
 from tablecheck.plans.keys import HOT_ROWS, KeyProfile, key_counts, profile_keys
@@ -384,10 +384,11 @@ def reconcile(
     differences = type_differences(left, right)
 
     def standardized(df: DataFrame) -> DataFrame:
-        df = standardize_dates(upper_names(df), _upper(date_cols))
+        df, dates = upper_names(df), _upper(date_cols)
         if date_range is not None:
-            df = in_date_range(df, date_range[0].upper(), date_range[1], date_range[2])
-        return df
+            name, start, end = date_range[0].upper(), date_range[1], date_range[2]
+            df = in_date_range(df, name, start, end, as_date=name in dates)
+        return standardize_dates(df, dates)
 
     left, right = standardized(left), standardized(right)
     layout = _layout(
@@ -417,26 +418,30 @@ def reconcile(
                 drawn, rows_left=profile.rows_left, rows_right=profile.rows_right,
                 null_counts=profile.null_counts,
             )
-    profile_hot = profile.hot_rows(hot_rows)
+    many = profile.hot_rows(hot_rows)
 
     cancelled = None
-    if not profile.has_duplicates:
+    if not profile.repeated_keys:
         joined = full_outer(l, r, ks, vs)
     elif on_duplicates == "error":
         raise ValueError(
             f"keys repeat: {profile.duplicated_left} keys on the left, "
             f"{profile.duplicated_right} on the right"
         )
-    elif on_duplicates == "pair":
-        joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, profile_hot)
-    else:
+    elif on_duplicates == "fanout":
         allowed = max_fanout * (profile.sampled_left + profile.sampled_right)
         if profile.pairs > allowed:
             raise ValueError(
                 f"repeated keys would give {profile.pairs} pairs, more than {max_fanout} per "
                 "input row; use on_duplicates='pair'"
             )
-        joined = fan_out(l, r, ks, vs, profile.max_copies, profile_hot)
+        joined = fan_out(l, r, ks, vs, profile.max_copies, many)
+    elif profile.few_repeat:
+        unique, repeated = split_by_repetition(l, r, ks)
+        paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, many)
+        joined = full_outer(*unique, ks, vs).unionByName(paired)
+    else:
+        joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, many)
     return Reconciliation(
         spark=left.sparkSession,
         layout=layout,

@@ -55,17 +55,22 @@ def counted(one_row: DataFrame, names: Iterable[str], value_name: str) -> DataFr
     return one_row.unpivot([], [quoted(n) for n in names], "column", value_name)
 
 
-def in_date_range(df: DataFrame, date_col: str, start: str, end: str) -> DataFrame:
+def in_date_range(
+    df: DataFrame, date_col: str, start: str, end: str, *, as_date: bool = False
+) -> DataFrame:
     """Rows whose date is known and lies in ``[start, end]``.
 
     On a date or timestamp column the filter is a plain comparison, which Spark pushes
-    to the scan; text is parsed first.
+    to the scan; text is parsed first. A timestamp is compared with the first moment of
+    ``end``, or with all of that day if it counts ``as_date``.
     """
     dtype = df.schema[date_col].dataType
-    value = column(date_col)
+    value, first, last = column(date_col), date_literal(start), date_literal(end)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and as_date:
+        return df.filter((value >= first) & (value < F.date_add(last, 1)))
     if not isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         value = parse_date(value, dtype)
-    return df.filter(value.isNotNull() & value.between(date_literal(start), date_literal(end)))
+    return df.filter(value.isNotNull() & value.between(first, last))
 
 
 def latest_date(df: DataFrame, date_col: str) -> DataFrame:

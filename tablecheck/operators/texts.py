@@ -11,16 +11,20 @@ from tablecheck.functions.columns import column
 from tablecheck.functions.tokens import (
     TokenStyle,
     found_terms,
+    restore_with_list,
     restore_with_map,
     token_of,
-    token_pieces,
     token_words,
     tokenize,
 )
 from tablecheck.operators.standardize import counted
+from tablecheck.plans.keys import null_safe
 
 # A dictionary up to this size travels as one map; each lookup walks the map.
 MAP_TERMS = 256
+# A dictionary up to this measured size is broadcast, counting so much per row besides.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 64
 # Restoring by join: a token held by more than this share of all words is hot. At most
 # 1/share tokens are, which bounds what is kept for them.
 HOT_SHARE = 1 / 500
@@ -70,32 +74,35 @@ def restore_text(
     df: DataFrame, text_col: str, dictionary: DataFrame, id_cols: Sequence[str],
     style: TokenStyle = TokenStyle(), strategy: str = "auto",
 ) -> DataFrame:
-    """``(ids, text)`` with the known tokens replaced by their terms.
+    """``df`` with the known tokens of its text column replaced by their terms.
 
-    ``id_cols`` must identify a row. A small dictionary is looked up in place
-    (``"map"``); a larger one is joined to the words of the texts (``"join"``). ``"auto"``
-    counts the dictionary first. A token that stands for several terms gives the first
-    of them in text order.
+    ``id_cols`` must identify a row. A small dictionary is looked up in place (``"map"``).
+    A larger one is joined to the words of the texts (``"join"``): broadcast if its
+    measured size allows, else shuffled. ``"auto"`` measures. A token that stands for
+    several terms gives the first of them in text order.
     """
-    names = dictionary.groupBy("token").agg(F.min("term").alias("term"))
     if strategy not in ("auto", "map", "join"):
         raise ValueError("strategy must be 'auto', 'map' or 'join'")
-    if strategy != "join":
-        # One row more than allowed tells whether the dictionary is small.
-        rows = names.limit(MAP_TERMS + 1).collect()
-        if len(rows) <= MAP_TERMS:
-            return _restore_by_map(df, text_col, rows, id_cols, style)
-        if strategy == "map":
-            raise ValueError(f"more than {MAP_TERMS} terms; use strategy='join'")
-    return _restore_by_join(df, text_col, names, id_cols, style)
-
-
-def _restore_by_map(df, text_col, rows, id_cols, style) -> DataFrame:
-    pairs = [F.lit(x) for r in rows for x in (r["token"], r["term"])]
+    names = dictionary.groupBy("token").agg(F.min("term").alias("term"))
+    size = names.agg(
+        F.count("*").alias("terms"),
+        F.coalesce(F.sum(F.octet_length("term") + F.octet_length("token")), F.lit(0)).alias("bytes"),
+    ).first()
+    if strategy == "map" and size["terms"] > MAP_TERMS:
+        raise ValueError(f"more than {MAP_TERMS} terms; use strategy='join'")
+    if strategy != "join" and size["terms"] <= MAP_TERMS:
+        return _restore_by_map(df, text_col, names, style)
+    small = size["bytes"] + size["terms"] * ROW_BYTES <= BROADCAST_BYTES
+    return _restore_by_join(df, text_col, names, id_cols, style, small)
+
+
+def _restore_by_map(df, text_col, names, style) -> DataFrame:
+    # At most MAP_TERMS rows, counted by the caller.
+    pairs = [F.lit(x) for r in names.collect() for x in (r["token"], r["term"])]
     if not pairs:
-        return df.select(*[column(c) for c in id_cols], column(text_col))
-    text = restore_with_map(column(text_col), F.create_map(*pairs), style)
-    return df.select(*[column(c) for c in id_cols], text.alias(text_col))
+        return df
+    known = F.create_map(*pairs)
+    return df.withColumn(text_col, restore_with_map(column(text_col), known, style))
 
 
 def _hot_words(words: DataFrame) -> list[str]:
@@ -111,36 +118,35 @@ def _hot_words(words: DataFrame) -> list[str]:
     return [r["item"] for r in row["top"] or [] if r["count"] > max(row["n"] * HOT_SHARE, SALTS)]
 
 
-def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
+def _restore_by_join(df, text_col, names, id_cols, style, small) -> DataFrame:
     ids = [column(c) for c in id_cols]
-    words = df.select(F.explode(token_words(column(text_col), style)).alias("word"))
-    hot = _hot_words(words)
-
-    pieces = df.select(*ids, F.posexplode_outer(token_pieces(column(text_col), style))).select(
-        *ids, "pos", "col.gap", "col.word"
-    )
-    # A hot word is dealt over the salts, and its dictionary row repeated for each.
-    dealt = F.pmod(F.xxhash64(*ids, "pos"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(F.lit(0)))
-    repeats = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    by_salt = names.select("token", "term", F.explode(repeats).alias("token_salt"))
-    met = (F.col("word") == F.col("token")) & (F.col("salt") == F.col("token_salt"))
-    known = salted.join(by_salt, met, "left").select(
-        *ids, "pos", F.concat("gap", F.coalesce("term", "word", F.lit(""))).alias("piece")
-    )
-    # One group is the words of one text, which one task held before.
-    whole = known.groupBy(*ids).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("pieces"),
-        F.count_if(F.col("pos") == 0).alias("texts"),
-        F.count_if(F.col("pos").isNull()).alias("null_texts"),
+    words = df.select(*ids, F.posexplode(token_words(column(text_col), style)).alias("pos", "word"))
+    if small:
+        met = F.col("word") == F.col("token")
+        known = words.join(F.broadcast(names), met, "left")
+    else:
+        # A hot word is dealt over the salts, and its dictionary row repeated for each.
+        hot = _hot_words(words)
+        dealt = F.pmod(F.xxhash64(*ids, "pos"), F.lit(SALTS)).cast("int")
+        salted = words.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(0))
+        repeats = F.when(
+            F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
+        ).otherwise(F.array(F.lit(0)))
+        by_salt = names.select("token", "term", F.explode(repeats).alias("token_salt"))
+        met = (F.col("word") == F.col("token")) & (F.col("salt") == F.col("token_salt"))
+        known = salted.join(by_salt, met, "left")
+    # One group is the words of one text, which one task held before. The texts themselves
+    # move once, to meet their words.
+    found = F.struct("pos", F.coalesce("term", "word").alias("name"))
+    lists = known.groupBy(*[c.alias(f"id{i}") for i, c in enumerate(ids)]).agg(
+        F.sort_array(F.collect_list(found))["name"].alias("found_names")
     )
-    text = (
-        F.when(F.col("texts") + F.col("null_texts") != 1, F.raise_error(F.lit(NOT_UNIQUE)))
-        .when(F.col("texts") == 1, F.array_join(F.col("pieces.piece"), ""))
+    on = null_safe(ids, [F.col(f"id{i}") for i in range(len(ids))])
+    error = F.raise_error(F.lit(NOT_UNIQUE)).cast("string")
+    text = restore_with_list(column(text_col), F.col("found_names"), style, error)
+    return df.join(lists, on, "left").select(
+        *[text.alias(c) if c == text_col else column(c) for c in df.columns]
     )
-    return whole.select(*ids, text.alias(text_col))
 
 
 def round_trip_failures(
@@ -152,7 +158,7 @@ def round_trip_failures(
         dictionary = term_dictionary(df, text_col, style)
     tokenized = tokenize_text(df, text_col, style)
     restored = restore_text(tokenized, text_col, dictionary, id_cols, style, strategy)
-    renamed = restored.withColumnRenamed(text_col, "restored")
+    renamed = restored.select(*[column(c) for c in id_cols], column(text_col).alias("restored"))
     original = df.select(*[column(c) for c in id_cols], column(text_col).alias("original"))
     both = original.join(renamed, list(id_cols), "left")
     return both.filter(~F.col("original").eqNullSafe(F.col("restored")))

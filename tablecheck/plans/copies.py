@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.plans.folding import fold, unfold
-from tablecheck.plans.joining import full_outer
-from tablecheck.plans.keys import null_safe
+from tablecheck.plans.keys import key_counts, null_safe
 from tablecheck.session import pin
 
 def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -58,16 +57,19 @@ def _numbered_by_range(df: DataFrame, group: Sequence[str], order: Sequence[str]
 
 
 def number_copies(
-    folded: DataFrame, group: Sequence[str], order: Sequence[str], max_copies: int, hot_rows: int
+    folded: DataFrame, ks: Sequence[str], vs: Sequence[str], max_copies: int, hot_rows: int
 ) -> DataFrame:
-    """Unfold ``folded`` and number the copies of each group in value order.
+    """Unfold ``(keys, from_left, values, copies)`` and number the copies of a key on each
+    side in value order.
 
-    With at most ``hot_rows`` copies per group a window does it; larger groups, at most
-    MAX_HOT_KEYS of them, are numbered in ranges.
+    With at most ``hot_rows`` copies per key a window does it, and the rows stay
+    partitioned by key for what follows; larger groups, at most MAX_HOT_KEYS of them, are
+    numbered in ranges.
     """
-    names = [*group, *order]
+    group = [*ks, "from_left"]
+    names = [*group, *vs]
     if max_copies <= hot_rows:
-        return _numbered(unfold(folded, names, max_copies), group, order)
+        return _numbered(unfold(folded, names, max_copies).repartition(*ks), group, vs)
     pinned = pin(folded, "surplus")
     hot = (
         pinned.groupBy(*group)
@@ -78,7 +80,7 @@ def number_copies(
     on = null_safe([F.col(g) for g in group], [F.col(f"h_{g}") for g in group])
     cold = unfold(pinned.join(F.broadcast(hot), on, "left_anti"), names, hot_rows)
     large = unfold(pinned.join(F.broadcast(hot), on, "left_semi"), names, max_copies)
-    return _numbered(cold, group, order).unionByName(_numbered_by_range(large, group, order))
+    return _numbered(cold, group, vs).unionByName(_numbered_by_range(large, group, vs))
 
 
 def pair_copies(
@@ -87,7 +89,8 @@ def pair_copies(
 ) -> tuple[DataFrame, DataFrame]:
     """The paired remainder, as ``full_outer`` rows, and the rows that cancelled out.
 
-    The second frame is ``(keys, values, copies)``.
+    The second frame is ``(keys, values, copies)``. Two shuffles: whole rows for the
+    counts, and what did not cancel for the pairs.
     """
     folded = fold(left, right, ks, vs)
     n_left, n_right = F.col("n_left"), F.col("n_right")
@@ -97,8 +100,38 @@ def pair_copies(
     surplus = folded.filter(n_left != n_right).select(
         *ks, *vs, (n_left > n_right).alias("from_left"), F.abs(n_left - n_right).alias("copies")
     )
-    numbered = number_copies(surplus, [*ks, "from_left"], vs, max_copies, hot_rows)
-    paired = full_outer(
-        numbered.filter("from_left"), numbered.filter("NOT from_left"), ks, vs, also_on=["copy"]
+    numbered = number_copies(surplus, ks, vs, max_copies, hot_rows)
+    # A struct is never null where the row exists, even if all its values are.
+    row = F.struct(F.lit(True).alias("here"), *vs)
+    paired = numbered.groupBy(*ks, "copy").agg(
+        F.max(F.when(F.col("from_left"), row)).alias("l"),
+        F.max(F.when(~F.col("from_left"), row)).alias("r"),
+    )
+    side = (
+        F.when(F.col("r").isNull(), "left_only")
+        .when(F.col("l").isNull(), "right_only")
+        .otherwise("both")
+    )
+    values = [F.col(f"{mark}.{v}").alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"]
+    return paired.select(*ks, *values, side.alias("side")), cancelled
+
+
+def split_by_repetition(
+    left: DataFrame, right: DataFrame, ks: Sequence[str]
+) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Both sides without, and with only, the keys that repeat on either side.
+
+    For tables known to have few such keys: the caller has counted at most MAX_HOT_KEYS, so
+    they can be broadcast.
+    """
+    repeated = key_counts(left, right, ks).filter("n_left > 1 OR n_right > 1")
+    repeated = pin(repeated.select(*[F.col(k).alias(f"h_{k}") for k in ks]), "repeated")
+    on = null_safe([F.col(k) for k in ks], [F.col(f"h_{k}") for k in ks])
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(repeated), on, how)
+
+    return (
+        (part(left, "left_anti"), part(right, "left_anti")),
+        (part(left, "left_semi"), part(right, "left_semi")),
     )
-    return paired, cancelled

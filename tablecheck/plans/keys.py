@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 # Upper bound on the number of hot keys, hence on what is broadcast for them.
 MAX_HOT_KEYS = 100_000
+# Share of all rows up to which the rows of repeating keys are handled apart.
+FEW_ROWS = 0.1
 
 
 def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -37,13 +39,17 @@ class KeyProfile:
     sampled_right: int
     duplicated_left: int
     duplicated_right: int
+    repeated_keys: int
+    repeated_rows: int
     max_copies: int
     pairs: int
     null_counts: tuple[tuple[int, int], ...]
 
     @property
-    def has_duplicates(self) -> bool:
-        return self.duplicated_left + self.duplicated_right > 0
+    def few_repeat(self) -> bool:
+        """Whether the repeating keys are few enough to broadcast, and hold few rows."""
+        rows = self.sampled_left + self.sampled_right
+        return self.repeated_keys <= MAX_HOT_KEYS and self.repeated_rows <= rows * FEW_ROWS
 
     def hot_rows(self, limit: int) -> int:
         """Rows above which a key is hot, such that at most MAX_HOT_KEYS keys are."""
@@ -60,6 +66,7 @@ def profile_keys(
     """
     kept = F.lit(True) if sampled is None else sampled
     n_left, n_right = F.col("n_left"), F.col("n_right")
+    repeats = kept & ((n_left > 1) | (n_right > 1))
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
@@ -74,6 +81,8 @@ def profile_keys(
             total(F.when(kept, n_right)).alias("sampled_right"),
             F.count_if(kept & (n_left > 1)).alias("duplicated_left"),
             F.count_if(kept & (n_right > 1)).alias("duplicated_right"),
+            F.count_if(repeats).alias("repeated_keys"),
+            total(F.when(repeats, n_left + n_right)).alias("repeated_rows"),
             F.coalesce(F.max(F.when(kept, F.greatest(n_left, n_right))), F.lit(0)).alias("copies"),
             F.coalesce(pairs, F.lit(0)).alias("pairs"),
             *[total(F.when(F.col(k).isNull(), n_left)).alias(f"nulls_left_{k}") for k in ks],
@@ -88,6 +97,8 @@ def profile_keys(
         sampled_right=row["sampled_right"],
         duplicated_left=row["duplicated_left"],
         duplicated_right=row["duplicated_right"],
+        repeated_keys=row["repeated_keys"],
+        repeated_rows=row["repeated_rows"],
         max_copies=row["copies"],
         pairs=int(row["pairs"]),
         null_counts=tuple((row[f"nulls_left_{k}"], row[f"nulls_right_{k}"]) for k in ks),

@@ -15,14 +15,14 @@ def write_rows(
     """Write ``df`` unless it is empty; true when something was written.
 
     A plain path is overwritten. With ``stamped`` the run time is added to the path and an
-    existing folder is an error. ``single_file`` sends all rows through one task: for
-    reports known to be small.
+    existing folder is an error. ``single_file`` sends the rows, once computed, to one
+    task: for reports known to be small.
     """
     if df.isEmpty():
         return False
     if stamped:
         path = f"{path.removesuffix('.csv')}_{datetime.now():%Y-%m-%d_%H-%M-%S}"
-    writer = (df.coalesce(1) if single_file else df).write
+    writer = (df.repartition(1) if single_file else df).write
     writer = writer.mode("errorifexists" if stamped else "overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
     return True

@@ -33,6 +33,17 @@ SELECT l_orderkey,
        l_returnflag
 FROM lineitem"""
 
+OLD_EVENTS = """
+SELECT CASE WHEN event_id % 100 = 0 THEN event_id + 1 ELSE event_id END AS event_id,
+       user_id, event_type, value
+FROM events"""
+
+NEW_EVENTS = f"""
+SELECT event_id, user_id, event_type,
+       CASE WHEN user_id % 3 = 0 THEN value + 0.00001::DOUBLE
+            WHEN user_id % 7 = 0 THEN value + 2 ELSE value END AS value
+FROM ({OLD_EVENTS})"""
+
 ORDER_VALUES = ("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
 ORDER_NUMBERS = ("o_custkey", "o_totalprice")
 LINE_KEYS = ("l_orderkey", "l_linenumber")
@@ -105,18 +116,27 @@ NULL_KEYS = ("o_orderkey", "ref")
 OLD_NULL, NEW_NULL = _null_keys(OLD_ORDERS), _null_keys(NEW_ORDERS)
 
 
-def _paired(rows: str, other: str) -> str:
+def _paired(
+    rows: str, other: str, keys: Sequence[str] = LINE_KEYS, values: Sequence[str] = LINE_VALUES
+) -> str:
     """Copies with no equal copy on the other side, numbered within their key by value."""
-    keys, values = ", ".join(LINE_KEYS), ", ".join(LINE_VALUES)
-    twin = f"row_number() OVER (PARTITION BY {keys}, {values}) AS twin"
-    same = " AND ".join(f"a.{c} = b.{c}" for c in (*LINE_KEYS, *LINE_VALUES, "twin"))
+    by_key, order = ", ".join(keys), ", ".join(f"{v} NULLS FIRST" for v in values)
+    twin = f"row_number() OVER (PARTITION BY {by_key}, {', '.join(values)}) AS twin"
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in (*keys, *values, "twin"))
     return (
-        f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {values}) AS nth FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY {by_key} ORDER BY {order}) AS nth FROM ("
         f"SELECT a.* FROM (SELECT *, {twin} FROM ({rows})) a "
         f"ANTI JOIN (SELECT *, {twin} FROM ({other})) b ON {same})"
     )
 
 
+def paired(
+    old: str, new: str, keys: Sequence[str], values: Sequence[str], numbers: Sequence[str]
+) -> str:
+    left, right = _paired(old, new, keys, values), _paired(new, old, keys, values)
+    return compared(left, right, keys, values, numbers, also_on=" AND l.nth = r.nth")
+
+
 def _equal_lines() -> str:
     """Copies that do have an equal copy on the other side, as report rows."""
     both = f"SELECT * FROM ({OLD_LINES}) INTERSECT ALL SELECT * FROM ({NEW_LINES})"
@@ -127,10 +147,7 @@ def _equal_lines() -> str:
     return f"SELECT {', '.join(columns)}, 'both' AS _SIDE FROM ({both})"
 
 
-PAIRED_LINES = compared(
-    _paired(OLD_LINES, NEW_LINES), _paired(NEW_LINES, OLD_LINES), LINE_KEYS, LINE_VALUES,
-    LINE_NUMBERS, also_on=" AND l.nth = r.nth",
-)
+PAIRED_LINES = paired(OLD_LINES, NEW_LINES, LINE_KEYS, LINE_VALUES, LINE_NUMBERS)
 FANNED_LINES = compared(OLD_LINES, NEW_LINES, LINE_KEYS, LINE_VALUES, LINE_NUMBERS)
 
 IN_SAMPLE = "('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10000 < 1000"
@@ -246,6 +263,20 @@ ORACLES: dict[str, str] = {
     "reconcile_duplicate_keys": mismatches(PAIRED_LINES, LINE_VALUES),
     "reconcile_duplicate_keep_equal": f"{PAIRED_LINES} UNION ALL {_equal_lines()}",
     "reconcile_duplicate_fanout": mismatches(FANNED_LINES, LINE_VALUES),
+    "reconcile_few_duplicates": mismatches(
+        paired(
+            OLD_EVENTS, NEW_EVENTS, ["event_id"], ("event_type", "user_id", "value"),
+            ("user_id", "value"),
+        ),
+        ("event_type", "user_id", "value"),
+    ),
+    "reconcile_hot_key": mismatches(
+        paired(
+            f"SELECT * EXCLUDE (ref) FROM ({OLD_NULL})", f"SELECT * EXCLUDE (ref) FROM ({NEW_NULL})",
+            ["o_orderkey"], ORDER_VALUES, ORDER_NUMBERS,
+        ),
+        ORDER_VALUES,
+    ),
     "duplicate_key_report": (
         "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem "
         "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"

@@ -18,8 +18,10 @@ from workloads.snapshots import (
     as_text,
     contract_json,
     iso,
+    new_events,
     new_lines,
     new_orders,
+    old_events,
     old_lines,
     old_orders,
     table,
@@ -87,6 +89,21 @@ def reconcile_duplicate_fanout(spark, d):
     return tc.reconcile(old, new, LINE_KEY, on_duplicates="fanout").rows
 
 
+def reconcile_few_duplicates(spark, d):
+    """Repeating keys are few here, so only their rows are paired copy by copy."""
+    return tc.reconcile(old_events(spark, d), new_events(spark, d), ["event_id"]).rows
+
+
+def _keyless(df: DataFrame) -> DataFrame:
+    return with_null_keys(df).drop("ref")
+
+
+def reconcile_hot_key(spark, d):
+    """Two thirds of the rows share the null key, which is numbered in ranges."""
+    old, new = _keyless(old_orders(spark, d)), _keyless(new_orders(spark, d))
+    return tc.reconcile(old, new, KEY, hot_rows=1000).rows
+
+
 def duplicate_key_report(spark, d):
     return tc.duplicate_keys(table(spark, d, "lineitem"), LINE_KEY)
 
@@ -348,7 +365,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         reconcile_rows, reconcile_keep_equal, reconcile_numeric_only, reconcile_text_numbers,
         reconcile_null_keys, reconcile_null_key_text, reconcile_duplicate_keys,
-        reconcile_duplicate_keep_equal, reconcile_duplicate_fanout, duplicate_key_report,
+        reconcile_duplicate_keep_equal, reconcile_duplicate_fanout, reconcile_few_duplicates, reconcile_hot_key,
+        duplicate_key_report,
         duplicate_keys_both_sides, mismatch_counts, key_null_counts, one_sided_rows,
         shape_and_summary, reconcile_date_range, date_range_rows, date_standardize,
         unparsed_dates, date_max, hash_sample, stratified_counts, reconcile_sampled,

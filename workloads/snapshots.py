@@ -66,6 +66,23 @@ def new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def old_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth event takes the next one's number, so a few keys repeat."""
+    number = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.when(number % 100 == 0, number + 1).otherwise(number).alias("event_id"),
+        "user_id", "event_type", "value",
+    )
+
+
+def new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, value = F.col("user_id"), F.col("value")
+    return old_events(spark, sf_dir).withColumn(
+        "value", F.when(user % 3 == 0, value + 0.00001).when(user % 7 == 0, value + 2)
+        .otherwise(value),
+    )
+
+
 def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
