@@ -97,12 +97,25 @@ def token_words(text: Column, style: TokenStyle = TokenStyle()) -> Column:
     return _matches(text, style.token_pattern)
 
 
-def restore_with_map(text: Column, names: Column, style: TokenStyle = TokenStyle()) -> Column:
-    """Tokens replaced by the names a ``token -> name`` map gives; unknown words stay."""
-    found = F.transform(
-        token_words(text, style),
-        lambda word: F.coalesce(F.try_element_at(names, word), word),
-    )
+def bucket_of(word: Column, digits: int) -> Column:
+    """The number that the first hex digits of a token spell."""
+    return F.conv(F.substring(word, 1, digits), 16, 10).cast("int")
+
+
+def restore_with_buckets(
+    text: Column, buckets: Column, digits: int, style: TokenStyle = TokenStyle()
+) -> Column:
+    """Tokens replaced by the names that ``token -> name`` maps give; unknown words stay.
+
+    ``buckets`` is an array of such maps, ordered by ``bucket_of``: looking a word up takes
+    one array access and the walk through one small map.
+    """
+
+    def name_of(word: Column) -> Column:
+        names = F.get(buckets, bucket_of(word, digits))
+        return F.coalesce(F.try_element_at(names, word), word)
+
+    found = F.transform(token_words(text, style), name_of)
     return _interleave(text, style.token_pattern, found)
 
 

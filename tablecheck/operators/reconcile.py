@@ -245,12 +245,16 @@ class Reconciliation:
     @property
     def summary(self) -> DataFrame:
         """One row of totals and the verdict, from one pass over the comparison."""
+        return self._totals().drop(*self.layout.flags)
+
+    def _totals(self) -> DataFrame:
+        """The summary, and beside it the number of false flags per value column."""
         side = F.col("side")
         totals = self.compared.agg(
-            F.count("*").alias("compared_rows"),
             F.count_if(side == "left_only").alias("left_only"),
             F.count_if(side == "right_only").alias("right_only"),
             F.count_if(self.layout.differs()).alias("mismatched_rows"),
+            *[F.count_if(~F.col(f)).alias(f) for f in self.layout.flags],
         )
         profile = self.profile
         return totals.select(
@@ -260,6 +264,7 @@ class Reconciliation:
             F.lit(len(self.differences)).cast("bigint").alias("schema_differences"),
             F.when(F.col("mismatched_rows") == 0, "identical").otherwise("different")
             .alias("verdict"),
+            *self.layout.flags,
         )
 
     def pin(self) -> Reconciliation:
@@ -276,32 +281,38 @@ class Reconciliation:
             cancelled = pin(cancelled, "equal")
         return replace(self, compared=pin(kept, "compared"), cancelled=cancelled, pinned=True)
 
-    def write_report(self, path: str, **options) -> bool:
-        """Write the report rows if there are any; true when something was written."""
-        rows = self.pin().report(options.pop("null_key_text", None))
-        if options.pop("ordered", False):
+    def write_report(
+        self, path: str, *, ordered: bool = False, null_key_text: str | None = None, **options
+    ) -> bool:
+        """Write the report rows if there are any; true when something was written.
+
+        ``ordered`` sorts them by key, descending. The other options are ``write_rows``'.
+        """
+        rows = self.pin().report(null_key_text)
+        if ordered:
             rows = rows.orderBy(*[column(k).desc() for k in self.layout.keys])
         return write_rows(rows, path, **options)
 
     def assert_equal(self, report_path: str | None = None, check_schema: bool = True) -> dict:
         """Raise ``AssertionError`` unless the tables agree; return the run's totals.
 
-        The comparison itself runs once; everything else reads its differing rows.
+        The comparison runs once; totals and report read its differing rows.
         """
         started = time.time()
         result = self.pin()
-        totals = result.summary.first().asDict()
+        totals = result._totals().first().asDict()
+        false_flags = [totals.pop(f) for f in self.layout.flags]
         problems = []
         if totals["mismatched_rows"]:
-            per_column = {r["column"]: r["mismatches"] for r in result.mismatch_counts.collect()}
+            per_column = dict(zip((f"{v}_COMPARE" for v in self.layout.values), false_flags))
             problems.append(f"{totals['mismatched_rows']} rows differ: {per_column}")
+            if report_path is not None:
+                result.write_report(report_path, skip_empty=False)
         sampled = (self.profile.sampled_left, self.profile.sampled_right)
         if sampled[0] != sampled[1]:
             problems.append(f"row counts differ: {sampled[0]} and {sampled[1]}")
         if check_schema and self.differences:
             problems.append(f"schemas differ: {list(self.differences)}")
-        if report_path is not None:
-            result.write_report(report_path)
         if problems:
             raise AssertionError("tables are not equal; " + "; ".join(problems))
         totals["seconds"] = round(time.time() - started, 2)
@@ -419,10 +430,11 @@ def reconcile(
                 null_counts=profile.null_counts,
             )
     many = profile.hot_rows(hot_rows)
+    null_ks = profile.keys_null_on_both_sides(ks)
 
     cancelled = None
     if not profile.repeated_keys:
-        joined = full_outer(l, r, ks, vs)
+        joined = full_outer(l, r, ks, vs, null_ks)
     elif on_duplicates == "error":
         raise ValueError(
             f"keys repeat: {profile.duplicated_left} keys on the left, "
@@ -435,11 +447,11 @@ def reconcile(
                 f"repeated keys would give {profile.pairs} pairs, more than {max_fanout} per "
                 "input row; use on_duplicates='pair'"
             )
-        joined = fan_out(l, r, ks, vs, profile.max_copies, many)
+        joined = fan_out(l, r, ks, vs, null_ks, profile.max_copies, many)
     elif profile.few_repeat:
         unique, repeated = split_by_repetition(l, r, ks)
         paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, many)
-        joined = full_outer(*unique, ks, vs).unionByName(paired)
+        joined = full_outer(*unique, ks, vs, null_ks).unionByName(paired)
     else:
         joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, many)
     return Reconciliation(

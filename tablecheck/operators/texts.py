@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from tablecheck.functions.columns import column
 from tablecheck.functions.tokens import (
     TokenStyle,
+    bucket_of,
     found_terms,
+    restore_with_buckets,
     restore_with_list,
-    restore_with_map,
     token_of,
     token_words,
     tokenize,
 )
 from tablecheck.operators.standardize import counted
-from tablecheck.plans.keys import null_safe
 
-# A dictionary up to this size travels as one map; each lookup walks the map.
-MAP_TERMS = 256
-# A dictionary up to this measured size is broadcast, counting so much per row besides.
-BROADCAST_BYTES = 64 * 1024 * 1024
-ROW_BYTES = 64
+# A dictionary up to this measured size, counting so much per row besides its texts,
+# travels to the texts as one value.
+LOOKUP_BYTES = 16 * 1024 * 1024
+ROW_BYTES = 32
+BUCKETS = "_name_buckets"
 # Restoring by join: a token held by more than this share of all words is hot. At most
 # 1/share tokens are, which bounds what is kept for them.
 HOT_SHARE = 1 / 500
@@ -76,33 +76,41 @@ def restore_text(
 ) -> DataFrame:
     """``df`` with the known tokens of its text column replaced by their terms.
 
-    ``id_cols`` must identify a row. A small dictionary is looked up in place (``"map"``).
-    A larger one is joined to the words of the texts (``"join"``): broadcast if its
-    measured size allows, else shuffled. ``"auto"`` measures. A token that stands for
-    several terms gives the first of them in text order.
+    A dictionary of at most LOOKUP_BYTES travels to the texts as one lookup table, and no
+    text is shuffled (``"lookup"``). A larger one is joined to the words of the texts
+    (``"join"``); then ``id_cols`` must identify a row. ``"auto"`` measures the dictionary.
+    A token that stands for several terms gives the first of them in text order.
     """
-    if strategy not in ("auto", "map", "join"):
-        raise ValueError("strategy must be 'auto', 'map' or 'join'")
+    if strategy not in ("auto", "lookup", "join"):
+        raise ValueError("strategy must be 'auto', 'lookup' or 'join'")
     names = dictionary.groupBy("token").agg(F.min("term").alias("term"))
-    size = names.agg(
-        F.count("*").alias("terms"),
-        F.coalesce(F.sum(F.octet_length("term") + F.octet_length("token")), F.lit(0)).alias("bytes"),
-    ).first()
-    if strategy == "map" and size["terms"] > MAP_TERMS:
-        raise ValueError(f"more than {MAP_TERMS} terms; use strategy='join'")
-    if strategy != "join" and size["terms"] <= MAP_TERMS:
-        return _restore_by_map(df, text_col, names, style)
-    small = size["bytes"] + size["terms"] * ROW_BYTES <= BROADCAST_BYTES
-    return _restore_by_join(df, text_col, names, id_cols, style, small)
-
-
-def _restore_by_map(df, text_col, names, style) -> DataFrame:
-    # At most MAP_TERMS rows, counted by the caller.
-    pairs = [F.lit(x) for r in names.collect() for x in (r["token"], r["term"])]
-    if not pairs:
-        return df
-    known = F.create_map(*pairs)
-    return df.withColumn(text_col, restore_with_map(column(text_col), known, style))
+    if strategy == "join":
+        return _restore_by_join(df, text_col, names, id_cols, style)
+    length = F.octet_length("term") + F.octet_length("token") + F.lit(ROW_BYTES)
+    size = names.agg(F.count("*").alias("terms"), F.sum(length).alias("bytes")).first()
+    if (size["bytes"] or 0) <= LOOKUP_BYTES:
+        return _restore_by_lookup(df, text_col, names, size["terms"], style)
+    if strategy == "lookup":
+        raise ValueError(f"the dictionary exceeds {LOOKUP_BYTES} bytes; use strategy='join'")
+    return _restore_by_join(df, text_col, names, id_cols, style)
+
+
+def _restore_by_lookup(df, text_col, names, terms, style) -> DataFrame:
+    digits = next(n for n in (1, 2, 3, 4) if n in (4, style.width) or 16**n >= terms)
+    filled = names.groupBy(bucket_of(F.col("token"), digits).alias("bucket")).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "term"))).alias("names")
+    )
+    every = df.sparkSession.range(16**digits).select(F.col("id").cast("int").alias("bucket"))
+    in_order = F.array_sort(
+        F.collect_list(F.struct("bucket", "names")), lambda a, b: a["bucket"] - b["bucket"]
+    )
+    # One row, as large as the dictionary the caller measured. The optimizer folds the
+    # subquery into the expression that uses it, so it is not copied per row.
+    table = every.join(filled, "bucket", "left").agg(in_order["names"].alias("buckets"))
+    text = restore_with_buckets(column(text_col), F.col(BUCKETS), digits, style)
+    return df.withColumn(BUCKETS, table.scalar()).select(
+        *[text.alias(c) if c == text_col else column(c) for c in df.columns]
+    )
 
 
 def _hot_words(words: DataFrame) -> list[str]:
@@ -118,34 +126,30 @@ def _hot_words(words: DataFrame) -> list[str]:
     return [r["item"] for r in row["top"] or [] if r["count"] > max(row["n"] * HOT_SHARE, SALTS)]
 
 
-def _restore_by_join(df, text_col, names, id_cols, style, small) -> DataFrame:
-    ids = [column(c) for c in id_cols]
-    words = df.select(*ids, F.posexplode(token_words(column(text_col), style)).alias("pos", "word"))
-    if small:
-        met = F.col("word") == F.col("token")
-        known = words.join(F.broadcast(names), met, "left")
-    else:
-        # A hot word is dealt over the salts, and its dictionary row repeated for each.
-        hot = _hot_words(words)
-        dealt = F.pmod(F.xxhash64(*ids, "pos"), F.lit(SALTS)).cast("int")
-        salted = words.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(0))
-        repeats = F.when(
-            F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))
-        ).otherwise(F.array(F.lit(0)))
-        by_salt = names.select("token", "term", F.explode(repeats).alias("token_salt"))
-        met = (F.col("word") == F.col("token")) & (F.col("salt") == F.col("token_salt"))
-        known = salted.join(by_salt, met, "left")
+def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
+    # As a struct, ids are equal also where they are null.
+    row = F.struct(*[column(c) for c in id_cols])
+    text = column(text_col)
+    words = df.select(row.alias("row"), F.posexplode(token_words(text, style)).alias("pos", "word"))
+    # A hot word is dealt over the salts, and its dictionary row repeated for each.
+    hot = _hot_words(words)
+    dealt = F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")
+    salted = words.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(0))
+    repeats = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    by_salt = names.select("token", "term", F.explode(repeats).alias("token_salt"))
+    met = (F.col("word") == F.col("token")) & (F.col("salt") == F.col("token_salt"))
     # One group is the words of one text, which one task held before. The texts themselves
     # move once, to meet their words.
     found = F.struct("pos", F.coalesce("term", "word").alias("name"))
-    lists = known.groupBy(*[c.alias(f"id{i}") for i, c in enumerate(ids)]).agg(
+    lists = salted.join(by_salt, met, "left").groupBy("row").agg(
         F.sort_array(F.collect_list(found))["name"].alias("found_names")
     )
-    on = null_safe(ids, [F.col(f"id{i}") for i in range(len(ids))])
     error = F.raise_error(F.lit(NOT_UNIQUE)).cast("string")
-    text = restore_with_list(column(text_col), F.col("found_names"), style, error)
-    return df.join(lists, on, "left").select(
-        *[text.alias(c) if c == text_col else column(c) for c in df.columns]
+    restored = restore_with_list(text, F.col("found_names"), style, error)
+    return df.join(lists, row == F.col("row"), "left").select(
+        *[restored.alias(c) if c == text_col else column(c) for c in df.columns]
     )
 
 

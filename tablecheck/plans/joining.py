@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +16,13 @@ from tablecheck.session import pin
 
 def full_outer(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
-    also_on: Sequence[str] = (),
+    null_ks: Sequence[str], also_on: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows ``(keys, l0.., r0.., side)`` of a full outer join on null-safe keys.
+    """Rows ``(keys, l0.., r0.., side)`` of a full outer join: one exchange per side, and
+    none for a side already bucketed by these keys.
 
-    Null keys meet each other without a stand-in value. Spark turns the null-safe
-    condition into a sort-merge join, one exchange per side.
+    The keys ``null_ks`` may be null on both sides, and null meets null. Elsewhere plain
+    equality is the same, and cheaper.
     """
 
     def renamed(df: DataFrame, mark: str) -> DataFrame:
@@ -30,9 +33,13 @@ def full_outer(
             F.lit(True).alias(f"has_{mark}"),
         )
 
-    condition = null_safe([F.col(f"l{k}") for k in ks], [F.col(f"r{k}") for k in ks])
-    for name in also_on:
-        condition &= F.col(f"l_{name}") == F.col(f"r_{name}")
+    same = [
+        F.col(f"l{k}").eqNullSafe(F.col(f"r{k}")) if k in null_ks
+        else F.col(f"l{k}") == F.col(f"r{k}")
+        for k in ks
+    ]
+    same += [F.col(f"l_{name}") == F.col(f"r_{name}") for name in also_on]
+    condition = reduce(and_, same)
     joined = renamed(left, "l").join(renamed(right, "r"), condition, "full")
     side = (
         F.when(F.col("has_r").isNull(), "left_only")
@@ -48,7 +55,7 @@ def full_outer(
 
 def fan_out(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
-    max_copies: int, hot_rows: int,
+    null_ks: Sequence[str], max_copies: int, hot_rows: int,
 ) -> DataFrame:
     """Like ``full_outer`` when keys repeat: every left copy meets every right copy.
 
@@ -57,7 +64,7 @@ def fan_out(
     smaller side is repeated once per salt.
     """
     if max_copies <= hot_rows:
-        return full_outer(left, right, ks, vs)
+        return full_outer(left, right, ks, vs, null_ks)
 
     larger = F.greatest("n_left", "n_right")
     hot = (
@@ -96,7 +103,7 @@ def fan_out(
     joined = full_outer(
         l.withColumnRenamed("repeated", value_names[-1]),
         r.withColumnRenamed("repeated", value_names[-1]),
-        ks, value_names, also_on=["salt"],
+        ks, value_names, null_ks, also_on=["salt"],
     )
     # A repeated row that met no partner under one salt met its partners under another,
     # because a hot key whose smaller side is empty repeats nothing.

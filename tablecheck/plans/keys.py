@@ -45,6 +45,9 @@ class KeyProfile:
     pairs: int
     null_counts: tuple[tuple[int, int], ...]
 
+    def keys_null_on_both_sides(self, ks: Sequence[str]) -> list[str]:
+        return [k for k, (left, right) in zip(ks, self.null_counts) if left and right]
+
     @property
     def few_repeat(self) -> bool:
         """Whether the repeating keys are few enough to broadcast, and hold few rows."""

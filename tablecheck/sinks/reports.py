@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 
 def write_rows(
     df: DataFrame, path: str, *, fmt: str = "csv", single_file: bool = False,
-    stamped: bool = False,
+    stamped: bool = False, skip_empty: bool = True,
 ) -> bool:
-    """Write ``df`` unless it is empty; true when something was written.
+    """Write ``df``; true when something was written. An empty frame is not written unless
+    ``skip_empty`` is off, which saves looking.
 
     A plain path is overwritten. With ``stamped`` the run time is added to the path and an
     existing folder is an error. ``single_file`` sends the rows, once computed, to one
     task: for reports known to be small.
     """
-    if df.isEmpty():
+    if skip_empty and df.isEmpty():
         return False
     if stamped:
         path = f"{path.removesuffix('.csv')}_{datetime.now():%Y-%m-%d_%H-%M-%S}"

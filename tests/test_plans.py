@@ -49,6 +49,31 @@ def test_no_query_uses_python_rows_or_cross_joins(spark, name):
         assert bad not in text, bad
 
 
+def test_null_keys_on_both_sides_join_null_safe(spark):
+    text = plan(queries.reconcile_null_keys(spark, SF))
+    join = re.search(r"SortMergeJoin (.*) FullOuter", text).group(0)
+    assert join.count("isnull") == 2
+    assert "isnull" not in re.search(
+        r"SortMergeJoin (.*) FullOuter", plan(queries.reconcile_rows(spark, SF))
+    ).group(0)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/orders.parquet")
+    for name, part in (("b_old", df), ("b_new", df.withColumn("o_custkey", F.lit(1)))):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        part.write.bucketBy(4, "o_orderkey").sortBy("o_orderkey").option(
+            "path", str(tmp_path / name)
+        ).saveAsTable(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    result = tc.reconcile(spark.table("b_old"), spark.table("b_new"), ["o_orderkey"])
+    assert "Exchange" not in plan(result.rows)
+    assert result.rows.count() > 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name in ("b_old", "b_new"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_a_key_report_reads_only_keys(spark):
     text = plan(queries.one_sided_rows(spark, SF))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == {"o_orderkey:bigint"}
@@ -88,7 +113,10 @@ def test_few_repeating_keys_are_broadcast(spark):
 
 def test_tokenising_needs_no_shuffle(spark):
     assert "Exchange" not in plan(queries.tokenize_pages(spark, SF))
-    assert "Exchange" not in plan(queries.restore_urls(spark, SF))
+    text = plan(queries.restore_pages(spark, SF))
+    # The lookup table is a subquery inside the expression, not a column of every row.
+    assert "element_at(Subquery" in text and "_name_buckets" not in text
+    assert "Exchange" not in text.split(":  +- Subquery")[0]
     text = plan(tc.term_dictionary(spark.read.parquet(f"{SF}/pages.parquet"), "html"))
     after, before = text.split("Exchange")
     # Terms are distinct before they are hashed and before they move.
@@ -111,8 +139,8 @@ def test_a_whole_check_takes_few_actions(spark, tmp_path):
             tc.reconcile(left, right, ["o_orderkey"]).assert_equal(str(tmp_path / "r"))
 
     _, n = actions(spark, check)
-    # Key profile, comparison, totals, counts per column, emptiness, report.
-    assert n <= 6
+    # Key profile, comparison, totals, report.
+    assert n <= 4
     _, n = actions(spark, lambda: tc.reconcile(left, left, ["o_orderkey"]).assert_equal())
     # Key profile, comparison, totals.
     assert n <= 3

@@ -61,11 +61,9 @@ def test_tokens_and_dictionary(spark, terms):
     assert {r["term"]: r["token"] for r in tc.term_dictionary(df, "t", style).collect()} == names
 
 
-@pytest.mark.parametrize("plan", ["auto", "map", "broadcast", "shuffle", "salted"])
+@pytest.mark.parametrize("plan", ["auto", "lookup", "join", "salted"])
 def test_restore(spark, plan, monkeypatch):
-    strategy = plan if plan in ("auto", "map") else "join"
-    if plan in ("shuffle", "salted"):
-        monkeypatch.setattr("tablecheck.operators.texts.BROADCAST_BYTES", 0)
+    strategy = "join" if plan == "salted" else plan
     if plan == "salted":
         monkeypatch.setattr("tablecheck.operators.texts.SALTS", 3)
         monkeypatch.setattr("tablecheck.operators.texts.HOT_SHARE", 1 / 50)
@@ -78,7 +76,7 @@ def test_restore(spark, plan, monkeypatch):
     assert tc.round_trip_failures(df, "t", ["id"], None, style, strategy).count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["map", "join"])
+@pytest.mark.parametrize("strategy", ["lookup", "join"])
 def test_restore_looks_up_exact_case_and_leaves_the_rest(spark, strategy):
     names = spark.createDataFrame(
         [("first", "deadbeef01"), ("second", "deadbeef01"), ("é_x", "abcdefabcd")],
@@ -97,11 +95,36 @@ def test_restore_needs_identifying_columns(spark):
     names = spark.createDataFrame([("n", "deadbeef01")], "term string, token string")
     with pytest.raises(Exception, match="do not identify a row"):
         tc.restore_text(df, "t", names, ["id"], strategy="join").collect()
-    many = spark.range(300).selectExpr("'t' || id AS term", "lpad(id, 10, '0') AS token")
-    with pytest.raises(ValueError, match="more than 256"):
-        tc.restore_text(df, "t", many, ["id"], strategy="map")
     with pytest.raises(ValueError, match="strategy"):
-        tc.restore_text(df, "t", many, ["id"], strategy="guess")
+        tc.restore_text(df, "t", names, ["id"], strategy="guess")
+    null_ids = spark.createDataFrame([(None, "deadbeef01"), (1, "x"), (2, None)], "id int, t string")
+    restored = tc.restore_text(null_ids, "t", names, ["id"], strategy="join")
+    assert {r["id"]: r["t"] for r in restored.collect()} == {None: "n", 1: "x", 2: None}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 10])
+def test_lookup_of_many_terms(spark, monkeypatch, width):
+    style = tc.TokenStyle(width=width)
+    texts = [f'"name {i}" and "name {i + 1}"' for i in range(0, 700, 2)]
+    df = frame(spark, texts)
+    names = tc.term_dictionary(df, "t", style)
+    out = tc.restore_text(tc.tokenize_text(df, "t", style), "t", names, ["id"], style, "lookup")
+    first = {}
+    for i in range(700):
+        first.setdefault(digest(f"name {i}", width), []).append(f"name {i}")
+    want = [
+        " and ".join(f'"{min(first[digest(f"name {j}", width)])}"' for j in (i, i + 1))
+        for i in range(0, 700, 2)
+    ]
+    if width > 3:
+        assert want == texts
+    # Short tokens also read "and" and the like as tokens where those are hex words.
+    assert by_id(out) == want
+    monkeypatch.setattr("tablecheck.operators.texts.LOOKUP_BYTES", 10)
+    with pytest.raises(ValueError, match="exceeds 10 bytes"):
+        tc.restore_text(df, "t", names, ["id"], style, strategy="lookup")
+    joined = tc.restore_text(tc.tokenize_text(df, "t", style), "t", names, ["id"], style)
+    assert by_id(joined) == want
 
 
 def test_style_options(spark):

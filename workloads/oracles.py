@@ -348,6 +348,7 @@ FROM ({ORDERS})""",
         "GROUP BY 1 HAVING count(*) > 1"
     ),
     "restore_pages": "SELECT page_id, html FROM pages",
+    "restore_pages_by_join": "SELECT page_id, html FROM pages",
     "restore_urls": "SELECT page_id, url FROM pages",
     "round_trip": (
         "SELECT 'texts' AS what, count(*) AS n FROM pages UNION ALL "

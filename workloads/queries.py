@@ -316,16 +316,23 @@ def token_collisions(spark, d):
     return tc.token_collisions(tc.term_dictionary(table(spark, d, "pages"), "html", style))
 
 
-def restore_pages(spark, d):
+def _restored(spark, d, strategy: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "html")
     dictionary = pin(tc.term_dictionary(pages, "html"), "dictionary")
-    return tc.restore_text(
-        tc.tokenize_text(pages, "html"), "html", dictionary, ["page_id"], strategy="join"
-    )
+    tokenized = tc.tokenize_text(pages, "html")
+    return tc.restore_text(tokenized, "html", dictionary, ["page_id"], strategy=strategy)
+
+
+def restore_pages(spark, d):
+    return _restored(spark, d, "auto")
+
+
+def restore_pages_by_join(spark, d):
+    """As with a dictionary too large to travel to the texts."""
+    return _restored(spark, d, "join")
 
 
 def restore_urls(spark, d):
-    """A dictionary of listed terms is small, so it is looked up in place."""
     urls = table(spark, d, "pages").select("page_id", "url")
     dictionary = pin(tc.term_dictionary(urls, "url", TERMS), "dictionary")
     return tc.restore_text(
@@ -373,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reconcile_from_files, report_roundtrip, contract_ingest, contract_tables,
         archive_ingest, contract_violations, partitioned_write, tokenize_pages, tokenize_terms,
         tokenize_all_terms, term_presence, token_dictionary, token_collisions, restore_pages,
+        restore_pages_by_join,
         restore_urls, round_trip, text_files, whole_texts,
     )
 }
