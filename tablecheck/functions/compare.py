@@ -50,7 +50,7 @@ def _numeric(left: T.DataType, right: T.DataType) -> T.DataType:
 
 
 def castable_to_double(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.NumericType, T.StringType, T.BooleanType))
+    return isinstance(dtype, (T.NumericType, T.StringType, T.BooleanType, T.TimestampType))
 
 
 def _within(left: Column, right: Column, tolerance: float) -> Column:

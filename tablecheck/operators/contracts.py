@@ -153,7 +153,8 @@ def read_raw_tables(
 ) -> dict[str, DataFrame]:
     """Delimited files as text columns named by their headers, one frame per table.
 
-    A list of paths names each table by its file name. ``multi_line`` allows line ends inside
+    A list of paths names each table by its file name; files of one table must have the same
+    header. ``multi_line`` allows line ends inside
     quoted cells, at the price of one task per file.
     """
     if not isinstance(paths, Mapping):
@@ -161,7 +162,7 @@ def read_raw_tables(
     return {
         table: spark.read.csv(
             path, sep=sep, header=True, encoding="UTF-8", multiLine=multi_line,
-            inferSchema=False, escape='"',
+            inferSchema=False, escape='"', enforceSchema=False,
         )
         for table, path in paths.items()
     }

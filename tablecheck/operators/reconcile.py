@@ -22,6 +22,7 @@ from tablecheck.operators.standardize import (
     upper_names,
 )
 from tablecheck.plans.copies import pair_copies, split_by_repetition
+from tablecheck.plans.digests import only_changed
 from tablecheck.plans.folding import unfold
 from tablecheck.plans.joining import fan_out, full_outer
 from tablecheck.plans.keys import HOT_ROWS, KeyProfile, key_counts, profile_keys
@@ -373,6 +374,7 @@ def reconcile(
     numeric_only: bool = False,
     max_fanout: float = MAX_FANOUT,
     hot_rows: int = HOT_ROWS,
+    digest_first: bool = False,
 ) -> Reconciliation:
     """Compare two tables row by row on their keys, and column by column on the rest.
 
@@ -385,6 +387,10 @@ def reconcile(
     ``numeric_cols`` names text columns whose numbers are compared with the tolerance
     (``"*"`` for all); ``numeric_only`` turns every value into a double, null if it is no
     number. ``date_range`` is ``(column, start, end)``, both ends included.
+
+    ``digest_first`` is for wide tables that are expected to agree almost everywhere: rows
+    with equal digests of all values are left out before whole rows move, for a second scan.
+    It applies to unique keys without ``keep_equal``.
     """
     if on_duplicates not in ON_DUPLICATES:
         raise ValueError(f"on_duplicates must be one of {ON_DUPLICATES}")
@@ -429,11 +435,14 @@ def reconcile(
                 drawn, rows_left=profile.rows_left, rows_right=profile.rows_right,
                 null_counts=profile.null_counts,
             )
+    prepared = (l, r)
     many = profile.hot_rows(hot_rows)
     null_ks = profile.keys_null_on_both_sides(ks)
 
     cancelled = None
     if not profile.repeated_keys:
+        if digest_first and not keep_equal:
+            l, r = only_changed(l, r, ks, vs, null_ks)
         joined = full_outer(l, r, ks, vs, null_ks)
     elif on_duplicates == "error":
         raise ValueError(
@@ -458,7 +467,7 @@ def reconcile(
         spark=left.sparkSession,
         layout=layout,
         profile=profile,
-        prepared=(l, r),
+        prepared=prepared,
         compared=layout.compared(joined),
         cancelled=cancelled,
         differences=tuple(differences),

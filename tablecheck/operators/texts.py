@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from tablecheck.functions.columns import column
 from tablecheck.functions.tokens import (
     TokenStyle,
-    bucket_of,
     found_terms,
     restore_with_buckets,
     restore_with_list,
@@ -21,10 +21,9 @@ from tablecheck.functions.tokens import (
 from tablecheck.operators.standardize import counted
 
 # A dictionary up to this measured size, counting so much per row besides its texts,
-# travels to the texts as one value.
-LOOKUP_BYTES = 16 * 1024 * 1024
-ROW_BYTES = 32
-BUCKETS = "_name_buckets"
+# travels to the texts as a constant of the plan.
+LOOKUP_BYTES = 2 * 1024 * 1024
+ROW_BYTES = 8
 # Restoring by join: a token held by more than this share of all words is hot. At most
 # 1/share tokens are, which bounds what is kept for them.
 HOT_SHARE = 1 / 500
@@ -76,14 +75,16 @@ def restore_text(
 ) -> DataFrame:
     """``df`` with the known tokens of its text column replaced by their terms.
 
-    A dictionary of at most LOOKUP_BYTES travels to the texts as one lookup table, and no
-    text is shuffled (``"lookup"``). A larger one is joined to the words of the texts
+    A dictionary of at most LOOKUP_BYTES travels to the texts as a constant, and no text is
+    shuffled (``"lookup"``). A larger one is joined to the words of the texts
     (``"join"``); then ``id_cols`` must identify a row. ``"auto"`` measures the dictionary.
     A token that stands for several terms gives the first of them in text order.
     """
     if strategy not in ("auto", "lookup", "join"):
         raise ValueError("strategy must be 'auto', 'lookup' or 'join'")
-    names = dictionary.groupBy("token").agg(F.min("term").alias("term"))
+    # Nothing else can be met by a word of a text.
+    is_token = F.col("token").rlike(f"^[a-fA-F0-9]{{{style.width}}}$")
+    names = dictionary.filter(is_token).groupBy("token").agg(F.min("term").alias("term"))
     if strategy == "join":
         return _restore_by_join(df, text_col, names, id_cols, style)
     length = F.octet_length("term") + F.octet_length("token") + F.lit(ROW_BYTES)
@@ -97,20 +98,14 @@ def restore_text(
 
 def _restore_by_lookup(df, text_col, names, terms, style) -> DataFrame:
     digits = next(n for n in (1, 2, 3, 4) if n in (4, style.width) or 16**n >= terms)
-    filled = names.groupBy(bucket_of(F.col("token"), digits).alias("bucket")).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "term"))).alias("names")
-    )
-    every = df.sparkSession.range(16**digits).select(F.col("id").cast("int").alias("bucket"))
-    in_order = F.array_sort(
-        F.collect_list(F.struct("bucket", "names")), lambda a, b: a["bucket"] - b["bucket"]
-    )
-    # One row, as large as the dictionary the caller measured. The optimizer folds the
-    # subquery into the expression that uses it, so it is not copied per row.
-    table = every.join(filled, "bucket", "left").agg(in_order["names"].alias("buckets"))
-    text = restore_with_buckets(column(text_col), F.col(BUCKETS), digits, style)
-    return df.withColumn(BUCKETS, table.scalar()).select(
-        *[text.alias(c) if c == text_col else column(c) for c in df.columns]
-    )
+    # At most LOOKUP_BYTES come to the driver, as measured by the caller.
+    buckets: list[dict[str, str]] = [{} for _ in range(16**digits)]
+    for row in names.collect():
+        buckets[int(row["token"][:digits], 16)][row["token"]] = row["term"]
+    # JSON makes the table one constant of the plan: it is parsed while planning.
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    restored = restore_with_buckets(column(text_col), table, digits, style)
+    return df.withColumn(text_col, restored)
 
 
 def _hot_words(words: DataFrame) -> list[str]:

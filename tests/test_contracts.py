@@ -96,6 +96,15 @@ def test_contract_errors(spark, contract, tmp_path):
         tc.contract_schema((type(rule)("c", "money", True),))
 
 
+def test_files_of_a_table_must_share_the_header(spark, contract, tmp_path):
+    (tmp_path / "codes").mkdir()
+    (tmp_path / "codes" / "1.csv").write_text("code;note\nx;1\n")
+    (tmp_path / "codes" / "2.csv").write_text("note;code\n1;x\n")
+    raw = tc.read_raw_tables(spark, {"codes": str(tmp_path / "codes")})
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        raw["codes"].collect()
+
+
 def test_multi_line_cells(spark, contract, tmp_path):
     text = 'code\n"two\nlines"\nz\n'
     raw = tc.read_raw_tables(spark, folder(tmp_path, codes=text), multi_line=True)

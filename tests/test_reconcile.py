@@ -104,6 +104,10 @@ def test_text_dates_and_booleans_are_compared_exactly(spark):
     only = tc.reconcile(left, right, ["k"], numeric_only=True).rows.first()
     assert (only["T_COMPARE"], only["D_COMPARE"], only["B_COMPARE"]) == (True, True, False)
     assert only["T_OLD"] is None
+    later = spark.sql("SELECT 1 AS k, TIMESTAMP'2024-01-31 00:00:01' AS t")
+    sooner = spark.sql("SELECT 1 AS k, TIMESTAMP'2024-01-31 00:00:00' AS t")
+    assert tc.reconcile(later, sooner, ["k"], numeric_only=True).rows.count() == 1
+    assert tc.reconcile(later, sooner, ["k"], numeric_only=True, abs_tol=1.5).rows.count() == 0
 
 
 def test_text_numbers(spark):

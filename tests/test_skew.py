@@ -9,6 +9,7 @@ import pytest
 
 import tablecheck as tc
 from tablecheck.plans import copies, folding
+from tablecheck.plans.digests import row_digest
 from tablecheck.plans.folding import unfold
 from tablecheck.plans.keys import KeyProfile
 
@@ -112,6 +113,28 @@ def test_few_repeating_keys_are_handled_apart(spark, monkeypatch):
     assert tc.reconcile(*pair, ["k"], keep_equal=True).rows.count() == 104
 
 
+@pytest.mark.parametrize("limit", [100_000, 2])
+def test_digests_leave_only_changed_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr("tablecheck.plans.digests.MAX_HOT_KEYS", limit)
+    left = [(None, 1, 1.0), ("a", 1, None), ("b", None, 1.0), ("c", 1, 0.0), ("l", 1, 1.0), ("x", 2, 3.0)]
+    right = [(None, 2, 1.0), ("a", 1, 1.0), ("b", None, 1.0), ("c", 1, -0.0), ("r", None, None), ("x", 2, 3.0)]
+    pair = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    result = tc.reconcile(*pair, ["k"], digest_first=True)
+    plain = tc.reconcile(*pair, ["k"])
+    assert bag(result.rows) == bag(plain.rows)
+    assert bag(result.mismatch_counts) == bag(plain.mismatch_counts)
+    assert result.summary.first() == plain.summary.first()
+    assert result.compared.count() == (5 if limit > 2 else 7)
+
+
+def test_digests_tell_values_apart(spark):
+    texts = spark.createDataFrame(
+        [("1", "23"), ("12", "3"), (None, "123"), ("123", None), ("", "123"), ("-", "123"), ("3:123", "")],
+        "v0 string, v1 string",
+    )
+    assert texts.select(row_digest(["v0", "v1"], texts)).distinct().count() == 7
+
+
 def test_unfold_in_steps(spark, monkeypatch):
     monkeypatch.setattr(folding, "UNFOLD_STEP", 10)
     df = spark.createDataFrame([("a", 1), ("b", 10), ("c", 11), ("d", 35)], "k string, copies long")

@@ -237,6 +237,7 @@ VIOLATIONS = " UNION ALL ".join(
 ORACLES: dict[str, str] = {
     "reconcile_rows": mismatches(ORDERS, ORDER_VALUES),
     "reconcile_keep_equal": ORDERS,
+    "reconcile_digest_first": mismatches(ORDERS, ORDER_VALUES),
     "reconcile_numeric_only": mismatches(
         compared(
             _numeric_only(OLD_ORDERS), _numeric_only(NEW_ORDERS), ["o_orderkey"],

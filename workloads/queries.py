@@ -48,6 +48,11 @@ def reconcile_keep_equal(spark, d):
     return _orders(spark, d, keep_equal=True).rows
 
 
+def reconcile_digest_first(spark, d):
+    """Only keys and digests of all rows move; whole rows move where the digests differ."""
+    return _orders(spark, d, digest_first=True).rows
+
+
 def reconcile_numeric_only(spark, d):
     return _orders(spark, d, numeric_only=True).rows
 
@@ -370,7 +375,8 @@ def whole_texts(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        reconcile_rows, reconcile_keep_equal, reconcile_numeric_only, reconcile_text_numbers,
+        reconcile_rows, reconcile_keep_equal, reconcile_digest_first, reconcile_numeric_only,
+        reconcile_text_numbers,
         reconcile_null_keys, reconcile_null_key_text, reconcile_duplicate_keys,
         reconcile_duplicate_keep_equal, reconcile_duplicate_fanout, reconcile_few_duplicates, reconcile_hot_key,
         duplicate_key_report,
