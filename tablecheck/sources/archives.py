@@ -12,57 +12,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.session import scratch_path
-from tablecheck.sources.contracts import table_name
+from tablecheck.sources.contracts import table_of
 
 # Records handed to Spark at a time, so a large member is never held whole.
 BATCH = 10_000
 
 
-def _records(sep: str):
+def _record_reader(sep: str, batch_size: int):
+    # Everything the tasks run is nested here, so executors need not have this package.
+    def rows(member: str, records: list[list[str]], is_header: bool) -> pd.DataFrame:
+        return pd.DataFrame({"member": member, "is_header": is_header, "cells": records})
+
+    def members(archive: zipfile.ZipFile) -> Iterator[pd.DataFrame]:
+        for member in archive.namelist():
+            if not member.endswith(".csv"):
+                continue
+            with archive.open(member) as raw:
+                # A CSV reader, not a split on newlines: quoted cells may hold line ends.
+                text = io.TextIOWrapper(raw, "utf-8-sig", newline="")
+                reader = csv.reader(text, delimiter=sep)
+                header = next(reader, None)
+                if header is not None:
+                    yield rows(member, [header], True)
+                batch: list[list[str]] = []
+                for record in reader:
+                    if record:
+                        batch.append(record)
+                    if len(batch) == batch_size:
+                        yield rows(member, batch, False)
+                        batch = []
+                if batch:
+                    yield rows(member, batch, False)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith(".csv"):
-                            yield from _member(archive, member, sep)
+                    yield from members(archive)
 
     return read
 
 
-def _rows(table: str, records: list[list[str]], is_header: bool = False) -> pd.DataFrame:
-    return pd.DataFrame({"table": table, "is_header": is_header, "cells": records})
-
-
-def _member(archive: zipfile.ZipFile, member: str, sep: str) -> Iterator[pd.DataFrame]:
-    table = table_name(member)
-    with archive.open(member) as raw:
-        # A CSV reader, not a split on newlines: quoted cells may hold line ends.
-        reader = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""), delimiter=sep)
-        header = next(reader, None)
-        if header is None:
-            return
-        yield _rows(table, [header], is_header=True)
-        batch: list[list[str]] = []
-        for record in reader:
-            if record:
-                batch.append(record)
-            if len(batch) == BATCH:
-                yield _rows(table, batch)
-                batch = []
-        if batch:
-            yield _rows(table, batch)
-
-
 def unpack(archives: DataFrame, sep: str = ";") -> DataFrame:
     """``(table, is_header, cells)`` for every record of the ``.csv`` members.
 
     ``archives`` has a binary ``content`` column. Each archive is read by one task, as zip
     allows no other way, and record by record.
     """
-    return archives.select("content").mapInPandas(
-        _records(sep), "table string, is_header boolean, cells array<string>"
+    records = archives.select("content").mapInPandas(
+        _record_reader(sep, BATCH), "member string, is_header boolean, cells array<string>"
     )
+    return records.select(table_of("member").alias("table"), "is_header", "cells")
 
 
 def unpacked_tables(records: DataFrame) -> dict[str, DataFrame]:

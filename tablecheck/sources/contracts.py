@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTRACT_JSON = "map<string,struct<type_map:map<string,struct<type:string,nullable:boolean>>>>"
@@ -30,6 +30,11 @@ def table_name(file_name: str) -> str:
     return file_name.rsplit("/", 1)[-1].split(".", 1)[0]
 
 
+def table_of(file_name: str) -> Column:
+    """``table_name`` of a column."""
+    return F.substring_index(F.substring_index(file_name, "/", -1), ".", 1)
+
+
 def contract_rows(texts: DataFrame) -> DataFrame:
     """``(table, column, type, nullable)`` from a frame with a JSON ``value`` column."""
     tables = texts.select(F.explode(F.from_json("value", CONTRACT_JSON)).alias("table", "spec"))
@@ -37,13 +42,17 @@ def contract_rows(texts: DataFrame) -> DataFrame:
     return columns.select("table", "column", "rule.type", "rule.nullable")
 
 
-def _last_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = []
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                texts.append(archive.read(archive.namelist()[-1]).decode("utf-8"))
-        yield pd.DataFrame({"value": texts})
+def _last_member_reader():
+    # Nested, so executors need not have this package.
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    texts.append(archive.read(archive.namelist()[-1]).decode("utf-8"))
+            yield pd.DataFrame({"value": texts})
+
+    return read
 
 
 def read_contract(spark: SparkSession, path: str) -> Contract:
@@ -53,7 +62,7 @@ def read_contract(spark: SparkSession, path: str) -> Contract:
     """
     if path.endswith(".zip"):
         files = spark.read.format("binaryFile").load(path).select("content")
-        texts = files.mapInPandas(_last_member, "value string")
+        texts = files.mapInPandas(_last_member_reader(), "value string")
     else:
         texts = spark.read.text(path, wholetext=True)
     contract: dict[str, list[ColumnRule]] = {}

@@ -1,13 +1,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
+import subprocess
+import sys
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 
 import tablecheck as tc
-from tablecheck.sources import read_archives, table_name
+from tablecheck.sources import archives, contracts, read_archives, table_name
+from workloads.snapshots import pack_reader
 
 CONTRACT = {
     "loans": {"type_map": {
@@ -134,5 +140,26 @@ def test_archives(spark, contract, tmp_path, rows):
         read_archives(spark, str(tmp_path / "*.zip"))
 
 
+def test_task_code_needs_no_package():
+    readers = [
+        archives._record_reader(";", 2), contracts._last_member_reader(),
+        pack_reader("t"),
+    ]
+    code = "import pickle, sys; [f([]) for f in pickle.load(sys.stdin.buffer)]"
+    done = subprocess.run(
+        [sys.executable, "-c", code], input=cloudpickle.dumps(readers), cwd="/", env={},
+        capture_output=True,
+    )
+    assert done.returncode == 0, done.stderr
+
+
+def test_large_members_come_in_batches():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("t.csv", "a\n" + "".join(f"{i}\n" for i in range(5)))
+    frames = list(archives._record_reader(";", 2)([pd.DataFrame({"content": [buffer.getvalue()]})]))
+    assert [len(f) for f in frames] == [1, 2, 2, 1]
+
+
 def test_table_names():
     assert table_name("a/b/loans.2024.csv") == "loans"

@@ -216,14 +216,9 @@ def report_roundtrip(spark, d):
     )
 
 
-def _ingested(spark, d) -> dict[str, DataFrame]:
-    """Three tables as delimited files, read back and written under a contract."""
+def _ingested(spark, tables: dict[str, tuple[DataFrame, dict]]) -> dict[str, DataFrame]:
+    """Tables as delimited files, read back and written under a contract."""
     base = scratch_path(spark, "ingest")
-    tables = {
-        "orders": (old_orders(spark, d), ORDER_TYPES),
-        "customer": (table(spark, d, "customer"), CUSTOMER_TYPES),
-        "nation": (table(spark, d, "nation"), NATION_TYPES),
-    }
     contract = {}
     for name, (df, types) in tables.items():
         df.write.option("header", True).csv(f"{base}/{name}.csv", sep=";")
@@ -235,11 +230,17 @@ def _ingested(spark, d) -> dict[str, DataFrame]:
 
 
 def contract_ingest(spark, d):
-    return _ingested(spark, d)["orders"]
+    return _ingested(spark, {"orders": (old_orders(spark, d), ORDER_TYPES)})["orders"]
 
 
 def contract_tables(spark, d):
-    tables = _ingested(spark, d)
+    tables = _ingested(
+        spark,
+        {
+            "customer": (table(spark, d, "customer"), CUSTOMER_TYPES),
+            "nation": (table(spark, d, "nation"), NATION_TYPES),
+        },
+    )
     customer = tables["customer"].select(
         F.lit("customer").alias("source"), F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"),

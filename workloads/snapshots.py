@@ -107,9 +107,8 @@ CUSTOMER_TYPES = {
 NATION_TYPES = {"n_nationkey": "int64", "n_name": "string", "n_regionkey": "Int32"}
 
 
-def zipped(df: DataFrame, name: str) -> DataFrame:
-    """``(content)``: the rows as delimited files in zip archives, one per batch."""
-
+def pack_reader(name: str):
+    # Nested, so executors need not have this package.
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             buffer = io.BytesIO()
@@ -118,4 +117,9 @@ def zipped(df: DataFrame, name: str) -> DataFrame:
                 archive.writestr("readme.txt", "not a table")
             yield pd.DataFrame({"content": [buffer.getvalue()]})
 
-    return df.mapInPandas(pack, "content binary")
+    return pack
+
+
+def zipped(df: DataFrame, name: str) -> DataFrame:
+    """``(content)``: the rows as delimited files in zip archives, one per batch."""
+    return df.mapInPandas(pack_reader(name), "content binary")
