@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,13 @@ from tablecheck.plans.copies import pair_copies, split_by_repetition
 from tablecheck.plans.digests import only_changed
 from tablecheck.plans.folding import unfold
 from tablecheck.plans.joining import fan_out, full_outer
-from tablecheck.plans.keys import HOT_ROWS, KeyProfile, key_counts, profile_keys
+from tablecheck.plans.keys import (
+    HOT_ROWS,
+    KeyProfile,
+    count_unique_keys,
+    key_counts,
+    profile_keys,
+)
 from tablecheck.session import pin
 from tablecheck.sinks.reports import write_rows
 
@@ -88,7 +93,7 @@ class Layout:
         return joined.select("*", *flags)
 
     def differs(self) -> Column:
-        return reduce(or_, [~F.col(f) for f in self.flags], F.col("side") != "both")
+        return _any_of([F.col("side") != "both", *[~F.col(f) for f in self.flags]])
 
     def report(self, compared: DataFrame, null_key_text: str | None = None) -> DataFrame:
         """Keys as text, then per value both sides and the flag, then the side."""
@@ -111,11 +116,19 @@ class Layout:
         names = [*self.keys, "_SIDE"]
         for value in self.values:
             names += [value + self.suffixes[0], value + self.suffixes[1], f"{value}_COMPARE"]
-        twice = sorted({n for n in names if names.count(n) > 1})
+        twice = sorted(n for n, times in Counter(names).items() if times > 1)
         if twice:
             raise ValueError(f"report column names collide: {twice}; choose other suffixes")
 
 
+def _any_of(conditions: list[Column]) -> Column:
+    """A disjunction as a balanced tree, so that wide tables give no deep expression."""
+    if len(conditions) == 1:
+        return conditions[0]
+    middle = len(conditions) // 2
+    return _any_of(conditions[:middle]) | _any_of(conditions[middle:])
+
+
 def _upper(names: Sequence[str] | str | None) -> list[str]:
     return [n.upper() for n in ([names] if isinstance(names, str) else names or ())]
 
@@ -374,6 +387,7 @@ def reconcile(
     numeric_only: bool = False,
     max_fanout: float = MAX_FANOUT,
     hot_rows: int = HOT_ROWS,
+    unique_keys: bool = False,
     digest_first: bool = False,
 ) -> Reconciliation:
     """Compare two tables row by row on their keys, and column by column on the rest.
@@ -388,6 +402,8 @@ def reconcile(
     (``"*"`` for all); ``numeric_only`` turns every value into a double, null if it is no
     number. ``date_range`` is ``(column, start, end)``, both ends included.
 
+    ``unique_keys`` says that no key repeats on either side, as for a primary key. The keys
+    are then counted without a shuffle; if it is not so, copies meet in all combinations.
     ``digest_first`` is for wide tables that are expected to agree almost everywhere: rows
     with equal digests of all values are left out before whole rows move, for a second scan.
     It applies to unique keys without ``keep_equal``.
@@ -420,7 +436,8 @@ def reconcile(
     l, r = layout.project(left), layout.project(right)
     by_key = sample is not None and sample.method == "key"
     sampled = key_in_sample([F.col(k) for k in ks], sample.fraction) if by_key else None
-    profile = profile_keys(l, r, ks, sampled)
+    count = count_unique_keys if unique_keys else profile_keys
+    profile = count(l, r, ks, sampled)
     if strict_shape and profile.rows_left != profile.rows_right:
         raise ValueError(
             "tables have different shapes: "
@@ -430,7 +447,7 @@ def reconcile(
     if sample is not None:
         l, r = sample_rows(l, ks, sample), sample_rows(r, ks, sample)
         if not by_key:
-            drawn = profile_keys(l, r, ks)
+            drawn = count(l, r, ks)
             profile = replace(
                 drawn, rows_left=profile.rows_left, rows_right=profile.rows_right,
                 null_counts=profile.null_counts,

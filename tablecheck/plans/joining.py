@@ -13,6 +13,9 @@ from tablecheck.plans.folding import unfold
 from tablecheck.plans.keys import key_counts, null_safe
 from tablecheck.session import pin
 
+# From this number of text keys on, a hash of them is compared first.
+HASHED_TEXTS = 3
+
 
 def full_outer(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
@@ -22,18 +25,23 @@ def full_outer(
     none for a side already bucketed by these keys.
 
     The keys ``null_ks`` may be null on both sides, and null meets null. Elsewhere plain
-    equality is the same, and cheaper.
+    equality is the same, and cheaper. Many text keys get a hash of them all in front, so
+    that sorting and merging rarely look at the texts.
     """
+    texts = [k for k in ks if left.schema[k].dataType.typeName() == "string"]
+    hashed = [F.xxhash64(*texts)] if len(texts) >= HASHED_TEXTS else []
 
     def renamed(df: DataFrame, mark: str) -> DataFrame:
         return df.select(
             *[F.col(k).alias(f"{mark}{k}") for k in ks],
             *[F.col(v).alias(f"{mark}{v[1:]}") for v in vs],
             *[F.col(c).alias(f"{mark}_{c}") for c in also_on],
+            *[h.alias(f"{mark}_hash") for h in hashed],
             F.lit(True).alias(f"has_{mark}"),
         )
 
-    same = [
+    same = [F.col("l_hash") == F.col("r_hash")] if hashed else []
+    same += [
         F.col(f"l{k}").eqNullSafe(F.col(f"r{k}")) if k in null_ks
         else F.col(f"l{k}") == F.col(f"r{k}")
         for k in ks

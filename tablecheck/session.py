@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that may be changed on a running session. Memory, cores and shuffle
-# partitions belong to the cluster, so they are left alone.
+# Settings that may be changed on a running session. Memory and cores belong to the cluster,
+# so they are left alone.
+PARTITION_BYTES = 128 * 1024 * 1024
+MIN_PARTITIONS = 10
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,9 +20,20 @@ RUNTIME_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
-    """Set the runtime SQL settings on the caller's session and return it."""
-    for name, value in {**RUNTIME_SETTINGS, **(overrides or {})}.items():
+def configure(
+    spark: SparkSession, overrides: dict[str, str] | None = None, input_bytes: int | None = None
+) -> SparkSession:
+    """Set the runtime SQL settings on the caller's session and return it.
+
+    With ``input_bytes``, the size of what will be shuffled, there are as many shuffle
+    partitions as make PARTITION_BYTES each; adaptive execution joins those that stay small,
+    but cannot split them all.
+    """
+    settings = {**RUNTIME_SETTINGS, **(overrides or {})}
+    if input_bytes is not None:
+        partitions = max(MIN_PARTITIONS, -(-input_bytes // PARTITION_BYTES))
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    for name, value in settings.items():
         spark.conf.set(name, value)
     return spark
 

@@ -7,6 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from tablecheck.functions.columns import column
+
 
 def write_rows(
     df: DataFrame, path: str, *, fmt: str = "csv", single_file: bool = False,
@@ -41,13 +43,17 @@ def write_tables(
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], *, mode: str = "errorifexists"
+    df: DataFrame, path: str, by: Sequence[str], *, mode: str = "errorifexists",
+    rebalance: bool = True,
 ) -> None:
     """Parquet folders split by the values of ``by``.
 
-    Rows are not shuffled to one task per value, so a value that holds most rows is still
-    written by many tasks.
+    Rows are first brought together by value, so that not every task writes a file for every
+    value; adaptive execution splits a value that holds many rows over several tasks and
+    joins small ones. Without ``rebalance`` rows are written where they are.
     """
+    if rebalance:
+        df = df.hint("rebalance", *[column(c) for c in by])
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 import tablecheck as tc
@@ -129,6 +130,17 @@ def test_one_pass_per_count(spark):
     assert text.count("FileScan") == 1
 
 
+def test_declared_unique_keys_are_counted_without_a_shuffle(spark):
+    df = spark.read.parquet(f"{SF}/orders.parquet")
+    seen = []
+    original = DataFrame.collect
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrame, "collect", lambda df: seen.append(plan(df)) or original(df))
+        tc.reconcile(df, df, ["o_orderkey"], unique_keys=True)
+    assert len(seen) == 1 and "hashpartitioning" not in seen[0]
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", seen[0])) == {"o_orderkey:bigint"}
+
+
 def test_a_whole_check_takes_few_actions(spark, tmp_path):
     left = spark.read.parquet(f"{SF}/orders.parquet")
     right = left.withColumn("o_totalprice", F.col("o_totalprice") + 1)

@@ -274,3 +274,32 @@ def test_frames_in_one_call(pair, spark, tmp_path, capsys):
     assert "null keys in K_OLD: 1" in out and "V_COMPARE: 2" in out and path in out
     with pytest.raises(ValueError, match="different shapes"):
         tc.assert_dataframes_approx_equal(pair[0], pair[0].limit(1), index_columns=["k"])
+
+
+def test_many_text_keys(spark, rows):
+    schema = "a string, b string, c string, v int"
+    left = [("x", None, "z", 1), (None, "x", "z", 2), ("x", "y", "z", 3), ("l", None, None, 4)]
+    right = [("x", None, "z", 1), (None, "x", "z", 5), ("x", "y", "z", 3), (None, None, "r", 4)]
+    result = tc.reconcile(
+        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["a", "b", "c"]
+    )
+    assert rows(result.rows, "A", "B", "C", "_SIDE") == [
+        ("l", None, None, "left_only"), (None, "x", "z", "both"), (None, None, "r", "right_only"),
+    ]
+
+
+def test_wide_tables(spark):
+    columns = [f"c{i}" for i in range(600)]
+    df = spark.range(3).select("id", *[F.lit(i).alias(c) for i, c in enumerate(columns)])
+    changed = df.withColumn("c599", F.col("id"))
+    result = tc.reconcile(df, changed, ["id"])
+    assert result.rows.count() == 3 and len(result.rows.columns) == 1 + 3 * 600 + 1
+
+
+def test_declared_unique_keys(pair, rows):
+    plain, declared = tc.reconcile(*pair, ["k"]), tc.reconcile(*pair, ["k"], unique_keys=True)
+    assert rows(declared.rows) == rows(plain.rows)
+    assert rows(declared.null_counts) == rows(plain.null_counts)
+    assert declared.summary.first() == plain.summary.first()
+    with pytest.raises(ValueError, match="different shapes"):
+        tc.reconcile(pair[0], pair[1].limit(2), ["k"], unique_keys=True)

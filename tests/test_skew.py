@@ -6,6 +6,8 @@ from collections import Counter
 from itertools import product
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 import tablecheck as tc
 from tablecheck.plans import copies, folding
@@ -67,6 +69,21 @@ def test_paired_copies_match_brute_force(hot_pair, hot_rows):
     assert as_pairs(result.rows) == brute_force_pairs(*hot_pair)
 
 
+CELLS = st.tuples(
+    st.sampled_from([None, "h", "h", "h", "u", "w"]), st.sampled_from([None, 1, 2]),
+    st.sampled_from([None, 0.5, 1.5]),
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(CELLS, max_size=25), st.lists(CELLS, max_size=25), st.sampled_from([1, 3, 100]))
+def test_any_tables_pair_like_brute_force(spark, left, right, hot_rows):
+    pair = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    result = tc.reconcile(*pair, ["k"], strict_shape=False, hot_rows=hot_rows)
+    # No two values are within the tolerance, so every pair that is left differs.
+    assert as_pairs(result.rows) == brute_force_pairs(*pair)
+
+
 @pytest.mark.parametrize("hot_rows", [1_000_000, 5])
 def test_cancelled_copies_come_back_with_keep_equal(hot_pair, hot_rows):
     left, right = hot_pair

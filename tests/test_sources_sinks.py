@@ -62,6 +62,15 @@ def test_files_in_one_call(spark, tmp_path, capsys):
         tc.assert_files_approx_equal(spark, a, b, sample_by_col="amount", **options)
 
 
+def test_text_against_typed_columns(spark, tmp_path, capsys):
+    left, right = str(tmp_path / "l.csv"), str(tmp_path / "r.parquet")
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    df.write.option("header", True).csv(left, sep=";")
+    df.write.parquet(right)
+    tc.assert_files_approx_equal(spark, left, right, header=True, index_columns=["k"])
+    assert "identical" in capsys.readouterr().out
+
+
 def test_nothing_is_written_for_no_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, 1)], "k int, v int")
     path = tmp_path / "none"
@@ -82,6 +91,23 @@ def test_tables_and_partitions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 3
 
 
+def test_a_large_partition_value_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(200_000).selectExpr("id", "IF(id % 100 < 90, 'hot', string(id % 100)) AS p")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        tc.write_partitioned(df.repartition(8), str(tmp_path / "b"), ["p"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    tc.write_partitioned(df.repartition(8), str(tmp_path / "r"), ["p"], rebalance=False)
+
+    def files(name):
+        return len(list((tmp_path / name).glob("*/*.parquet")))
+
+    assert len(list((tmp_path / "b" / "p=hot").glob("*.parquet"))) > 2
+    assert files("b") < files("r") == 8 * 11
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 200_000
+
+
 def test_dictionaries(spark, tmp_path):
     terms = spark.createDataFrame([("A_B", "0123456789"), ('q"x\ny', "abcdef0123")], "term string, token string")
     path = str(tmp_path / "d")
@@ -111,4 +137,9 @@ def test_scratch_follows_the_setting(spark):
     assert scratch_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     df = pin(spark.createDataFrame([(math.inf, None)], "`a b` double, `c.d` string"))
     assert df.columns == ["a b", "c.d"] and df.count() == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     assert tc.configure(spark).conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    tc.configure(spark, {"spark.sql.debug.maxToStringFields": "300"}, input_bytes=2**40)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8192"
+    tc.configure(spark, {"spark.sql.shuffle.partitions": before})
