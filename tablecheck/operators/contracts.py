@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.functions.columns import column, render_date
-from tablecheck.session import pin
+from tablecheck.session import in_parallel, pin
 from tablecheck.sinks.reports import write_tables
 from tablecheck.sources.contracts import ColumnRule, Contract, table_name
 
@@ -180,10 +180,9 @@ def ingest(
     unknown = sorted(set(raw_tables) - set(contract))
     if unknown:
         raise ValueError(f"tables without a contract: {unknown}")
-    staged = {
-        table: pin(checked(raw, table, contract[table]), f"staged-{table}")
-        for table, raw in raw_tables.items()
-    }
+    staged = in_parallel(
+        lambda table, raw: pin(checked(raw, table, contract[table]), "staged"), raw_tables
+    )
     broken = _all_violations(staged, contract).collect()
     if broken:
         listed = ", ".join(f"{r['table']}.{r['column']}: {r['cells']} {r['rule']}" for r in broken)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.plans.folding import fold, unfold
-from tablecheck.plans.keys import key_counts, null_safe
+from tablecheck.plans.keys import broadcast_measured, key_counts, null_safe
 from tablecheck.session import pin
 
 def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -21,15 +21,15 @@ def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Data
     return df.drop("nth").withColumn("copy", F.row_number().over(window).cast("bigint"))
 
 
-def _numbered_by_range(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _numbered_by_range(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int
+) -> DataFrame:
     """The same numbers for groups too large for one task.
 
     A range partitioning on (group, order) cuts a large group into consecutive parts. The
     parts are pinned, numbered apart, and shifted by the rows of the group that lie in
     earlier parts.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         # nth lets equal copies, which are interchangeable, fall into several parts.
         df.repartitionByRange(parts, *group, *order, "nth")
@@ -71,16 +71,23 @@ def number_copies(
     if max_copies <= hot_rows:
         return _numbered(unfold(folded, names, max_copies).repartition(*ks), group, vs)
     pinned = pin(folded, "surplus")
-    hot = (
+    hot = pin(
         pinned.groupBy(*group)
         .agg(F.sum("copies").alias("n"))
         .filter(F.col("n") > hot_rows)
-        .select(*[F.col(g).alias(f"h_{g}") for g in group])
+        .select(*[F.col(g).alias(f"h_{g}") for g in group], "n"),
+        "hot-keys",
     )
+    rows = hot.agg(F.sum("n")).first()[0]
+    if rows is None:
+        return _numbered(unfold(pinned, names, hot_rows).repartition(*ks), group, vs)
+    hot = broadcast_measured(hot.drop("n"))
     on = null_safe([F.col(g) for g in group], [F.col(f"h_{g}") for g in group])
-    cold = unfold(pinned.join(F.broadcast(hot), on, "left_anti"), names, hot_rows)
-    large = unfold(pinned.join(F.broadcast(hot), on, "left_semi"), names, max_copies)
-    return _numbered(cold, group, vs).unionByName(_numbered_by_range(large, group, vs))
+    cold = unfold(pinned.join(hot, on, "left_anti"), names, hot_rows)
+    large = unfold(pinned.join(hot, on, "left_semi"), names, max_copies)
+    # About hot_rows rows per part, however many there are.
+    ranged = _numbered_by_range(large, group, vs, -(-rows // hot_rows) + 1)
+    return _numbered(cold, group, vs).unionByName(ranged)
 
 
 def pair_copies(
@@ -126,10 +133,11 @@ def split_by_repetition(
     """
     repeated = key_counts(left, right, ks).filter("n_left > 1 OR n_right > 1")
     repeated = pin(repeated.select(*[F.col(k).alias(f"h_{k}") for k in ks]), "repeated")
+    repeated = broadcast_measured(repeated)
     on = null_safe([F.col(k) for k in ks], [F.col(f"h_{k}") for k in ks])
 
     def part(df: DataFrame, how: str) -> DataFrame:
-        return df.join(F.broadcast(repeated), on, how)
+        return df.join(repeated, on, how)
 
     return (
         (part(left, "left_anti"), part(right, "left_anti")),

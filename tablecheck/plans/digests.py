@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.plans.joining import full_outer
-from tablecheck.plans.keys import MAX_HOT_KEYS, null_safe
+from tablecheck.plans.keys import MAX_HOT_KEYS, broadcast_measured, null_safe
 from tablecheck.session import pin
 
 
@@ -49,5 +49,6 @@ def only_changed(
     )
     if changed.count() > MAX_HOT_KEYS:
         return left, right
+    changed = broadcast_measured(changed)
     on = null_safe([F.col(k) for k in ks], [F.col(f"h_{k}") for k in ks])
-    return tuple(df.join(F.broadcast(changed), on, "left_semi") for df in (left, right))
+    return tuple(df.join(changed, on, "left_semi") for df in (left, right))

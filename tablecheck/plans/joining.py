@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.plans.folding import unfold
-from tablecheck.plans.keys import key_counts, null_safe
+from tablecheck.plans.keys import broadcast_measured, key_counts, null_safe
 from tablecheck.session import pin
 
 # From this number of text keys on, a hash of them is compared first.
@@ -84,12 +84,12 @@ def fan_out(
             F.ceil(larger / hot_rows).cast("int").alias("salts"),
         )
     )
-    hot = pin(hot, "hot-keys")
+    # At most MAX_HOT_KEYS rows: see KeyProfile.hot_rows.
+    hot = broadcast_measured(pin(hot, "hot-keys"))
 
     def salted(df: DataFrame, is_left: bool) -> DataFrame:
         on = null_safe([F.col(k) for k in ks], [F.col(f"h{k}") for k in ks])
-        # At most MAX_HOT_KEYS rows are broadcast: see KeyProfile.hot_rows.
-        marked = df.select(*ks, *vs).join(F.broadcast(hot), on, "left")
+        marked = df.select(*ks, *vs).join(hot, on, "left")
         is_split = F.col("split_left") == F.lit(is_left)
         whole = marked.filter(F.col("salts").isNull() | ~is_split).select(
             *ks, *vs, F.col("salts").isNotNull().alias("repeated"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,21 @@ MAX_HOT_KEYS = 100_000
 FEW_ROWS = 0.1
 
 
+# What may be broadcast, measured before it is.
+BROADCAST_BYTES = 128 * 1024 * 1024
+
+
+def broadcast_measured(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its values take at most BROADCAST_BYTES.
+
+    For pinned tables of few rows, whose keys may still be long. A larger one is left
+    unmarked, and Spark joins it by shuffling.
+    """
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns]
+    size = df.agg(F.sum(reduce(add, width)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(and_, [a.eqNullSafe(b) for a, b in zip(left, right)])
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T, R = TypeVar("T"), TypeVar("R")
+JOBS_AT_ONCE = 4
+
 # Settings that may be changed on a running session. Memory and cores belong to the cluster,
 # so they are left alone.
 PARTITION_BYTES = 128 * 1024 * 1024
@@ -38,6 +44,13 @@ def configure(
     return spark
 
 
+def in_parallel(work: Callable[[str, T], R], items: Mapping[str, T]) -> dict[str, R]:
+    """``work(name, item)`` for each item, a few jobs at a time so that small ones overlap."""
+    with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
+        done = pool.map(lambda pair: work(*pair), items.items())
+        return dict(zip(items, done))
+
+
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names.
 

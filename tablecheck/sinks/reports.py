@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from tablecheck.functions.columns import column
+from tablecheck.session import in_parallel
 
 
 def write_rows(
@@ -35,11 +36,14 @@ def write_tables(
     tables: dict[str, DataFrame], path: str, *, fmt: str = "parquet", mode: str = "errorifexists"
 ) -> dict[str, str]:
     """One folder per table below ``path``; returns where each went."""
-    folders = {name: f"{path.rstrip('/')}/{name}" for name in tables}
-    for name, df in tables.items():
+
+    def write(name: str, df: DataFrame) -> str:
+        folder = f"{path.rstrip('/')}/{name}"
         writer = df.write.mode(mode).format(fmt)
-        (writer.option("header", True) if fmt == "csv" else writer).save(folders[name])
-    return folders
+        (writer.option("header", True) if fmt == "csv" else writer).save(folder)
+        return folder
+
+    return in_parallel(write, tables)
 
 
 def write_partitioned(

@@ -13,7 +13,7 @@ import tablecheck as tc
 from tablecheck.plans import copies, folding
 from tablecheck.plans.digests import row_digest
 from tablecheck.plans.folding import unfold
-from tablecheck.plans.keys import KeyProfile
+from tablecheck.plans.keys import KeyProfile, broadcast_measured
 
 SCHEMA = "k string, a int, b double"
 
@@ -160,10 +160,18 @@ def test_unfold_in_steps(spark, monkeypatch):
     assert {r["nth"] for r in out.filter("k = 'd'").collect()} == set(range(1, 36))
 
 
+def test_what_is_too_large_is_not_broadcast(spark, hot_pair, monkeypatch):
+    want = as_pairs(tc.reconcile(*hot_pair, ["k"], strict_shape=False, hot_rows=5).rows)
+    few = spark.createDataFrame([("x" * 100,)] * 3, "k string")
+    monkeypatch.setattr("tablecheck.plans.keys.BROADCAST_BYTES", 1)
+    assert broadcast_measured(few) is few
+    assert as_pairs(tc.reconcile(*hot_pair, ["k"], strict_shape=False, hot_rows=5).rows) == want
+
+
 def test_numbers_by_range_are_consecutive(spark):
     rows = [(i % 2, i // 4, i) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, v int, nth long").repartition(3)
-    out = copies._numbered_by_range(df, ["g"], ["v"])
+    out = copies._numbered_by_range(df, ["g"], ["v"], 7)
     for g in (0, 1):
         numbered = sorted((r["copy"], r["v"]) for r in out.collect() if r["g"] == g)
         assert [c for c, _ in numbered] == list(range(1, 201))
