@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tablecheck.functions.columns import column, render_date
 from tablecheck.session import in_parallel, pin
 from tablecheck.sinks.reports import write_tables
-from tablecheck.sources.contracts import ColumnRule, Contract, table_name
+from tablecheck.sources.contracts import UNEVEN, ColumnRule, Contract, table_name
 
 # Contract type names and what they mean here.
 TYPES: dict[str, T.DataType] = {
@@ -38,6 +38,7 @@ NULL_TEXTS = (
 
 # Working column: which cells of a row did not read as their type.
 UNREAD = "_unread_cells"
+CORRUPT = "_corrupt_record"
 
 
 def spark_type(rule: ColumnRule) -> T.DataType:
@@ -79,14 +80,16 @@ def checked(raw: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFr
         raise ValueError(f"table {table}: columns missing from the file: {missing}")
     by_name = {r.name: r for r in rules}
     columns = [
-        (_typed(by_name[n]) if n in by_name else _cell(n)).alias(n) for n in raw.columns
+        (_typed(by_name[n]) if n in by_name else _cell(n)).alias(n)
+        for n in raw.columns if n != UNEVEN
     ]
+    uneven = [UNEVEN] if UNEVEN in raw.columns else []
     unread = [
         F.when(_cell(r.name).isNotNull() & _typed(r).isNull(), F.lit(r.name))
         for r in rules if not isinstance(spark_type(r), T.StringType)
     ]
     names = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
-    return raw.select(*columns, names.alias(UNREAD))
+    return raw.select(*columns, *uneven, names.alias(UNREAD))
 
 
 def conform(
@@ -98,10 +101,10 @@ def conform(
 
 def _shown(typed: DataFrame, rules: tuple[ColumnRule, ...], dates_as_text: bool) -> DataFrame:
     dates = {r.name for r in rules if isinstance(spark_type(r), T.DateType)}
-    return typed.drop(UNREAD).select(
+    return typed.select(
         *[
             render_date(column(n)).alias(n) if dates_as_text and n in dates else column(n)
-            for n in typed.columns if n != UNREAD
+            for n in typed.columns if n not in (UNREAD, UNEVEN)
         ]
     )
 
@@ -114,6 +117,8 @@ def _table_violations(typed: DataFrame, table: str, rules: tuple[ColumnRule, ...
             checks[f"n{i}"] = (rule.name, "not_null", column(rule.name).isNull() & ~unread)
         if not isinstance(spark_type(rule), T.StringType):
             checks[f"t{i}"] = (rule.name, "type", unread)
+    if UNEVEN in typed.columns:
+        checks["uneven"] = ("(record)", "cells", F.col(UNEVEN))
     counts = typed.agg(
         F.count("*").alias("rows"), *[F.count_if(c[2]).alias(n) for n, c in checks.items()]
     )
@@ -132,7 +137,9 @@ def violations(raw_tables: Mapping[str, DataFrame], contract: Contract) -> DataF
     """``(table, column, rule, cells)`` wherever text tables break the contract.
 
     ``not_null`` counts empty cells of columns that may not be null, ``type`` cells that do
-    not read as the declared type. One aggregate per table covers all its columns.
+    not read as the declared type. ``cells`` counts records that have more or fewer cells
+    than the header; a line end inside a quoted cell shows there if the file was read
+    without ``multi_line``. One aggregate per table covers all its columns.
     """
     return _all_violations(
         {table: checked(raw, table, contract[table]) for table, raw in raw_tables.items()},
@@ -151,7 +158,7 @@ def read_raw_tables(
     spark: SparkSession, paths: Mapping[str, str] | list[str], *, sep: str = ";",
     multi_line: bool = False,
 ) -> dict[str, DataFrame]:
-    """Delimited files as text columns named by their headers, one frame per table.
+    """Delimited files as text columns named by their headers, and UNEVEN, per table.
 
     A list of paths names each table by its file name; files of one table must have the same
     header. ``multi_line`` allows line ends inside
@@ -159,13 +166,23 @@ def read_raw_tables(
     """
     if not isinstance(paths, Mapping):
         paths = {table_name(path.rstrip("/")): path for path in paths}
-    return {
-        table: spark.read.csv(
-            path, sep=sep, header=True, encoding="UTF-8", multiLine=multi_line,
-            inferSchema=False, escape='"', enforceSchema=False,
-        )
-        for table, path in paths.items()
-    }
+    options = dict(
+        sep=sep, header=True, encoding="UTF-8", multiLine=multi_line, escape='"',
+        enforceSchema=False, columnNameOfCorruptRecord=CORRUPT,
+    )
+
+    def read(table: str, path: str) -> DataFrame:
+        names = spark.read.csv(path, **options).columns
+        fields = [T.StructField(n, T.StringType()) for n in [*names, CORRUPT]]
+        # Without pruning a record is judged by all its cells, whichever are used.
+        reader = spark.read.schema(T.StructType(fields)).option("columnPruning", False)
+        rows = reader.csv(path, **options)
+        # Spark refuses to read the noted record alone, so a real column is looked at too.
+        anything = F.coalesce(F.octet_length(column(names[0])), F.lit(0)) >= 0
+        uneven = (F.col(CORRUPT).isNotNull() & anything).alias(UNEVEN)
+        return rows.select(*[column(n) for n in names], uneven)
+
+    return in_parallel(read, paths)
 
 
 def ingest(

@@ -28,6 +28,8 @@ ROW_BYTES = 8
 # 1/share tokens are, which bounds what is kept for them.
 HOT_SHARE = 1 / 500
 SALTS = 64
+# Working columns beside those of the caller.
+ROW, FOUND = "_restore_row", "_restore_names"
 NOT_UNIQUE = "restore_text: id_cols do not identify a row"
 
 
@@ -125,10 +127,10 @@ def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
     # As a struct, ids are equal also where they are null.
     row = F.struct(*[column(c) for c in id_cols])
     text = column(text_col)
-    words = df.select(row.alias("row"), F.posexplode(token_words(text, style)).alias("pos", "word"))
+    words = df.select(row.alias(ROW), F.posexplode(token_words(text, style)).alias("pos", "word"))
     # A hot word is dealt over the salts, and its dictionary row repeated for each.
     hot = _hot_words(words)
-    dealt = F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")
+    dealt = F.pmod(F.xxhash64(ROW, "pos"), F.lit(SALTS)).cast("int")
     salted = words.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(0))
     repeats = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
@@ -138,12 +140,12 @@ def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
     # One group is the words of one text, which one task held before. The texts themselves
     # move once, to meet their words.
     found = F.struct("pos", F.coalesce("term", "word").alias("name"))
-    lists = salted.join(by_salt, met, "left").groupBy("row").agg(
-        F.sort_array(F.collect_list(found))["name"].alias("found_names")
+    lists = salted.join(by_salt, met, "left").groupBy(ROW).agg(
+        F.sort_array(F.collect_list(found))["name"].alias(FOUND)
     )
     error = F.raise_error(F.lit(NOT_UNIQUE)).cast("string")
-    restored = restore_with_list(text, F.col("found_names"), style, error)
-    return df.join(lists, row == F.col("row"), "left").select(
+    restored = restore_with_list(text, F.col(FOUND), style, error)
+    return df.join(lists, row == F.col(ROW), "left").select(
         *[restored.alias(c) if c == text_col else column(c) for c in df.columns]
     )
 

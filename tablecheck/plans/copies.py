@@ -16,6 +16,7 @@ from tablecheck.plans.folding import fold, unfold
 from tablecheck.plans.keys import broadcast_measured, key_counts, null_safe
 from tablecheck.session import pin
 
+
 def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     window = Window.partitionBy(*group).orderBy(*order)
     return df.drop("nth").withColumn("copy", F.row_number().over(window).cast("bigint"))

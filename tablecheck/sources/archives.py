@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.session import scratch_path
-from tablecheck.sources.contracts import table_of
+from tablecheck.sources.contracts import UNEVEN, table_of
 
 # Records handed to Spark at a time, so a large member is never held whole.
 BATCH = 10_000
@@ -66,7 +66,7 @@ def unpack(archives: DataFrame, sep: str = ";") -> DataFrame:
 
 
 def unpacked_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """One frame of text columns per table, from the rows ``unpack`` gives.
+    """One frame of text columns, and UNEVEN, per table from the rows ``unpack`` gives.
 
     The records are written once to the shared scratch folder, split by table, so that no
     archive is opened again for the next table and later reads are splittable.
@@ -83,7 +83,8 @@ def unpacked_tables(records: DataFrame) -> dict[str, DataFrame]:
             raise ValueError(f"files of table {row['table']} have different headers")
     return {
         table: stored.filter((F.col("table") == table) & ~F.col("is_header")).select(
-            *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)]
+            *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(header)],
+            (F.size("cells") != len(header)).alias(UNEVEN),
         )
         for table, header in sorted(layouts.items())
     }

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 CONTRACT_JSON = "map<string,struct<type_map:map<string,struct<type:string,nullable:boolean>>>>"
 
 
+# Working column of raw tables: the record has not as many cells as the header.
+UNEVEN = "_uneven_record"
+
+
 @dataclass(frozen=True)
 class ColumnRule:
     name: str

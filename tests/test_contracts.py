@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 
 import tablecheck as tc
 from tablecheck.sources import archives, contracts, read_archives, table_name
+from tablecheck.sources.contracts import ColumnRule
 from workloads.snapshots import pack_reader
 
 CONTRACT = {
@@ -111,6 +112,22 @@ def test_files_of_a_table_must_share_the_header(spark, contract, tmp_path):
         raw["codes"].collect()
 
 
+def test_uneven_records_are_counted(spark, tmp_path, rows):
+    rules = {"t": (ColumnRule("a", "string", True), ColumnRule("b", "string", True))}
+    text = 'a;b\n1;2\n"two\nlines";3\n4\n5;6;7\n"x;y";8\n'
+    raw = tc.read_raw_tables(spark, folder(tmp_path, t=text))
+    assert rows(tc.violations(raw, rules)) == [("t", "(record)", "cells", 3)]
+    whole = tc.read_raw_tables(spark, folder(tmp_path, t=text), multi_line=True)
+    assert rows(tc.violations(whole, rules)) == [("t", "(record)", "cells", 2)]
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as archive:
+        archive.writestr("t.csv", text)
+    packed = read_archives(spark, str(tmp_path / "t.zip"))
+    assert rows(tc.violations(packed, rules)) == [("t", "(record)", "cells", 2)]
+    assert tc.conform(packed["t"], "t", rules["t"]).columns == ["a", "b"]
+    with pytest.raises(ValueError, match=r"t.\(record\): 2 cells"):
+        tc.ingest(packed, rules, str(tmp_path / "out"))
+
+
 def test_multi_line_cells(spark, contract, tmp_path):
     text = 'code\n"two\nlines"\nz\n'
     raw = tc.read_raw_tables(spark, folder(tmp_path, codes=text), multi_line=True)
@@ -128,12 +145,12 @@ def test_archives(spark, contract, tmp_path, rows):
         archive.writestr("bare.csv", "only;header\n")
     tables = read_archives(spark, str(tmp_path / "*.zip"))
     assert set(tables) == {"loans", "codes", "bare"}
-    assert tables["bare"].columns == ["only", "header"] and tables["bare"].count() == 0
+    assert tables["bare"].columns == ["only", "header", "_uneven_record"] and tables["bare"].count() == 0
     typed = tc.conform(tables["loans"], "loans", contract["loans"])
     assert rows(typed, "id", "name") == sorted(
         [(1, "a;b"), (2, 'say "x"'), (3, None), (9, "two\nlines")], key=repr
     )
-    assert rows(tables["codes"]) == [("x",), ("y",)]
+    assert rows(tables["codes"], "code") == [("x",), ("y",)]
     with zipfile.ZipFile(tmp_path / "three.zip", "w") as archive:
         archive.writestr("codes.csv", "kode\nx\n")
     with pytest.raises(ValueError, match="different headers"):
