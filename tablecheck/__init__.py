@@ -5,7 +5,7 @@ from tablecheck.checks import (
     assert_files_approx_equal,
     reconcile_files,
 )
-from tablecheck.functions import TokenStyle
+from tablecheck.functions import TokenStyle, token_of
 from tablecheck.operators import *  # noqa: F403
 from tablecheck.operators import __all__ as _operators
 from tablecheck.session import configure
@@ -28,6 +28,6 @@ from tablecheck.sources import (
 __all__ = [
     *_operators, "TokenStyle", "assert_dataframes_approx_equal", "assert_files_approx_equal",
     "configure", "preview", "read_archives", "read_contract", "read_dictionary", "read_table",
-    "read_texts", "reconcile_files", "write_dictionary", "write_partitioned", "write_rows",
+    "read_texts", "reconcile_files", "token_of", "write_dictionary", "write_partitioned", "write_rows",
     "write_tables", "write_texts",
 ]

@@ -238,6 +238,15 @@ ORACLES: dict[str, str] = {
     "reconcile_rows": mismatches(ORDERS, ORDER_VALUES),
     "reconcile_keep_equal": ORDERS,
     "reconcile_digest_first": mismatches(ORDERS, ORDER_VALUES),
+    "reconcile_unique_keys": mismatches(ORDERS, ORDER_VALUES),
+    "reconcile_text_keys": mismatches(
+        compared(
+            _as_text(OLD_ORDERS), _as_text(NEW_ORDERS),
+            ["o_orderkey", "o_orderdate", "o_orderpriority"],
+            ("o_custkey", "o_orderstatus", "o_totalprice"), ["o_totalprice"],
+        ),
+        ("o_custkey", "o_orderstatus", "o_totalprice"),
+    ),
     "reconcile_numeric_only": mismatches(
         compared(
             _numeric_only(OLD_ORDERS), _numeric_only(NEW_ORDERS), ["o_orderkey"],

@@ -53,6 +53,21 @@ def reconcile_digest_first(spark, d):
     return _orders(spark, d, digest_first=True).rows
 
 
+def reconcile_unique_keys(spark, d):
+    """The keys are declared unique, so they are not counted first."""
+    return _orders(spark, d, unique_keys=True).rows
+
+
+TEXT_KEYS = ["o_orderkey", "o_orderdate", "o_orderpriority"]
+
+
+def reconcile_text_keys(spark, d):
+    """Several text keys: a hash of them is compared before the texts."""
+    old, new = as_text(old_orders(spark, d)), as_text(new_orders(spark, d))
+    result = tc.reconcile(old, new, TEXT_KEYS, numeric_cols=["o_totalprice", "o_custkey"])
+    return _priced(result.rows)
+
+
 def reconcile_numeric_only(spark, d):
     return _orders(spark, d, numeric_only=True).rows
 
@@ -376,8 +391,8 @@ def whole_texts(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        reconcile_rows, reconcile_keep_equal, reconcile_digest_first, reconcile_numeric_only,
-        reconcile_text_numbers,
+        reconcile_rows, reconcile_keep_equal, reconcile_digest_first, reconcile_unique_keys,
+        reconcile_text_keys, reconcile_numeric_only, reconcile_text_numbers,
         reconcile_null_keys, reconcile_null_key_text, reconcile_duplicate_keys,
         reconcile_duplicate_keep_equal, reconcile_duplicate_fanout, reconcile_few_duplicates, reconcile_hot_key,
         duplicate_key_report,
