@@ -31,7 +31,7 @@ from tablecheck.plans.keys import (
     key_counts,
     profile_keys,
 )
-from tablecheck.session import pin
+from tablecheck.session import in_parallel, pin
 from tablecheck.sinks.reports import write_rows
 
 ON_DUPLICATES = ("pair", "fanout", "error")
@@ -389,6 +389,7 @@ def reconcile(
     hot_rows: int = HOT_ROWS,
     unique_keys: bool = False,
     digest_first: bool = False,
+    pin_inputs: bool = False,
 ) -> Reconciliation:
     """Compare two tables row by row on their keys, and column by column on the rest.
 
@@ -406,7 +407,9 @@ def reconcile(
     are then counted without a shuffle; if it is not so, copies meet in all combinations.
     ``digest_first`` is for wide tables that are expected to agree almost everywhere: rows
     with equal digests of all values are left out before whole rows move, for a second scan.
-    It applies to unique keys without ``keep_equal``.
+    It applies to unique keys without ``keep_equal``. ``pin_inputs`` writes the compared
+    columns of both sides to the scratch folder first: for inputs that are costly to compute
+    or differ from run to run, as they are read by more than one job.
     """
     if on_duplicates not in ON_DUPLICATES:
         raise ValueError(f"on_duplicates must be one of {ON_DUPLICATES}")
@@ -434,6 +437,8 @@ def reconcile(
 
     ks, vs = layout.ks, layout.vs
     l, r = layout.project(left), layout.project(right)
+    if pin_inputs:
+        l, r = in_parallel(lambda side, df: pin(df, side), {"left": l, "right": r}).values()
     by_key = sample is not None and sample.method == "key"
     sampled = key_in_sample([F.col(k) for k in ks], sample.fraction) if by_key else None
     count = count_unique_keys if unique_keys else profile_keys

@@ -303,3 +303,12 @@ def test_declared_unique_keys(pair, rows):
     assert declared.summary.first() == plain.summary.first()
     with pytest.raises(ValueError, match="different shapes"):
         tc.reconcile(pair[0], pair[1].limit(2), ["k"], unique_keys=True)
+
+
+def test_pinned_inputs_are_computed_once(spark):
+    left = spark.range(200).select("id", F.rand().alias("v"))
+    fickle = left.filter(F.rand() < 0.5)
+    result = tc.reconcile(left, fickle, ["id"], strict_shape=False, pin_inputs=True, keep_equal=True)
+    kept = result.rows.filter("_SIDE = 'both'").count()
+    assert kept == result.profile.rows_right == result.rows.filter("V_NEW IS NOT NULL").count()
+    assert result.rows.collect() == result.rows.collect()
