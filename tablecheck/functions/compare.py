@@ -10,8 +10,8 @@ _ATOMIC = (
     T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType,
     T.TimestampNTZType, T.BinaryType,
 )
-# Decimal digits an integral type can hold.
-_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+# Decimal digits a type without fraction can hold.
+_DIGITS = {"boolean": 1, "tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
 
 def common_type(name: str, left: T.DataType, right: T.DataType) -> T.DataType:
@@ -21,10 +21,10 @@ def common_type(name: str, left: T.DataType, right: T.DataType) -> T.DataType:
             raise ValueError(f"column {name}: {dtype.simpleString()} cannot be compared")
     if isinstance(left, T.StringType) or isinstance(right, T.StringType):
         return T.StringType()
-    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
-        return _numeric(left, right)
-    if left == right:
+    if left == right and not isinstance(left, T.NumericType):
         return left
+    if all(isinstance(t, (T.NumericType, T.BooleanType)) for t in (left, right)):
+        return _numeric(left, right)
     dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
     if isinstance(left, dates) and isinstance(right, dates):
         both = {type(left), type(right)}

@@ -25,6 +25,12 @@ class TokenStyle:
     salt: str = ""
     require_underscore: bool = True
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.width <= 64:
+            raise ValueError("a token has 1 to 64 characters")
+        if not all(self.terms):
+            raise ValueError("a term may not be empty")
+
     @property
     def pattern(self) -> str:
         # (?U) makes word boundaries follow Unicode letters.

@@ -134,6 +134,33 @@ def test_keys_are_brought_to_a_common_type(spark):
         tc.reconcile(left, dates, ["k"])
 
 
+def test_flags_against_numbers(spark):
+    left = spark.createDataFrame([(1, True), (2, False), (3, None)], "k int, b boolean")
+    for kind in ("int", "double", "decimal(5,1)"):
+        right = spark.sql(
+            f"SELECT * FROM VALUES (1, CAST(1 AS {kind})), (2, CAST(1 AS {kind})), (3, NULL) AS t(k, b)"
+        )
+        assert [r["K"] for r in tc.reconcile(left, right, ["k"]).rows.collect()] == ["2"]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(20,3)", "binary", "date", "timestamp", "boolean"])
+def test_keys_of_any_type(spark, kind):
+    made = {
+        "double": "double('nan'), double('-0.0'), 1.5D", "float": "float('nan'), float('-0.0'), float(1.5)",
+        "decimal(20,3)": "1.250BD, 0BD, -1BD", "binary": "X'00ff', X'', X'00'", "boolean": "true, false",
+        "date": "DATE'2024-01-01', DATE'0001-01-01'", "timestamp": "TIMESTAMP'2024-01-01 00:00:00.000001', TIMESTAMP'2024-01-01 00:00:00.000002'",
+    }[kind]
+    df = spark.sql(f"SELECT explode(array({made}, NULL)) AS k, 1 AS v").select(
+        F.col("k").cast(kind).alias("k"), "v"
+    )
+    assert tc.reconcile(df, df, ["k"], pin_inputs=True).rows.count() == 0
+    assert tc.reconcile(df, df, ["k"], pin_inputs=True, digest_first=True).rows.count() == 0
+    twice = df.union(df)
+    changed = twice.withColumn("v", F.lit(2))
+    assert tc.reconcile(twice, twice, ["k"], pin_inputs=True).rows.count() == 0
+    assert tc.reconcile(twice, changed, ["k"], pin_inputs=True, hot_rows=1).rows.count() == twice.count()
+
+
 def test_nested_values_are_rejected(spark):
     left = spark.createDataFrame([(1, [1])], "k int, v array<int>")
     with pytest.raises(ValueError, match="array<int> cannot be compared"):

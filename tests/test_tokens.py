@@ -140,6 +140,13 @@ def test_style_options(spark):
     ]
 
 
+def test_style_is_checked():
+    with pytest.raises(ValueError, match="1 to 64"):
+        tc.TokenStyle(width=0)
+    with pytest.raises(ValueError, match="empty"):
+        tc.TokenStyle(terms=("a_b", ""))
+
+
 def test_collisions_and_round_trip_failures(spark, rows):
     terms = spark.range(100).selectExpr("'term_' || id AS term")
     names = terms.withColumn("token", token_of(terms["term"], tc.TokenStyle(width=1)))
