@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-OLD_ORDERS = """
+PLAIN_ORDERS = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority
 FROM orders"""
 
-NEW_ORDERS = """
+CHANGED_ORDERS = """
 SELECT CASE WHEN o_orderkey % 10 = 4 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey,
        o_custkey,
        CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
@@ -19,14 +19,20 @@ SELECT CASE WHEN o_orderkey % 10 = 4 THEN -o_orderkey ELSE o_orderkey END AS o_o
        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority
 FROM orders"""
 
+OLD_ORDERS, NEW_ORDERS = (
+    f"SELECT * REPLACE (o_custkey::DOUBLE AS o_custkey) FROM ({rows})"
+    for rows in (PLAIN_ORDERS, CHANGED_ORDERS)
+)
+
 OLD_LINES = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag
+SELECT l_orderkey, l_linenumber, l_partkey::DOUBLE AS l_partkey, l_quantity, l_extendedprice,
+       l_returnflag
 FROM lineitem"""
 
 NEW_LINES = """
 SELECT l_orderkey,
        CASE WHEN l_partkey % 11 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS l_linenumber,
-       l_partkey, l_quantity,
+       l_partkey::DOUBLE AS l_partkey, l_quantity,
        CASE WHEN l_partkey % 5 = 0 THEN l_extendedprice + 1.5::DOUBLE
             WHEN l_partkey % 7 = 0 THEN l_extendedprice + 0.00001::DOUBLE
             ELSE l_extendedprice END AS l_extendedprice,
@@ -241,7 +247,7 @@ ORACLES: dict[str, str] = {
     "reconcile_unique_keys": mismatches(ORDERS, ORDER_VALUES),
     "reconcile_text_keys": mismatches(
         compared(
-            _as_text(OLD_ORDERS), _as_text(NEW_ORDERS),
+            _as_text(PLAIN_ORDERS), _as_text(CHANGED_ORDERS),
             ["o_orderkey", "o_orderdate", "o_orderpriority"],
             ("o_custkey", "o_orderstatus", "o_totalprice"), ["o_totalprice"],
         ),
@@ -256,7 +262,7 @@ ORACLES: dict[str, str] = {
     ),
     "reconcile_text_numbers": mismatches(
         compared(
-            _as_text(OLD_ORDERS), _as_text(NEW_ORDERS), ["o_orderkey"], ORDER_VALUES,
+            _as_text(PLAIN_ORDERS), _as_text(CHANGED_ORDERS), ["o_orderkey"], ORDER_VALUES,
             ["o_totalprice"],
         ),
         ORDER_VALUES,
@@ -317,7 +323,7 @@ FROM ({ORDERS})""",
         f"FROM ({EVENT_TEXT})"
     ),
     "date_max": "SELECT max(strftime(o_orderdate, '%Y-%m-%d')) AS latest FROM orders",
-    "hash_sample": _where(OLD_ORDERS, IN_SAMPLE),
+    "hash_sample": _where(PLAIN_ORDERS, IN_SAMPLE),
     "stratified_counts": (
         "SELECT o_orderstatus AS stratum, count(*) AS rows, "
         f"count(*) FILTER (WHERE {IN_SAMPLE}) AS sampled FROM orders GROUP BY o_orderstatus"
@@ -325,20 +331,20 @@ FROM ({ORDERS})""",
     "reconcile_sampled": mismatches(SAMPLED, ORDER_VALUES),
     "reconcile_from_files": mismatches(
         compared(
-            _as_text(OLD_ORDERS), _as_text(NEW_ORDERS), ["o_orderkey"], ORDER_VALUES,
+            _as_text(PLAIN_ORDERS), _as_text(CHANGED_ORDERS), ["o_orderkey"], ORDER_VALUES,
             ["o_totalprice"],
         ),
         ORDER_VALUES,
     ),
     "report_roundtrip": mismatches(ORDERS, ORDER_VALUES),
-    "contract_ingest": OLD_ORDERS,
+    "contract_ingest": PLAIN_ORDERS,
     "contract_tables": (
         "SELECT 'customer' AS source, c_custkey AS id, c_name AS name, c_acctbal AS balance "
         "FROM customer UNION ALL SELECT 'nation', n_nationkey, n_name, NULL FROM nation"
     ),
-    "archive_ingest": OLD_ORDERS,
+    "archive_ingest": PLAIN_ORDERS,
     "contract_violations": _where(VIOLATIONS, "cells > 0"),
-    "partitioned_write": OLD_ORDERS,
+    "partitioned_write": PLAIN_ORDERS,
     "tokenize_pages": TOKENIZED,
     "tokenize_terms": f"SELECT page_id, {_replaced('url', 'utm_source')} AS url FROM pages",
     "tokenize_all_terms": (

@@ -16,6 +16,7 @@ from workloads.snapshots import (
     NATION_TYPES,
     ORDER_TYPES,
     as_text,
+    changed_orders,
     contract_json,
     iso,
     new_events,
@@ -24,6 +25,7 @@ from workloads.snapshots import (
     old_events,
     old_lines,
     old_orders,
+    orders,
     table,
     with_null_keys,
     write_contract,
@@ -63,7 +65,7 @@ TEXT_KEYS = ["o_orderkey", "o_orderdate", "o_orderpriority"]
 
 def reconcile_text_keys(spark, d):
     """Several text keys: a hash of them is compared before the texts."""
-    old, new = as_text(old_orders(spark, d)), as_text(new_orders(spark, d))
+    old, new = as_text(orders(spark, d)), as_text(changed_orders(spark, d))
     result = tc.reconcile(old, new, TEXT_KEYS, numeric_cols=["o_totalprice", "o_custkey"])
     return _priced(result.rows)
 
@@ -80,7 +82,7 @@ def _priced(rows: DataFrame) -> DataFrame:
 
 def reconcile_text_numbers(spark, d):
     """Both versions as text, as from files without types; numbers still within tolerance."""
-    old, new = as_text(old_orders(spark, d)), as_text(new_orders(spark, d))
+    old, new = as_text(orders(spark, d)), as_text(changed_orders(spark, d))
     return _priced(tc.reconcile(old, new, KEY, numeric_cols=["o_totalprice"]).rows)
 
 
@@ -204,7 +206,7 @@ def date_max(spark, d):
 
 
 def hash_sample(spark, d):
-    return tc.sample_rows(old_orders(spark, d), KEY, SAMPLE)
+    return tc.sample_rows(orders(spark, d), KEY, SAMPLE)
 
 
 def stratified_counts(spark, d):
@@ -217,8 +219,8 @@ def reconcile_sampled(spark, d):
 
 def reconcile_from_files(spark, d):
     old, new = scratch_path(spark, "old") + ".csv", scratch_path(spark, "new")
-    old_orders(spark, d).write.option("header", True).csv(old, sep=";")
-    new_orders(spark, d).write.parquet(new)
+    orders(spark, d).write.option("header", True).csv(old, sep=";")
+    changed_orders(spark, d).write.parquet(new)
     return _priced(tc.reconcile_files(spark, old, new, KEY, header=True).rows)
 
 
@@ -245,7 +247,7 @@ def _ingested(spark, tables: dict[str, tuple[DataFrame, dict]]) -> dict[str, Dat
 
 
 def contract_ingest(spark, d):
-    return _ingested(spark, {"orders": (old_orders(spark, d), ORDER_TYPES)})["orders"]
+    return _ingested(spark, {"orders": (orders(spark, d), ORDER_TYPES)})["orders"]
 
 
 def contract_tables(spark, d):
@@ -269,10 +271,10 @@ def contract_tables(spark, d):
 def archive_ingest(spark, d):
     """Orders packed into zip archives by the tasks, then unpacked and typed."""
     base = scratch_path(spark, "archive")
-    orders = old_orders(spark, d)
-    contract = {"orders": contract_json(orders, ORDER_TYPES, nullable=set())}
+    rows = orders(spark, d)
+    contract = {"orders": contract_json(rows, ORDER_TYPES, nullable=set())}
     write_contract(spark, contract, f"{base}/contract")
-    raw = unpacked_tables(unpack(zipped(orders, "orders.v1")))
+    raw = unpacked_tables(unpack(zipped(rows, "orders.v1")))
     tc.ingest(raw, tc.read_contract(spark, f"{base}/contract"), f"{base}/out")
     return spark.read.parquet(f"{base}/out/orders")
 
@@ -281,7 +283,7 @@ def contract_violations(spark, d):
     """Orders with empty and unreadable cells put in."""
     base = scratch_path(spark, "broken")
     key = F.col("o_orderkey")
-    broken = as_text(old_orders(spark, d)).select(
+    broken = as_text(orders(spark, d)).select(
         "o_orderkey",
         F.when(key % 5 != 0, F.col("o_custkey")).alias("o_custkey"),
         F.when(key % 17 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
@@ -300,7 +302,7 @@ def contract_violations(spark, d):
 
 def partitioned_write(spark, d):
     path = scratch_path(spark, "by-status")
-    tc.write_partitioned(old_orders(spark, d), path, ["o_orderstatus"])
+    tc.write_partitioned(orders(spark, d), path, ["o_orderstatus"])
     return spark.read.parquet(path)
 
 

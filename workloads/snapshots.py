@@ -24,13 +24,13 @@ def iso(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def old_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("o_orderdate", iso("o_orderdate"))
 
 
-def new_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    return old_orders(spark, sf_dir).select(
+    return orders(spark, sf_dir).select(
         F.when(key % 10 == 4, -key).otherwise(key).alias("o_orderkey"),
         "o_custkey",
         F.when(key % 13 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
@@ -42,6 +42,17 @@ def new_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def old_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer numbers as doubles: reports hold nulls, which some readers of integers
+    cannot show."""
+    return orders(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey").cast("double"))
+
+
+def new_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = changed_orders(spark, sf_dir)
+    return changed.withColumn("o_custkey", F.col("o_custkey").cast("double"))
+
+
 def with_null_keys(df: DataFrame) -> DataFrame:
     """A third of the rows lose their key; ``ref`` still tells them apart."""
     key = F.col("o_orderkey")
@@ -51,7 +62,8 @@ def with_null_keys(df: DataFrame) -> DataFrame:
 
 def old_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"
+        "l_orderkey", "l_linenumber", F.col("l_partkey").cast("double").alias("l_partkey"),
+        "l_quantity", "l_extendedprice", "l_returnflag",
     )
 
 
