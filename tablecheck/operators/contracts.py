@@ -35,7 +35,6 @@ NULL_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-
 # Working column: which cells of a row did not read as their type.
 UNREAD = "_unread_cells"
 CORRUPT = "_corrupt_record"
@@ -161,8 +160,8 @@ def read_raw_tables(
     """Delimited files as text columns named by their headers, and UNEVEN, per table.
 
     A list of paths names each table by its file name; files of one table must have the same
-    header. ``multi_line`` allows line ends inside
-    quoted cells, at the price of one task per file.
+    header. ``multi_line`` allows line ends inside quoted cells, at the price of one task per
+    file.
     """
     if not isinstance(paths, Mapping):
         paths = {table_name(path.rstrip("/")): path for path in paths}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,7 +28,6 @@ ROW_BYTES = 8
 # Restoring by join: a token held by more than this share of all words is hot. At most
 # 1/share tokens are, which bounds what is kept for them.
 HOT_SHARE = 1 / 500
-SALTS = 64
 # Working columns beside those of the caller.
 ROW, FOUND = "_restore_row", "_restore_names"
 NOT_UNIQUE = "restore_text: id_cols do not identify a row"
@@ -110,17 +110,22 @@ def _restore_by_lookup(df, text_col, names, terms, style) -> DataFrame:
     return df.withColumn(text_col, restored)
 
 
-def _hot_words(words: DataFrame) -> list[str]:
-    """Tokens that hold a large share of all words, by a sketch that tasks merge.
+def _hot_words(words: DataFrame) -> tuple[list[str], int]:
+    """Tokens that hold a large share of all words, and over how many tasks to deal each.
 
-    The sketch only decides which words are salted; the result is the same without it.
+    They are found by a sketch that tasks merge. It only decides which words are salted; the
+    result is the same without it.
     """
     tracked = int(4 / HOT_SHARE)
     row = words.agg(
         F.expr(f"approx_top_k(word, {int(1 / HOT_SHARE)}, {tracked})").alias("top"),
         F.count("word").alias("n"),
     ).first()
-    return [r["item"] for r in row["top"] or [] if r["count"] > max(row["n"] * HOT_SHARE, SALTS)]
+    top = {r["item"]: r["count"] / row["n"] for r in row["top"] or []}
+    hot = {word: share for word, share in top.items() if share > HOT_SHARE}
+    # As many salts as shuffle partitions the hottest word would fill.
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return list(hot), max(2, math.ceil(max(hot.values(), default=0) * partitions))
 
 
 def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
@@ -129,10 +134,10 @@ def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
     text = column(text_col)
     words = df.select(row.alias(ROW), F.posexplode(token_words(text, style)).alias("pos", "word"))
     # A hot word is dealt over the salts, and its dictionary row repeated for each.
-    hot = _hot_words(words)
-    dealt = F.pmod(F.xxhash64(ROW, "pos"), F.lit(SALTS)).cast("int")
+    hot, salts = _hot_words(words)
+    dealt = F.pmod(F.xxhash64(ROW, "pos"), F.lit(salts)).cast("int")
     salted = words.withColumn("salt", F.when(F.col("word").isin(hot), dealt).otherwise(0))
-    repeats = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+    repeats = F.when(F.col("token").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     by_salt = names.select("token", "term", F.explode(repeats).alias("token_salt"))

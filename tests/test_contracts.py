@@ -112,6 +112,12 @@ def test_files_of_a_table_must_share_the_header(spark, contract, tmp_path):
         raw["codes"].collect()
 
 
+def test_a_contract_may_demand_nothing(spark):
+    raw = {"t": spark.createDataFrame([(None, "1")], "a string, b string")}
+    rules = {"t": (ColumnRule("a", "string", True), ColumnRule("b", "object", True))}
+    assert tc.violations(raw, rules).count() == 0
+
+
 def test_uneven_records_are_counted(spark, tmp_path, rows):
     rules = {"t": (ColumnRule("a", "string", True), ColumnRule("b", "string", True))}
     text = 'a;b\n1;2\n"two\nlines";3\n4\n5;6;7\n"x;y";8\n'

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 import tablecheck as tc
 from tablecheck.functions import token_of
+from tablecheck.operators.texts import _hot_words
 
 TERMS = ("A_B", "A_B_C", "PLAIN", "x.y_z")
 TEXTS = [
@@ -65,7 +66,6 @@ def test_tokens_and_dictionary(spark, terms):
 def test_restore(spark, plan, monkeypatch):
     strategy = "join" if plan == "salted" else plan
     if plan == "salted":
-        monkeypatch.setattr("tablecheck.operators.texts.SALTS", 3)
         monkeypatch.setattr("tablecheck.operators.texts.HOT_SHARE", 1 / 50)
     df, style = frame(spark, [*TEXTS, None, *['"hot" "hot" "cold"'] * 20]), tc.TokenStyle(TERMS)
     dictionary = tc.term_dictionary(df, "t", style)
@@ -140,6 +140,17 @@ def test_style_options(spark):
     ]
 
 
+def test_hot_words_are_dealt_out(spark):
+    words = spark.range(1000).selectExpr("IF(id % 2 = 0, 'hot', 'w' || id) AS word")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert _hot_words(words) == (["hot"], 50)
+        assert _hot_words(words.limit(0)) == ([], 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_style_is_checked():
     with pytest.raises(ValueError, match="1 to 64"):
         tc.TokenStyle(width=0)
