@@ -407,7 +407,7 @@ def reconcile(
     are then counted without a shuffle; if it is not so, copies meet in all combinations.
     ``digest_first`` is for wide tables that are expected to agree almost everywhere: rows
     with equal digests of all values are left out before whole rows move, for a second scan.
-    It applies to unique keys without ``keep_equal``. ``pin_inputs`` writes the compared
+    It applies to keys that do not repeat, without ``keep_equal``. ``pin_inputs`` writes the compared
     columns of both sides to the scratch folder first: for inputs that are costly to compute
     or differ from run to run, as they are read by more than one job.
     """
@@ -461,11 +461,14 @@ def reconcile(
     many = profile.hot_rows(hot_rows)
     null_ks = profile.keys_null_on_both_sides(ks)
 
-    cancelled = None
-    if not profile.repeated_keys:
+    def join_unique(l: DataFrame, r: DataFrame) -> DataFrame:
         if digest_first and not keep_equal:
             l, r = only_changed(l, r, ks, vs, null_ks)
-        joined = full_outer(l, r, ks, vs, null_ks)
+        return full_outer(l, r, ks, vs, null_ks)
+
+    cancelled = None
+    if not profile.repeated_keys:
+        joined = join_unique(l, r)
     elif on_duplicates == "error":
         raise ValueError(
             f"keys repeat: {profile.duplicated_left} keys on the left, "
@@ -482,7 +485,7 @@ def reconcile(
     elif profile.few_repeat:
         unique, repeated = split_by_repetition(l, r, ks)
         paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, many)
-        joined = full_outer(*unique, ks, vs, null_ks).unionByName(paired)
+        joined = join_unique(*unique).unionByName(paired)
     else:
         joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, many)
     return Reconciliation(

@@ -123,6 +123,7 @@ def test_few_repeating_keys_are_handled_apart(spark, monkeypatch):
         ("u0", (0, 1.0), None): 1, ("u100", None, (100, 1.0)): 1,
         ("d", (1, 1.0), (3, 1.0)): 1, (None, (1, 1.0), (1, 1.5)): 1,
     }
+    assert as_pairs(tc.reconcile(*pair, ["k"], digest_first=True).rows) == got
     monkeypatch.setattr("tablecheck.plans.keys.FEW_ROWS", 0.0)
     again = tc.reconcile(*pair, ["k"])
     assert not again.profile.few_repeat and as_pairs(again.rows) == got
