@@ -29,7 +29,7 @@ def parse_date(value: Column, dtype: T.DataType) -> Column:
         return value
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return value.cast("date")
-    digits = F.regexp_replace(value.cast("string"), "-", "")
+    digits = F.replace(value.cast("string"), F.lit("-"), F.lit(""))
     return F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd")
 
 
