@@ -25,7 +25,7 @@ MEDIAN_CHI2, LIMIT = 4.351, 35.89
 GRAIN = 1000
 #: The least standard deviation of each measure, so that a group in which nearly all texts have
 #: no symbol, say, does not reject every text with one.
-FLOORS = (0.5, 0.05, 0.5, 0.5, 0.5)
+FLOORS = (0.5, 0.05, 0.5, 1.0, 1.0)
 D = len(FLOORS)
 SYMBOLS = "[^#*$%&|<>]+"
 

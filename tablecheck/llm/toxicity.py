@@ -30,9 +30,14 @@ MIN_COUNT = 5
 #: Words, and pairs of words, of the model: the most frequent ones of the labelled texts.
 MAX_WORDS, MAX_PAIRS = 200_000, 500_000
 DISCOUNT = 0.75
+#: Where the classes differ by less than this factor, both take the shared probability: the
+#: classes' mixtures of languages and subjects differ by chance.
+LEAST_FACTOR = 10.0
 #: Added to the length, so that short texts need more evidence a word.
 LENGTH_PRIOR = 30
-WORD = r"\w+"
+#: Expressions: up to four characters of a word, with the blank before it; inflected and compound
+#: forms of a rare word share them, and pairs join them again.
+WORD = r" ?\w{1,4}"
 BEGIN = ""
 CLASSES = ("toxic", "ordinary")
 #: A false alarm weighs as much as so many misses.
@@ -66,6 +71,7 @@ class Model:
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             hit = (self.pairs[at] == key) & (before >= 0) & (ids >= 0)
             ratio = np.where(hit, self.pair_ratio[at], ratio)
+        ratio = np.where(np.abs(ratio) < math.log(LEAST_FACTOR), 0.0, ratio)
         return float(ratio.sum() / (len(ids) + LENGTH_PRIOR))
 
     def score(self, text: str | None) -> float:
@@ -77,15 +83,19 @@ def words_of(text: str | None) -> list[str]:
 
 
 def labelled_sample(labels: DataFrame, texts_per_class: int) -> DataFrame:
-    """(id, toxic, tune) of at most ``texts_per_class`` rows of each class, by least hashes.
+    """(id, toxic, tune): equally many rows of both classes, those with the least hashes.
 
-    A fifth of them, by another hash, tunes the threshold and is not counted.
+    There are as many as the rarer class has, up to ``texts_per_class``: discounts weigh
+    on small counts, so classes of different sizes would differ where their texts do not. A
+    fifth of the rows, by another hash, tunes the threshold and is not counted.
     """
     hashed = (
         labels.where("id is not null and toxic in (0, 1)").distinct()
         .withColumn("h", F.xxhash64("id", F.lit("sample")))
     )
-    parts = [hashed.where(F.col("toxic") == c).orderBy("h", "id").limit(texts_per_class) for c in (0, 1)]
+    sizes = {r["toxic"]: r["n"] for r in hashed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = min(texts_per_class, *(sizes.get(c, 0) for c in (0, 1)))
+    parts = [hashed.where(F.col("toxic") == c).orderBy("h", "id").limit(n) for c in (0, 1)]
     tune = F.pmod(F.xxhash64("id", F.lit("tune")), F.lit(5)) == 0
     return parts[0].union(parts[1]).select("id", F.col("toxic").cast("int").alias("toxic"), tune.alias("tune"))
 
