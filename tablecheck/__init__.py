@@ -8,9 +8,10 @@ from tablecheck.checks import (
 from tablecheck.functions import TokenStyle, token_of
 from tablecheck.operators import *  # noqa: F403
 from tablecheck.operators import __all__ as _operators
-from tablecheck.session import configure
+from tablecheck.session import configure, release, scratch
 from tablecheck.sinks import (
     preview,
+    read_report,
     write_dictionary,
     write_partitioned,
     write_rows,

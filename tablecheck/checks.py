@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tablecheck.operators.reconcile import Reconciliation, reconcile
 from tablecheck.operators.sampling import Sample
-from tablecheck.sources.tables import read_table
+from tablecheck.sources.tables import format_of, read_table
 
 
 def reconcile_files(
@@ -21,18 +22,26 @@ def reconcile_files(
     header: bool | None = None,
     infer_schema: bool | None = None,
     numeric_cols: Sequence[str] | None = None,
+    fmt: str | None = None,
+    schema: T.StructType | str | None = None,
+    reader_options: Mapping[str, object] | None = None,
     **options,
 ) -> Reconciliation:
-    """``reconcile`` on two paths; each path's ending decides its format.
+    """``reconcile`` on two paths; each path's ending decides its format unless ``fmt`` does.
 
-    Delimited columns read without inference are text, so their numbers are compared
-    within the tolerance unless ``numeric_cols`` says which ones.
+    Delimited columns read without inference or ``schema`` are text, so their numbers are
+    compared within the tolerance unless ``numeric_cols`` says which ones. ``reader_options``
+    (``multiLine``, ``escape``, ``encoding``, ...) go to Spark's reader.
     """
+    paths = (left_path, right_path)
     left, right = (
-        read_table(spark, path, sep=sep, header=header, infer_schema=infer_schema)
-        for path in (left_path, right_path)
+        read_table(
+            spark, path, fmt=fmt, sep=sep, header=header, infer_schema=infer_schema,
+            schema=schema, **(reader_options or {}),
+        )
+        for path in paths
     )
-    untyped = not infer_schema and any(p.endswith(".csv") for p in (left_path, right_path))
+    untyped = not infer_schema and schema is None and "csv" in [fmt or format_of(p) for p in paths]
     if numeric_cols is None:
         numeric_cols = ("*",) if untyped else ()
     return reconcile(left, right, keys, numeric_cols=numeric_cols, **options)
@@ -70,7 +79,9 @@ def assert_dataframes_approx_equal(
     ).pin()
     _print_counts(result, count_nulls, show_detailed_regression)
     if output_path_name and result.write_report(output_path_name):
-        print(f"the tables differ, see {output_path_name}")
+        # With keep_equal the report has rows where nothing differs.
+        differ = not keep_equal or not result.mismatches.isEmpty()
+        print(f"the tables {'differ' if differ else 'agree'}, see {output_path_name}")
     return result.rows
 
 
@@ -104,6 +115,6 @@ def assert_files_approx_equal(
     if output_csv_path and result.write_report(output_csv_path, stamped=True):
         result.rows.show()
     # Text columns against typed ones differ in type by nature.
-    alike = df1_path.endswith(".csv") == df2_path.endswith(".csv") or bool(infer_schema)
+    alike = format_of(df1_path) == format_of(df2_path) or bool(infer_schema)
     totals = result.assert_equal(check_schema=alike)
     print(f"tables are identical, {totals['seconds']} seconds")

@@ -60,19 +60,45 @@ def _within(left: Column, right: Column, tolerance: float) -> Column:
     return (difference < F.lit(tolerance)) & (difference > F.lit(-tolerance))
 
 
+# What reads as a number in text of unknown kind: neither codes that begin with 0 or end in a
+# type letter nor an exponent without a point, such as 0012, 12d and 1e3.
+STRICT_NUMBER = r"^[+-]?(0|[1-9][0-9]*)([.][0-9]+([eE][+-]?[0-9]+)?)?$"
+# What reads as a number in text that holds numbers.
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def _texts_within(left: Column, right: Column, tolerance: float, pattern: str) -> Column:
+    """Texts that both match ``pattern``, as decimals while they fit, else as doubles."""
+
+    def apart(dtype: str) -> Column:
+        return _within(left.try_cast(dtype), right.try_cast(dtype), tolerance)
+
+    whole = left.rlike(WHOLE) & right.rlike(WHOLE)
+    fits = left.try_cast("decimal(38,18)").isNotNull() & right.try_cast("decimal(38,18)").isNotNull()
+    long = left.try_cast("decimal(38,0)").isNotNull() & right.try_cast("decimal(38,0)").isNotNull()
+    close = (
+        F.when(whole & long, apart("decimal(38,0)")).when(fits, apart("decimal(38,18)"))
+        .otherwise(apart("double"))
+    )
+    return left.rlike(pattern) & right.rlike(pattern) & close
+
+
 def approx_equal(
-    left: Column, right: Column, dtype: T.DataType, tolerance: float, text_as_number: bool = False
+    left: Column, right: Column, dtype: T.DataType, tolerance: float,
+    text_numbers: str | None = None,
 ) -> Column:
     """True when both are null, both are the same value, or numbers closer than ``tolerance``.
 
     Longs and decimals are subtracted in their own type, so large values keep every
-    digit. With ``text_as_number`` text that reads as a number is compared as one.
+    digit. Text is compared as a number where both sides match ``text_numbers``,
+    STRICT_NUMBER or NUMBER.
     """
     same = left.eqNullSafe(right)
     if isinstance(dtype, T.NumericType):
         close = _within(left, right, tolerance)
-    elif text_as_number and isinstance(dtype, T.StringType):
-        close = _within(left.try_cast("double"), right.try_cast("double"), tolerance)
+    elif text_numbers is not None and isinstance(dtype, T.StringType):
+        close = _texts_within(left, right, tolerance, text_numbers)
     else:
         return same
     return F.coalesce(same | close, F.lit(False))

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.functions.columns import column
-from tablecheck.functions.compare import approx_equal, castable_to_double, common_type
+from tablecheck.functions.compare import (
+    NUMBER,
+    STRICT_NUMBER,
+    approx_equal,
+    castable_to_double,
+    common_type,
+)
 from tablecheck.operators.sampling import Sample, key_in_sample, sample_rows
 from tablecheck.operators.standardize import (
     counted,
@@ -20,7 +26,7 @@ from tablecheck.operators.standardize import (
     standardize_dates,
     upper_names,
 )
-from tablecheck.plans.copies import pair_copies, split_by_repetition
+from tablecheck.plans.copies import Twins, pair_copies, split_by_repetition
 from tablecheck.plans.digests import only_changed
 from tablecheck.plans.folding import unfold
 from tablecheck.plans.joining import fan_out, full_outer
@@ -29,14 +35,13 @@ from tablecheck.plans.keys import (
     KeyProfile,
     count_unique_keys,
     key_counts,
+    null_safe,
     profile_keys,
 )
 from tablecheck.session import in_parallel, pin
 from tablecheck.sinks.reports import write_rows
 
 ON_DUPLICATES = ("pair", "fanout", "error")
-# With on_duplicates="fanout": output rows allowed per input row.
-MAX_FANOUT = 4
 
 
 @dataclass(frozen=True)
@@ -47,7 +52,8 @@ class Layout:
     values: tuple[str, ...]
     key_types: tuple[T.DataType, ...]
     value_types: tuple[T.DataType, ...]
-    text_numbers: frozenset[str]
+    # For text values that are compared as numbers, the pattern of a number.
+    text_numbers: dict[str, str]
     suffixes: tuple[str, str]
     tolerance: float
     numeric_only: bool
@@ -86,7 +92,7 @@ class Layout:
         """Add one flag per value to ``full_outer`` rows."""
         flags = [
             approx_equal(
-                F.col(f"l{i}"), F.col(f"r{i}"), dtype, self.tolerance, name in self.text_numbers
+                F.col(f"l{i}"), F.col(f"r{i}"), dtype, self.tolerance, self.text_numbers.get(name)
             ).alias(f"f{i}")
             for i, (name, dtype) in enumerate(zip(self.values, self.value_types))
         ]
@@ -302,10 +308,8 @@ class Reconciliation:
 
         ``ordered`` sorts them by key, descending. The other options are ``write_rows``'.
         """
-        rows = self.pin().report(null_key_text)
-        if ordered:
-            rows = rows.orderBy(*[column(k).desc() for k in self.layout.keys])
-        return write_rows(rows, path, **options)
+        order = [column(k).desc() for k in self.layout.keys] if ordered else []
+        return write_rows(self.pin().report(null_key_text), path, ordered_by=order, **options)
 
     def assert_equal(self, report_path: str | None = None, check_schema: bool = True) -> dict:
         """Raise ``AssertionError`` unless the tables agree; return the run's totals.
@@ -346,21 +350,26 @@ def _layout(
         raise ValueError(f"columns missing on one side: {missing}")
     values = sorted(set(shared if value_cols is None else value_cols) - set(keys))
     types = {c: common_type(c, left_types[c], right_types[c]) for c in keys}
-    text_numbers = set()
+    unknown = [c for c in numeric_cols if c != "*" and c not in values]
+    if unknown:
+        raise ValueError(f"numeric_cols are no value columns: {unknown}")
+    text_numbers = {}
     for c in values:
         if numeric_only:
             types[c] = T.DoubleType()
             continue
         types[c] = common_type(c, left_types[c], right_types[c])
         one_is_number = any(isinstance(t[c], T.NumericType) for t in (left_types, right_types))
-        if one_is_number or c in numeric_cols or "*" in numeric_cols:
-            text_numbers.add(c)
+        if one_is_number or c in numeric_cols:
+            text_numbers[c] = NUMBER
+        elif "*" in numeric_cols:
+            text_numbers[c] = STRICT_NUMBER
     layout = Layout(
         keys=tuple(keys),
         values=tuple(values),
         key_types=tuple(types[c] for c in keys),
         value_types=tuple(types[c] for c in values),
-        text_numbers=frozenset(text_numbers),
+        text_numbers=text_numbers,
         suffixes=(suffixes[0], suffixes[1]),
         tolerance=tolerance,
         numeric_only=numeric_only,
@@ -385,7 +394,7 @@ def reconcile(
     strict_shape: bool = True,
     on_duplicates: str = "pair",
     numeric_only: bool = False,
-    max_fanout: float = MAX_FANOUT,
+    max_fanout: float | None = None,
     hot_rows: int = HOT_ROWS,
     unique_keys: bool = False,
     digest_first: bool = False,
@@ -395,12 +404,13 @@ def reconcile(
 
     One job counts rows and keys of both sides; the counts gate the comparison
     (``strict_shape``) and choose its plan. Unique keys, the usual case, take one full outer
-    join. Repeated keys are paired copy by copy (``"pair"``), joined in all combinations if
-    that gives at most ``max_fanout`` rows per input row (``"fanout"``), or refused
+    join. Repeated keys are paired copy by copy (``"pair"``), joined in all combinations
+    (``"fanout"``; with ``max_fanout`` only if that gives no more rows per input row), or refused
     (``"error"``).
 
-    ``numeric_cols`` names text columns whose numbers are compared with the tolerance
-    (``"*"`` for all); ``numeric_only`` turns every value into a double, null if it is no
+    ``numeric_cols`` names text columns whose numbers are compared with the tolerance.
+    ``"*"`` stands for all, where only text that can hardly be a code is a number: no leading
+    zeros, no type letter, no exponent without a point. ``numeric_only`` turns every value into a double, null if it is no
     number. ``date_range`` is ``(column, start, end)``, both ends included.
 
     ``unique_keys`` says that no key repeats on either side, as for a primary key. The keys
@@ -449,16 +459,26 @@ def reconcile(
             f"{profile.rows_left} x {len(left.columns)} {left.columns} and "
             f"{profile.rows_right} x {len(right.columns)} {right.columns}"
         )
-    if sample is not None:
+    if sample is not None and by_key:
         l, r = sample_rows(l, ks, sample), sample_rows(r, ks, sample)
-        if not by_key:
-            drawn = count(l, r, ks)
-            profile = replace(
-                drawn, rows_left=profile.rows_left, rows_right=profile.rows_right,
-                null_counts=profile.null_counts,
-            )
+    elif sample is not None:
+        # Drawn once, on one side, and written: both sides keep the keys that were drawn.
+        drawn = pin(sample_rows(l, ks, sample).select(*ks).distinct(), "sample")
+        drawn = drawn.select(*[F.col(k).alias(f"h_{k}") for k in ks])
+        on = null_safe([F.col(k) for k in ks], [F.col(f"h_{k}") for k in ks])
+        l, r = l.join(drawn, on, "left_semi"), r.join(drawn, on, "left_semi")
+        counted_rows = count(l, r, ks)
+        profile = replace(
+            counted_rows, rows_left=profile.rows_left, rows_right=profile.rows_right,
+            null_counts=profile.null_counts,
+        )
     prepared = (l, r)
-    many = profile.hot_rows(hot_rows)
+    twins = Twins(abs_tol, tuple(
+        v for v, name, dtype in zip(vs, layout.values, layout.value_types)
+        # Whole numbers closer than 1 are equal.
+        if (abs_tol > 1 and isinstance(dtype, T.IntegralType)) or name in layout.text_numbers
+        or isinstance(dtype, (T.FractionalType, T.DecimalType))
+    ))
     null_ks = profile.keys_null_on_both_sides(ks)
 
     def join_unique(l: DataFrame, r: DataFrame) -> DataFrame:
@@ -475,19 +495,19 @@ def reconcile(
             f"{profile.duplicated_right} on the right"
         )
     elif on_duplicates == "fanout":
-        allowed = max_fanout * (profile.sampled_left + profile.sampled_right)
-        if profile.pairs > allowed:
+        rows = profile.sampled_left + profile.sampled_right
+        if max_fanout is not None and profile.pairs > max_fanout * rows:
             raise ValueError(
                 f"repeated keys would give {profile.pairs} pairs, more than {max_fanout} per "
                 "input row; use on_duplicates='pair'"
             )
-        joined = fan_out(l, r, ks, vs, null_ks, profile.max_copies, many)
+        joined = fan_out(l, r, ks, vs, null_ks, profile.max_copies, hot_rows)
     elif profile.few_repeat:
         unique, repeated = split_by_repetition(l, r, ks)
-        paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, many)
+        paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, hot_rows, twins)
         joined = join_unique(*unique).unionByName(paired)
     else:
-        joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, many)
+        joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, hot_rows, twins)
     return Reconciliation(
         spark=left.sparkSession,
         layout=layout,

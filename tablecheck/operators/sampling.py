@@ -18,8 +18,9 @@ SEED = 42
 @dataclass(frozen=True)
 class Sample:
     """``method="key"`` keeps the rows whose key hashes low, so both sides keep the same
-    keys however they are stored. ``method="row"`` draws rows at random on each side, as
-    ``DataFrame.sampleBy`` does when every stratum has the same fraction.
+    keys however they are stored. ``method="row"`` draws rows at random, as
+    ``DataFrame.sampleBy`` does when every stratum has the same fraction; ``reconcile`` draws
+    them on the left and keeps the keys drawn on both sides.
     """
 
     fraction: float = 0.10

@@ -25,12 +25,12 @@ from tablecheck.operators.standardize import counted
 # travels to the texts as a constant of the plan.
 LOOKUP_BYTES = 2 * 1024 * 1024
 ROW_BYTES = 8
-# Restoring by join: a token held by more than this share of all words is hot. At most
-# 1/share tokens are, which bounds what is kept for them.
-HOT_SHARE = 1 / 500
+# Restoring by join: a token is hot if it would fill a shuffle partition, or holds a 500th of
+# all words. At most 1/share tokens are, which bounds what is kept for them.
+MOST_HOT, LEAST_HOT = 20_000, 500
 # Working columns beside those of the caller.
-ROW, FOUND = "_restore_row", "_restore_names"
-NOT_UNIQUE = "restore_text: id_cols do not identify a row"
+ROW, FOUND, ORIGINAL = "_restore_row", "_restore_names", "_restore_original"
+NOT_UNIQUE = "restore_text: different texts of one id have the same hash"
 
 
 def tokenize_text(df: DataFrame, text_col: str, style: TokenStyle = TokenStyle()) -> DataFrame:
@@ -78,8 +78,9 @@ def restore_text(
     """``df`` with the known tokens of its text column replaced by their terms.
 
     A dictionary of at most LOOKUP_BYTES travels to the texts as a constant, and no text is
-    shuffled (``"lookup"``). A larger one is joined to the words of the texts
-    (``"join"``); then ``id_cols`` must identify a row. ``"auto"`` measures the dictionary.
+    shuffled. A larger one, or any with strategy ``"join"``, is joined to the words of the
+    texts, which meet their texts again by ``id_cols`` and a hash of the text. The result is
+    the same; ``id_cols`` may repeat.
     A token that stands for several terms gives the first of them in text order.
     """
     if strategy not in ("auto", "lookup", "join"):
@@ -93,8 +94,6 @@ def restore_text(
     size = names.agg(F.count("*").alias("terms"), F.sum(length).alias("bytes")).first()
     if (size["bytes"] or 0) <= LOOKUP_BYTES:
         return _restore_by_lookup(df, text_col, names, size["terms"], style)
-    if strategy == "lookup":
-        raise ValueError(f"the dictionary exceeds {LOOKUP_BYTES} bytes; use strategy='join'")
     return _restore_by_join(df, text_col, names, id_cols, style)
 
 
@@ -116,22 +115,22 @@ def _hot_words(words: DataFrame) -> tuple[list[str], int]:
     They are found by a sketch that tasks merge. It only decides which words are salted; the
     result is the same without it.
     """
-    tracked = int(4 / HOT_SHARE)
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hottest = min(MOST_HOT, max(LEAST_HOT, partitions))
     row = words.agg(
-        F.expr(f"approx_top_k(word, {int(1 / HOT_SHARE)}, {tracked})").alias("top"),
+        F.expr(f"approx_top_k(word, {hottest}, {4 * hottest})").alias("top"),
         F.count("word").alias("n"),
     ).first()
     top = {r["item"]: r["count"] / row["n"] for r in row["top"] or []}
-    hot = {word: share for word, share in top.items() if share > HOT_SHARE}
+    hot = {word: share for word, share in top.items() if share > 1 / hottest}
     # As many salts as shuffle partitions the hottest word would fill.
-    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return list(hot), max(2, math.ceil(max(hot.values(), default=0) * partitions))
 
 
 def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
     # As a struct, ids are equal also where they are null.
-    row = F.struct(*[column(c) for c in id_cols])
     text = column(text_col)
+    row = F.struct(*[column(c) for c in id_cols], F.xxhash64(text), F.length(text))
     words = df.select(row.alias(ROW), F.posexplode(token_words(text, style)).alias("pos", "word"))
     # A hot word is dealt over the salts, and its dictionary row repeated for each.
     hot, salts = _hot_words(words)
@@ -146,7 +145,8 @@ def _restore_by_join(df, text_col, names, id_cols, style) -> DataFrame:
     # move once, to meet their words.
     found = F.struct("pos", F.coalesce("term", "word").alias("name"))
     lists = salted.join(by_salt, met, "left").groupBy(ROW).agg(
-        F.sort_array(F.collect_list(found))["name"].alias(FOUND)
+        # A set, as rows with the same ids and text give the same words.
+        F.sort_array(F.collect_set(found))["name"].alias(FOUND)
     )
     error = F.raise_error(F.lit(NOT_UNIQUE)).cast("string")
     restored = restore_with_list(text, F.col(FOUND), style, error)
@@ -162,9 +162,11 @@ def round_trip_failures(
     """Texts that do not come back the same: ``(ids, original, restored)``."""
     if dictionary is None:
         dictionary = term_dictionary(df, text_col, style)
-    tokenized = tokenize_text(df, text_col, style)
-    restored = restore_text(tokenized, text_col, dictionary, id_cols, style, strategy)
-    renamed = restored.select(*[column(c) for c in id_cols], column(text_col).alias("restored"))
-    original = df.select(*[column(c) for c in id_cols], column(text_col).alias("original"))
-    both = original.join(renamed, list(id_cols), "left")
-    return both.filter(~F.col("original").eqNullSafe(F.col("restored")))
+    kept = [column(c) for c in id_cols if c != text_col]
+    original = df.select(*kept, column(text_col), column(text_col).alias(ORIGINAL))
+    tokenized = tokenize_text(original, text_col, style)
+    both = restore_text(tokenized, text_col, dictionary, id_cols, style, strategy)
+    return both.filter(~column(ORIGINAL).eqNullSafe(column(text_col))).select(
+        *[column(c) for c in id_cols], column(ORIGINAL).alias("original"),
+        column(text_col).alias("restored"),
+    )

@@ -8,8 +8,9 @@ right copy. The result never has more rows than both inputs together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.plans.folding import fold, unfold
@@ -18,10 +19,32 @@ from tablecheck.session import pin
 
 
 def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    window = Window.partitionBy(*group).orderBy(*order)
+    window = Window.partitionBy(*group).orderBy(*(order or [F.lit(0)]))
     return df.drop("nth").withColumn("copy", F.row_number().over(window).cast("bigint"))
 
 
+@dataclass(frozen=True)
+class Twins:
+    """Values that are compared within ``tolerance``: the columns ``near``."""
+
+    tolerance: float
+    near: tuple[str, ...]
+
+    def order(self, vs: Sequence[str]) -> list[Column]:
+        """Exactly compared values first, so that near ones cannot reorder the others."""
+        names = [v for v in vs if v not in self.near] + [v for v in vs if v in self.near]
+        return [F.col(v) for v in names] or [F.lit(0)]
+
+    def cells(self, vs: Sequence[str], shift: float) -> list[Column]:
+        """Exact values as they are, near ones by their cell of one tolerance's width."""
+
+        def cell(v: str) -> Column:
+            place = F.floor(F.col(v).try_cast("double") / F.lit(self.tolerance) + F.lit(shift))
+            return F.coalesce(place.cast("string"), F.col(v).cast("string"))
+
+        return [cell(v) if v in self.near else F.col(v) for v in vs]
+
+
 def _numbered_by_range(
     df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int
 ) -> DataFrame:
@@ -52,7 +75,7 @@ def _numbered_by_range(
     on &= F.col("part") == F.col("s_part")
     local = _numbered(pinned, [*group, "part"], order)
     shifted = F.col("copy") + F.coalesce(F.col("shift"), F.lit(0))
-    return local.join(F.broadcast(shifts), on, "left").select(
+    return local.join(broadcast_measured(pin(shifts, "shifts")), on, "left").select(
         *group, *order, shifted.alias("copy")
     )
 
@@ -64,8 +87,8 @@ def number_copies(
     side in value order.
 
     With at most ``hot_rows`` copies per key a window does it, and the rows stay
-    partitioned by key for what follows; larger groups, at most MAX_HOT_KEYS of them, are
-    numbered in ranges.
+    partitioned by key for what follows; larger groups are numbered in ranges. ``vs`` gives
+    the order.
     """
     group = [*ks, "from_left"]
     names = [*group, *vs]
@@ -93,12 +116,14 @@ def number_copies(
 
 def pair_copies(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
-    max_copies: int, hot_rows: int,
+    max_copies: int, hot_rows: int, twins: Twins = Twins(0.0, ()),
 ) -> tuple[DataFrame, DataFrame]:
     """The paired remainder, as ``full_outer`` rows, and the rows that cancelled out.
 
     The second frame is ``(keys, values, copies)``. Two shuffles: whole rows for the
-    counts, and what did not cancel for the pairs.
+    counts, and what did not cancel for the pairs. Where values may differ within a tolerance, what
+    did not cancel first meets its twins: rows in one cell of a grid of the tolerance's width,
+    and then of that grid moved by half a cell. Only what is left is paired in value order.
     """
     folded = fold(left, right, ks, vs)
     n_left, n_right = F.col("n_left"), F.col("n_right")
@@ -108,7 +133,45 @@ def pair_copies(
     surplus = folded.filter(n_left != n_right).select(
         *ks, *vs, (n_left > n_right).alias("from_left"), F.abs(n_left - n_right).alias("copies")
     )
-    numbered = number_copies(surplus, ks, vs, max_copies, hot_rows)
+    met = None
+    if twins.tolerance > 0 and twins.near:
+        for shift in (0.0, 0.5):
+            found, surplus = _pair_in_cells(surplus, ks, vs, twins, shift, max_copies)
+            met = found if met is None else met.unionByName(found)
+    order = [v for v in vs if v not in twins.near] + [v for v in vs if v in twins.near]
+    numbered = number_copies(surplus, ks, order, max_copies, hot_rows)
+    paired = _paired(numbered, ks, vs)
+    return (paired if met is None else met.unionByName(paired)), cancelled
+
+
+def _pair_in_cells(
+    surplus: DataFrame, ks: Sequence[str], vs: Sequence[str], twins: Twins, shift: float,
+    max_copies: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a left and a right row in one cell, and the rows that are left.
+
+    Grouping by key and cell spreads a key whose values lie apart over all tasks.
+    """
+    names = [*ks, "from_left", *vs]
+    cells = [f"c_{v}" for v in vs]
+    rows = unfold(surplus, names, max_copies)
+    rows = rows.select("*", *[c.alias(n) for c, n in zip(twins.cells(vs, shift), cells)])
+    place = Window.partitionBy(*ks, *cells, "from_left").orderBy(*twins.order(vs))
+    rows = rows.drop("nth").withColumn("copy", F.row_number().over(place).cast("bigint"))
+    whole = pin(_paired(rows, [*ks, *cells], vs).drop(*cells), "twins")
+    alone = whole.where("side <> 'both'")
+    mark = F.col("side") == "left_only"
+    left = alone.select(
+        *ks, mark.alias("from_left"),
+        *[F.when(mark, F.col(f"l{v[1:]}")).otherwise(F.col(f"r{v[1:]}")).alias(v) for v in vs],
+        F.lit(1).cast("bigint").alias("copies"),
+    )
+    left = left.groupBy(*names).agg(F.sum("copies").alias("copies"))
+    return whole.where("side = 'both'"), left
+
+
+def _paired(numbered: DataFrame, ks: Sequence[str], vs: Sequence[str]) -> DataFrame:
+    """The n-th left copy beside the n-th right copy, as ``full_outer`` rows."""
     # A struct is never null where the row exists, even if all its values are.
     row = F.struct(F.lit(True).alias("here"), *vs)
     paired = numbered.groupBy(*ks, "copy").agg(
@@ -121,7 +184,7 @@ def pair_copies(
         .otherwise("both")
     )
     values = [F.col(f"{mark}.{v}").alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"]
-    return paired.select(*ks, *values, side.alias("side")), cancelled
+    return paired.select(*ks, *values, side.alias("side"))
 
 
 def split_by_repetition(
@@ -129,8 +192,7 @@ def split_by_repetition(
 ) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
     """Both sides without, and with only, the keys that repeat on either side.
 
-    For tables known to have few such keys: the caller has counted at most MAX_HOT_KEYS, so
-    they can be broadcast.
+    For tables in which few rows have such keys. The keys are broadcast if they are small.
     """
     repeated = key_counts(left, right, ks).filter("n_left > 1 OR n_right > 1")
     repeated = pin(repeated.select(*[F.col(k).alias(f"h_{k}") for k in ks]), "repeated")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.plans.joining import full_outer
-from tablecheck.plans.keys import MAX_HOT_KEYS, broadcast_measured, null_safe
+from tablecheck.plans.keys import broadcast_measured, null_safe
 from tablecheck.session import pin
 
 
@@ -34,9 +34,9 @@ def only_changed(
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides without the rows that are the same on both, for unique keys.
 
-    Keys and digests are shuffled instead of whole rows. If at most MAX_HOT_KEYS keys are
-    left, they are broadcast to a second scan; otherwise both sides are returned whole, as
-    most of them has to move anyway.
+    Keys and digests are shuffled instead of whole rows. The keys that are left go to a second
+    scan: broadcast if they are few, else by a shuffled semi-join. Where most rows differ, if only
+    by noise within the tolerance, nothing is gained.
     """
     digests = [
         df.select(*ks, row_digest(vs, df).alias("v0")) for df in (left, right)
@@ -47,8 +47,6 @@ def only_changed(
         .select(*[F.col(k).alias(f"h_{k}") for k in ks]),
         "changed",
     )
-    if changed.count() > MAX_HOT_KEYS:
-        return left, right
     changed = broadcast_measured(changed)
     on = null_safe([F.col(k) for k in ks], [F.col(f"h_{k}") for k in ks])
     return tuple(df.join(changed, on, "left_semi") for df in (left, right))

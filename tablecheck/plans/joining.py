@@ -15,11 +15,13 @@ from tablecheck.session import pin
 
 # From this number of text keys on, a hash of them is compared first.
 HASHED_TEXTS = 3
+# Pairs that one task may make, for each row it may hold.
+PAIRS_PER_ROW = 10
 
 
 def full_outer(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
-    null_ks: Sequence[str], also_on: Sequence[str] = (),
+    null_ks: Sequence[str], also_on: Sequence[str] = (), how: str = "full",
 ) -> DataFrame:
     """Rows ``(keys, l0.., r0.., side)`` of a full outer join: one exchange per side, and
     none for a side already bucketed by these keys.
@@ -48,7 +50,7 @@ def full_outer(
     ]
     same += [F.col(f"l_{name}") == F.col(f"r_{name}") for name in also_on]
     condition = reduce(and_, same)
-    joined = renamed(left, "l").join(renamed(right, "r"), condition, "full")
+    joined = renamed(left, "l").join(renamed(right, "r"), condition, how)
     side = (
         F.when(F.col("has_r").isNull(), "left_only")
         .when(F.col("has_l").isNull(), "right_only")
@@ -67,54 +69,58 @@ def fan_out(
 ) -> DataFrame:
     """Like ``full_outer`` when keys repeat: every left copy meets every right copy.
 
-    The caller has checked how many rows come out. A key with more than ``hot_rows``
-    copies on one side is dealt over several tasks: the larger side is split by salt, the
-    smaller side is repeated once per salt.
+    A key that makes more pairs, or has more rows, than a task should hold is dealt over a
+    grid: its left rows over the lines, its right rows over the columns, each repeated along
+    its line or column. A cell has about ``PAIRS_PER_ROW * hot_rows`` pairs at most.
     """
-    if max_copies <= hot_rows:
+    limit = PAIRS_PER_ROW * hot_rows
+    if max_copies <= hot_rows and max_copies**2 <= limit:
         return full_outer(left, right, ks, vs, null_ks)
 
-    larger = F.greatest("n_left", "n_right")
-    hot = (
-        key_counts(left, right, ks)
-        .filter(larger > hot_rows)
-        .select(
-            *[F.col(k).alias(f"h{k}") for k in ks],
-            (F.col("n_left") >= F.col("n_right")).alias("split_left"),
-            F.ceil(larger / hot_rows).cast("int").alias("salts"),
-        )
+    n_left, n_right = F.col("n_left"), F.col("n_right")
+    pairs = n_left.cast("decimal(19,0)") * n_right
+    hot = key_counts(left, right, ks).filter((pairs > limit) | (F.greatest(n_left, n_right) > hot_rows))
+    # A cell is a square, or as long as needed where the other side has few rows.
+    edge = F.lit(int(limit**0.5))
+    few = F.greatest(F.least(n_left, n_right, edge), F.lit(1))
+    length = F.least(F.floor(F.lit(limit) / few), F.lit(hot_rows))
+    wide = n_left >= n_right
+    lines = F.ceil(n_left / F.when(wide, length).otherwise(few))
+    columns = F.ceil(n_right / F.when(wide, few).otherwise(length))
+    hot = hot.select(
+        *[F.col(k).alias(f"h{k}") for k in ks], (n_left > 0).alias("in_left"),
+        (n_right > 0).alias("in_right"), F.greatest(lines, F.lit(1)).cast("int").alias("lines"),
+        F.greatest(columns, F.lit(1)).cast("int").alias("columns"),
     )
-    # At most MAX_HOT_KEYS rows: see KeyProfile.hot_rows.
     hot = broadcast_measured(pin(hot, "hot-keys"))
 
-    def salted(df: DataFrame, is_left: bool) -> DataFrame:
-        on = null_safe([F.col(k) for k in ks], [F.col(f"h{k}") for k in ks])
-        marked = df.select(*ks, *vs).join(hot, on, "left")
-        is_split = F.col("split_left") == F.lit(is_left)
-        whole = marked.filter(F.col("salts").isNull() | ~is_split).select(
-            *ks, *vs, F.col("salts").isNotNull().alias("repeated"),
-            F.explode(
-                F.when(F.col("salts").isNull(), F.array(F.lit(0)))
-                .otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-            ).alias("salt"),
-        )
-        names = [*ks, *vs, "salts"]
-        copies = marked.filter(is_split).groupBy(*names).agg(F.count("*").alias("copies"))
-        dealt = F.pmod(F.xxhash64(*ks, *vs, "nth"), F.col("salts")).cast("int")
-        split = unfold(copies, names, max_copies).select(
-            *ks, *vs, F.lit(False).alias("repeated"), dealt.alias("salt")
-        )
-        return whole.unionByName(split)
-
-    l, r = salted(left, True), salted(right, False)
-    value_names = [*vs, f"v{len(vs)}"]
-    joined = full_outer(
-        l.withColumnRenamed("repeated", value_names[-1]),
-        r.withColumnRenamed("repeated", value_names[-1]),
-        ks, value_names, null_ks, also_on=["salt"],
+    on = null_safe([F.col(k) for k in ks], [F.col(f"h{k}") for k in ks])
+
+    def dealt(df: DataFrame, own: str) -> DataFrame:
+        names = [*ks, *vs, "in_left", "in_right", "lines", "columns"]
+        copies = df.select(*ks, *vs).join(hot, on).groupBy(*names).agg(F.count("*").alias("copies"))
+        place = F.pmod(F.xxhash64(*ks, *vs, "nth"), F.col(own)).cast("int")
+        return unfold(copies, names, max_copies).withColumn(f"at_{own}", place)
+
+    def along(df: DataFrame, other: str) -> DataFrame:
+        both = df.where("in_left and in_right")
+        every = F.sequence(F.lit(0), F.col(other) - 1)
+        return both.select(*ks, *vs, f"at_{'columns' if other == 'lines' else 'lines'}", F.explode(every).alias(f"at_{other}"))
+
+    l, r = dealt(left, "lines"), dealt(right, "columns")
+    grid = ["at_lines", "at_columns"]
+    met = full_outer(along(l, "columns"), along(r, "lines"), ks, vs, null_ks, also_on=grid, how="inner")
+
+    def alone(df: DataFrame, side: str) -> DataFrame:
+        mine = side[0]
+        values = [
+            F.col(v).alias(f"{mark}{v[1:]}") if mark == mine
+            else F.lit(None).cast(df.schema[v].dataType).alias(f"{mark}{v[1:]}")
+            for v in vs for mark in "lr"
+        ]
+        return df.where("not (in_left and in_right)").select(*ks, *values, F.lit(side).alias("side"))
+
+    cold = full_outer(
+        left.join(hot, on, "left_anti"), right.join(hot, on, "left_anti"), ks, vs, null_ks
     )
-    # A repeated row that met no partner under one salt met its partners under another,
-    # because a hot key whose smaller side is empty repeats nothing.
-    left_repeat, right_repeat = F.col(f"l{len(vs)}"), F.col(f"r{len(vs)}")
-    unmet = (F.col("side") != "both") & F.coalesce(left_repeat, right_repeat)
-    return joined.filter(~unmet).drop(f"l{len(vs)}", f"r{len(vs)}")
+    return cold.unionByName(met).unionByName(alone(l, "left_only")).unionByName(alone(r, "right_only"))

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 1_000_000
-# Upper bound on the number of hot keys, hence on what is broadcast for them.
-MAX_HOT_KEYS = 100_000
 # Share of all rows up to which the rows of repeating keys are handled apart.
 FEW_ROWS = 0.1
 
@@ -65,13 +63,8 @@ class KeyProfile:
 
     @property
     def few_repeat(self) -> bool:
-        """Whether the repeating keys are few enough to broadcast, and hold few rows."""
-        rows = self.sampled_left + self.sampled_right
-        return self.repeated_keys <= MAX_HOT_KEYS and self.repeated_rows <= rows * FEW_ROWS
-
-    def hot_rows(self, limit: int) -> int:
-        """Rows above which a key is hot, such that at most MAX_HOT_KEYS keys are."""
-        return max(limit, (self.rows_left + self.rows_right) // MAX_HOT_KEYS)
+        """Whether the repeating keys hold few of all rows."""
+        return self.repeated_rows <= (self.sampled_left + self.sampled_right) * FEW_ROWS
 
 
 def profile_keys(

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 T, R = TypeVar("T"), TypeVar("R")
 JOBS_AT_ONCE = 4
+# Paths that this process has handed out and not released.
+_scratch: list[str] = []
 
 # Settings that may be changed on a running session. Memory and cores belong to the cluster,
 # so they are left alone.
@@ -46,24 +50,52 @@ def configure(
 
 def in_parallel(work: Callable[[str, T], R], items: Mapping[str, T]) -> dict[str, R]:
     """``work(name, item)`` for each item, a few jobs at a time so that small ones overlap."""
+    # Job groups and cancels of the caller's thread reach these threads.
+    run = inheritable_thread_target(lambda pair: work(*pair))
     with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
-        done = pool.map(lambda pair: work(*pair), items.items())
+        done = pool.map(run, items.items())
         return dict(zip(items, done))
 
 
 def scratch_path(spark: SparkSession, label: str = "table") -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+    """A fresh path in the session's checkpoint folder: the one that the caller set on the
+    context, or that ``spark.checkpoint.dir`` names.
 
     Only a local session without that setting gets a temporary folder; on a cluster
     a machine-local folder would not be seen by the other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tablecheck-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tablecheck/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tablecheck/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables of this process, from the ``since``-th on; returns how many.
+
+    Frames that read them can no longer be used, so call it when a run's results are written.
+    """
+    paths, _scratch[since:] = _scratch[since:], []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return len(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what the runs inside have written to the scratch folder."""
+    since = len(_scratch)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def pin(df: DataFrame, label: str = "table") -> DataFrame:

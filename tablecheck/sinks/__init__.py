@@ -1,7 +1,13 @@
-from tablecheck.sinks.reports import preview, write_partitioned, write_rows, write_tables
+from tablecheck.sinks.reports import (
+    preview,
+    read_report,
+    write_partitioned,
+    write_rows,
+    write_tables,
+)
 from tablecheck.sinks.texts import write_dictionary, write_texts
 
 __all__ = [
-    "preview", "write_dictionary", "write_partitioned", "write_rows", "write_tables",
-    "write_texts",
+    "preview", "read_report", "write_dictionary", "write_partitioned", "write_rows",
+    "write_tables", "write_texts",
 ]

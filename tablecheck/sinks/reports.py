@@ -5,33 +5,46 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tablecheck.functions.columns import column
 from tablecheck.session import in_parallel
 
+# How reports are written, and so read: quotes in values are doubled.
+CSV = {"header": True, "escape": '"'}
+
 
 def write_rows(
     df: DataFrame, path: str, *, fmt: str = "csv", single_file: bool = False,
-    stamped: bool = False, skip_empty: bool = True,
+    stamped: bool = False, skip_empty: bool = True, ordered_by: Sequence[Column] = (),
 ) -> bool:
     """Write ``df``; true when something was written. An empty frame is not written unless
     ``skip_empty`` is off, which saves looking.
 
     A plain path is overwritten. With ``stamped`` the run time is added to the path and an
     existing folder is an error. ``single_file`` sends the rows, once computed, to one
-    task: for reports known to be small.
+    task: for reports known to be small. ``ordered_by`` sorts them, in a single file too.
     """
     if skip_empty and df.isEmpty():
         return False
     if stamped:
         path = f"{path.removesuffix('.csv')}_{datetime.now():%Y-%m-%d_%H-%M-%S}"
-    writer = (df.repartition(1) if single_file else df).write
-    writer = writer.mode("errorifexists" if stamped else "overwrite").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    if single_file:
+        df = df.repartition(1)
+        if ordered_by:
+            df = df.sortWithinPartitions(*ordered_by)  # rows arrive from tasks in any order
+    elif ordered_by:
+        df = df.orderBy(*ordered_by)
+    writer = df.write.mode("errorifexists" if stamped else "overwrite").format(fmt)
+    (writer.options(**CSV) if fmt == "csv" else writer).save(path)
     return True
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report that ``write_rows`` wrote as CSV, as text, line ends in values included."""
+    return spark.read.csv(path, multiLine=True, **CSV)
+
+
 def write_tables(
     tables: dict[str, DataFrame], path: str, *, fmt: str = "parquet", mode: str = "errorifexists"
 ) -> dict[str, str]:

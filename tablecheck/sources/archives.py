@@ -45,6 +45,7 @@ def _record_reader(sep: str, batch_size: int):
                     yield rows(member, batch, False)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)  # a cell may be as long as Spark's strings
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -91,5 +92,8 @@ def unpacked_tables(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def read_archives(spark: SparkSession, path: str, sep: str = ";") -> dict[str, DataFrame]:
-    """The delimited tables inside the zip files at ``path``."""
+    """The delimited tables inside the zip files at ``path``.
+
+    Zip files are read whole by Spark's binary source, so each has less than 2 GiB.
+    """
     return unpacked_tables(unpack(spark.read.format("binaryFile").load(path), sep))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def format_of(path: str) -> str:
+    """``csv`` for paths that end in ``.csv``, with or without slashes behind, else ``parquet``."""
+    return "csv" if path.rstrip("/").endswith(".csv") else "parquet"
+
+
 def read_table(
     spark: SparkSession, path: str, *, fmt: str | None = None, sep: str = ";",
     header: bool | None = None, infer_schema: bool | None = None,
@@ -20,7 +25,7 @@ def read_table(
     files once more; on large inputs give a schema.
     """
     if fmt is None:
-        fmt = "csv" if path.rstrip("/").endswith(".csv") else "parquet"
+        fmt = format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         return reader.csv(

@@ -184,5 +184,12 @@ def test_large_members_come_in_batches():
     assert [len(f) for f in frames] == [1, 2, 2, 1]
 
 
+def test_long_cells_in_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "long.zip", "w") as archive:
+        archive.writestr("t.csv", "a;b\n1;" + "x" * 200_000 + "\n")
+    tables = read_archives(spark, str(tmp_path / "long.zip"))
+    assert len(tables["t"].first()["b"]) == 200_000
+
+
 def test_table_names():
     assert table_name("a/b/loans.2024.csv") == "loans"

@@ -259,7 +259,9 @@ def test_duplicates_fanout_and_error(spark):
         tc.reconcile(left, left, ["k"], on_duplicates="error")
     many = spark.createDataFrame([("d", float(i)) for i in range(20)], SCHEMA)
     with pytest.raises(ValueError, match="400 pairs"):
-        tc.reconcile(many, many, ["k"], on_duplicates="fanout")
+        tc.reconcile(many, many, ["k"], on_duplicates="fanout", max_fanout=4)
+    every = tc.reconcile(many, many, ["k"], on_duplicates="fanout", keep_equal=True)
+    assert every.rows.count() == 400
     with pytest.raises(ValueError, match="on_duplicates"):
         tc.reconcile(left, left, ["k"], on_duplicates="first")
 

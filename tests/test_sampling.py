@@ -50,6 +50,7 @@ def test_sample_needs_equal_counts(spark):
         tc.reconcile(left, left.limit(9), ["id"], sample=0.5)
     tc.reconcile(left, left, ["id"], sample=0.5).assert_equal()
     tc.reconcile(left, left, ["id"], sample=tc.Sample(0.5, "row")).assert_equal()
+    tc.reconcile(left, left.repartition(7), ["id"], sample=tc.Sample(0.5, "row")).assert_equal()
     with pytest.raises(ValueError, match="fraction"):
         tc.Sample(1.5)
     with pytest.raises(ValueError, match="method"):

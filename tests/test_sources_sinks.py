@@ -133,8 +133,57 @@ def test_texts(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).first()[0] == "a"
 
 
+def test_text_numbers_in_files(spark, tmp_path):
+    rows = [("a", "12d", "12f"), ("b", "9007199254740993", "9007199254740992"), ("c", "0012", "12"),
+            ("d", "1e3", "1000"), ("e", "1.0", "1.00001"), ("f", "1.5E3", "1500"), ("g", "x", "x"),
+            ("h", "123456789012345678901234567890", "123456789012345678901234567891")]
+    paths = [str(tmp_path / f"{n}.csv") for n in "lr"]
+    for i, path in enumerate(paths):
+        df = spark.createDataFrame([(r[0], r[i + 1]) for r in rows], "k string, v string")
+        tc.write_rows(df, path)
+    options = {"sep": ",", "header": True}
+    for left in (paths[0], paths[0] + "/"):
+        found = tc.reconcile_files(spark, left, paths[1], ["k"], **options).rows
+        assert sorted(r["K"] for r in found.collect()) == ["a", "b", "c", "d", "h"]
+    named = tc.reconcile_files(spark, *paths, ["k"], numeric_cols=["v"], **options).rows
+    assert sorted(r["K"] for r in named.collect()) == ["a", "b", "h"]
+    with pytest.raises(ValueError, match="numeric_cols"):
+        tc.reconcile_files(spark, *paths, ["k"], numeric_cols=["w"], **options)
+    other = str(tmp_path / "plain")
+    spark.read.csv(paths[0], **options).write.csv(other, **options)
+    assert tc.reconcile_files(spark, other, paths[0], ["k"], fmt="csv", **options).rows.count() == 0
+
+
+def test_reports_read_back_in_order(spark, tmp_path, capsys):
+    df = spark.createDataFrame([(f"{i:03}", 'two\n"lines"') for i in range(50)], "k string, v string")
+    path = str(tmp_path / "report")
+    tc.write_rows(df.repartition(5), path, single_file=True, ordered_by=[df["k"].desc()])
+    back = tc.read_report(spark, path).collect()
+    assert [tuple(r) for r in back] == sorted(map(tuple, df.collect()), reverse=True)
+    tc.assert_dataframes_approx_equal(
+        df, df, index_columns=["k"], keep_equal=True, output_path_name=str(tmp_path / "same")
+    )
+    assert "the tables agree" in capsys.readouterr().out
+
+
+def test_scratch_is_deleted_at_the_end(spark):
+    from pathlib import Path
+
+    def folders():
+        root = Path(scratch_path(spark).removeprefix("file:")).parent
+        return set(root.iterdir()) if root.exists() else set()
+
+    before = folders()
+    df = spark.range(100).selectExpr("id % 10 AS k", "id AS v")
+    with tc.scratch(spark):
+        with pytest.raises(AssertionError):
+            tc.reconcile(df, df.selectExpr("k", "v + 1 AS v"), ["k"], hot_rows=2).assert_equal()
+        assert folders() > before
+    assert folders() == before
+
+
 def test_scratch_follows_the_setting(spark):
-    assert scratch_path(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert spark.conf.get("spark.checkpoint.dir") in scratch_path(spark)
     df = pin(spark.createDataFrame([(math.inf, None)], "`a b` double, `c.d` string"))
     assert df.columns == ["a b", "c.d"] and df.count() == 1
     before = spark.conf.get("spark.sql.shuffle.partitions")

@@ -122,25 +122,53 @@ NULL_KEYS = ("o_orderkey", "ref")
 OLD_NULL, NEW_NULL = _null_keys(OLD_ORDERS), _null_keys(NEW_ORDERS)
 
 
-def _paired(
-    rows: str, other: str, keys: Sequence[str] = LINE_KEYS, values: Sequence[str] = LINE_VALUES
-) -> str:
-    """Copies with no equal copy on the other side, numbered within their key by value."""
-    by_key, order = ", ".join(keys), ", ".join(f"{v} NULLS FIRST" for v in values)
-    twin = f"row_number() OVER (PARTITION BY {by_key}, {', '.join(values)}) AS twin"
+def _surplus(rows: str, other: str, keys: Sequence[str], values: Sequence[str]) -> str:
+    """Copies with no equal copy on the other side."""
+    twin = f"row_number() OVER (PARTITION BY {', '.join((*keys, *values))}) AS twin"
     same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in (*keys, *values, "twin"))
     return (
-        f"SELECT *, row_number() OVER (PARTITION BY {by_key} ORDER BY {order}) AS nth FROM ("
-        f"SELECT a.* FROM (SELECT *, {twin} FROM ({rows})) a "
-        f"ANTI JOIN (SELECT *, {twin} FROM ({other})) b ON {same})"
+        f"SELECT a.* EXCLUDE (twin) FROM (SELECT *, {twin} FROM ({rows})) a "
+        f"ANTI JOIN (SELECT *, {twin} FROM ({other})) b ON {same}"
     )
 
 
 def paired(
     old: str, new: str, keys: Sequence[str], values: Sequence[str], numbers: Sequence[str]
 ) -> str:
-    left, right = _paired(old, new, keys, values), _paired(new, old, keys, values)
-    return compared(left, right, keys, values, numbers, also_on=" AND l.nth = r.nth")
+    """Copies without an equal copy, each beside one of the other side.
+
+    A copy meets one whose exact values are the same and whose numbers lie in the same cell of
+    0.0001; then in the cells moved by half; what is left meets in value order.
+    """
+    exact = [v for v in values if v not in numbers]
+    order = ", ".join(f"{v} NULLS FIRST" for v in [*exact, *[v for v in values if v in numbers]])
+    by_key = ", ".join(keys)
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in (*keys, "nth"))
+
+    def place(shift: float) -> str:
+        cells = [f"floor({v} / 0.0001::DOUBLE + {shift}::DOUBLE)" if v in numbers else v for v in values]
+        label = " || '|' || ".join(f"coalesce(({c})::VARCHAR, '-')" for c in cells)
+        among = f"PARTITION BY {by_key}, {', '.join(cells)} ORDER BY {order}"
+        return f"'{shift}|' || {label} || '|' || row_number() OVER ({among}) AS nth"
+
+    steps = [f"a0 AS ({_surplus(old, new, keys, values)}), b0 AS ({_surplus(new, old, keys, values)})"]
+    for i, shift in enumerate((0.0, 0.5)):
+        for mine in "ab":
+            steps.append(f"{mine}_at{i} AS (SELECT *, {place(shift)} FROM {mine}{i})")
+        for mine, other in ("ab", "ba"):
+            match = same if mine == "a" else same.replace("a.", "x.").replace("b.", "a.").replace("x.", "b.")
+            joined = f"FROM {mine}_at{i} {mine} {{}} JOIN {other}_at{i} {other} ON {match}"
+            steps.append(f"{mine}_met{i} AS (SELECT {mine}.* {joined.format('SEMI')})")
+            steps.append(f"{mine}{i + 1} AS (SELECT {mine}.* EXCLUDE (nth) {joined.format('ANTI')})")
+
+    def side(mine: str) -> str:
+        left = f"SELECT *, 'left|' || row_number() OVER (PARTITION BY {by_key} ORDER BY {order}) AS nth FROM {mine}2"
+        return (
+            f"WITH {', '.join(steps)} SELECT * FROM {mine}_met0 UNION ALL BY NAME "
+            f"SELECT * FROM {mine}_met1 UNION ALL BY NAME {left}"
+        )
+
+    return compared(side("a"), side("b"), keys, values, numbers, also_on=" AND l.nth = r.nth")
 
 
 def _equal_lines() -> str:
@@ -156,6 +184,39 @@ def _equal_lines() -> str:
 PAIRED_LINES = paired(OLD_LINES, NEW_LINES, LINE_KEYS, LINE_VALUES, LINE_NUMBERS)
 FANNED_LINES = compared(OLD_LINES, NEW_LINES, LINE_KEYS, LINE_VALUES, LINE_NUMBERS)
 
+# Long ids, codes and padded numbers are compared as text, prices as decimals.
+TEXT_CODES = """
+WITH o AS (
+  SELECT o_orderkey AS k, 9007199254740992::BIGINT + o_orderkey AS id, o_custkey::VARCHAR AS c,
+         o_totalprice::DECIMAL(18,5) AS price FROM orders),
+v AS (
+  SELECT k::VARCHAR AS "K",
+         c || 'd' AS "CODE_OLD", c || CASE WHEN k % 5 = 0 THEN 'f' ELSE 'd' END AS "CODE_NEW",
+         id::VARCHAR AS "ID_OLD", (id + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END)::VARCHAR AS "ID_NEW",
+         '00' || c AS "PADDED_OLD", CASE WHEN k % 3 = 0 THEN c ELSE '00' || c END AS "PADDED_NEW",
+         price::VARCHAR AS "PRICE_OLD",
+         (price + CASE WHEN k % 7 = 0 THEN 0.00001 WHEN k % 11 = 0 THEN 0.01 ELSE 0 END::DECIMAL(18,5))
+           ::DECIMAL(18,5)::VARCHAR AS "PRICE_NEW"
+  FROM o)
+SELECT *, "CODE_OLD" = "CODE_NEW" AS "CODE_COMPARE", "ID_OLD" = "ID_NEW" AS "ID_COMPARE",
+       "PADDED_OLD" = "PADDED_NEW" AS "PADDED_COMPARE",
+       abs("PRICE_OLD"::DECIMAL(18,5) - "PRICE_NEW"::DECIMAL(18,5)) < 0.0001 AS "PRICE_COMPARE",
+       'both' AS _SIDE
+FROM v WHERE NOT ("CODE_COMPARE" AND "ID_COMPARE" AND "PADDED_COMPARE" AND "PRICE_COMPARE")"""
+
+# A copy with a near twin is no mismatch: copies of a key agree by line and price in thousands.
+NEAR_COPIES = """
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS line, floor(l_extendedprice / 1000) * 1000 AS p,
+                  l_partkey % 11 = 0 AS moved FROM lineitem),
+old AS (SELECT k, line, p, count(*) AS n FROM l GROUP BY ALL),
+new AS (SELECT k, line, p + CASE WHEN moved THEN 500 ELSE 0 END AS p, count(*) AS n FROM l GROUP BY ALL),
+alone AS (
+  SELECT k, greatest(coalesce(old.n, 0) - coalesce(new.n, 0), 0) AS a,
+         greatest(coalesce(new.n, 0) - coalesce(old.n, 0), 0) AS b
+  FROM old FULL OUTER JOIN (SELECT k, line, p, sum(n) AS n FROM new GROUP BY ALL) new USING (k, line, p))
+SELECT k::VARCHAR AS "L_ORDERKEY", greatest(sum(a), sum(b))::BIGINT AS reported
+FROM alone GROUP BY k HAVING greatest(sum(a), sum(b)) > 0"""
+
 IN_SAMPLE = "('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10000 < 1000"
 IN_RANGE = "o_orderdate BETWEEN '1996-01-01' AND '1997-12-31'"
 
@@ -337,6 +398,14 @@ FROM ({ORDERS})""",
         ORDER_VALUES,
     ),
     "report_roundtrip": mismatches(ORDERS, ORDER_VALUES),
+    "stamped_report": mismatches(ORDERS, ORDER_VALUES),
+    "verdicts": """
+SELECT pair, equal, n AS rows_left, n AS rows_right
+FROM (VALUES ('same', true), ('changed', false)) v(pair, equal), (SELECT count(*) AS n FROM orders)
+UNION ALL
+SELECT 'half', false, count(*), count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders""",
+    "reconcile_text_codes": TEXT_CODES,
+    "reconcile_near_copies": NEAR_COPIES,
     "contract_ingest": PLAIN_ORDERS,
     "contract_tables": (
         "SELECT 'customer' AS source, c_custkey AS id, c_name AS name, c_acctbal AS balance "

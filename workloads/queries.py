@@ -233,6 +233,69 @@ def report_roundtrip(spark, d):
     )
 
 
+def stamped_report(spark, d):
+    """The report under a path with the run's time, found again by its beginning."""
+    path = scratch_path(spark, "stamped")
+    result = _orders(spark, d)
+    result.write_report(path, stamped=True)
+    return tc.read_table(
+        spark, f"{path}_*", fmt="csv", sep=",", header=True, schema=result.rows.schema
+    )
+
+
+def verdicts(spark, d):
+    """What whole checks say of a table and itself, its second version, and half of it."""
+    old, new = old_orders(spark, d), new_orders(spark, d)
+    cases = {"same": (old, old), "changed": (old, new), "half": (old, old.where("o_orderkey % 2 = 0"))}
+    rows = []
+    for name, pair in cases.items():
+        result = tc.reconcile(*pair, KEY, strict_shape=False)
+        try:
+            totals = result.assert_equal()
+            rows.append((name, True, totals["rows_left"], totals["rows_right"]))
+        except AssertionError:
+            rows.append((name, False, result.profile.rows_left, result.profile.rows_right))
+    return spark.createDataFrame(rows, "pair string, equal boolean, rows_left long, rows_right long")
+
+
+def reconcile_text_codes(spark, d):
+    """Text columns of files without types: numbers within the tolerance, codes and long ids exactly."""
+    key, cents = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,5)")
+    long_id = F.lit(9007199254740992).cast("long") + key
+
+    def version(ids, letter, price, padded):
+        return orders(spark, d).select(
+            key.cast("string").alias("k"), ids.cast("string").alias("id"),
+            F.concat("o_custkey", F.when(key % 5 == 0, letter).otherwise("d")).alias("code"),
+            price.cast("decimal(18,5)").cast("string").alias("price"),
+            F.concat(F.when(key % 3 == 0, padded).otherwise("00"), "o_custkey").alias("padded"),
+        )
+
+    moved = F.when(key % 7 == 0, F.lit("0.00001")).when(key % 11 == 0, F.lit("0.01")).otherwise("0")
+    frames = {
+        "old": version(long_id, "d", cents, "00"),
+        "new": version(long_id + F.when(key % 4 == 0, 1).otherwise(0), "f", cents + moved.cast("decimal(18,5)"), ""),
+    }
+    base = scratch_path(spark, "codes")
+    for name, df in frames.items():
+        tc.write_rows(df, f"{base}/{name}.csv")
+    return tc.reconcile_files(spark, f"{base}/old.csv", f"{base}/new.csv", ["k"], sep=",", header=True).rows
+
+
+def reconcile_near_copies(spark, d):
+    """Copies whose values are moved by less than the tolerance, in another order; some
+    are moved by more. How many rows are reported of each key."""
+    part, near = F.col("l_partkey"), F.col("l_linenumber")
+    base = F.floor(F.col("l_extendedprice") / 1000) * 1000.0
+    old = table(spark, d, "lineitem").select(
+        "l_orderkey", near.alias("line"), (base + part % 3 * 0.00001).alias("price")
+    )
+    changed = F.when(part % 11 == 0, base + 500.0).otherwise(base + part % 4 * 0.00001)
+    new = table(spark, d, "lineitem").select("l_orderkey", near.alias("line"), changed.alias("price"))
+    rows = tc.reconcile(old, new, ["l_orderkey"]).rows
+    return rows.groupBy("L_ORDERKEY").agg(F.count("*").alias("reported"))
+
+
 def _ingested(spark, tables: dict[str, tuple[DataFrame, dict]]) -> dict[str, DataFrame]:
     """Tables as delimited files, read back and written under a contract."""
     base = scratch_path(spark, "ingest")
@@ -401,7 +464,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         duplicate_keys_both_sides, mismatch_counts, key_null_counts, one_sided_rows,
         shape_and_summary, reconcile_date_range, date_range_rows, date_standardize,
         unparsed_dates, date_max, hash_sample, stratified_counts, reconcile_sampled,
-        reconcile_from_files, report_roundtrip, contract_ingest, contract_tables,
+        reconcile_from_files, reconcile_text_codes, reconcile_near_copies, verdicts, stamped_report,
+        report_roundtrip, contract_ingest, contract_tables,
         archive_ingest, contract_violations, partitioned_write, tokenize_pages, tokenize_terms,
         tokenize_all_terms, term_presence, token_dictionary, token_collisions, restore_pages,
         restore_pages_by_join,
