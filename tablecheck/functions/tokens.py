@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,11 +34,20 @@ class TokenStyle:
         if not all(self.terms):
             raise ValueError("a term may not be empty")
 
+    @property
+    def of_words(self) -> bool:
+        """Whether every term is one word, so that words can be looked up in a table."""
+        return all(re.fullmatch(r"\w+", t) for t in self.terms)
+
     @property
     def pattern(self) -> str:
         # (?U) makes word boundaries follow Unicode letters.
         if not self.terms:
             return f"(?U){QUOTED}"
+        if self.of_words and self.require_underscore:
+            return rf"(?U){QUOTED}|(?<!\w)[\w&&[^_]]*+_\w*+"
+        if self.of_words:
+            return rf"(?U){QUOTED}|\w++"
         listed = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in self.terms)
         return rf"(?U){QUOTED}|\b(?:{listed})\b"
 
@@ -57,10 +69,26 @@ def _inside(match: Column) -> Column:
     return F.substring(match, F.lit(2), F.length(match) - 2)
 
 
+def _is_listed(word: Column, terms: Sequence[str]) -> Column:
+    """Whether a word is one of ``terms``: one array access and the walk through a short list.
+
+    The terms are one constant of the plan, parsed while planning, in as many lists as
+    there are terms.
+    """
+    lists: list[list[str]] = [[] for _ in terms]
+    for term in terms:
+        lists[zlib.crc32(term.encode()) % len(lists)].append(term)
+    table = F.from_json(F.lit(json.dumps(lists)), "array<array<string>>")
+    place = (F.crc32(word.cast("binary")) % len(lists)).cast("int")
+    return F.array_contains(F.get(table, place), word)
+
+
 def _is_replaced(match: Column, style: TokenStyle) -> Column:
-    if not style.require_underscore:
-        return F.lit(True)
-    return _is_quoted(match) | match.contains("_")
+    terms = list(dict.fromkeys(style.terms))
+    listed = _is_listed(match, terms) if terms and style.of_words else F.lit(True)
+    if style.require_underscore:
+        listed = match.contains("_") & listed
+    return _is_quoted(match) | listed
 
 
 def _matches(text: Column, pattern: str) -> Column:

@@ -19,7 +19,6 @@ from tablecheck.functions.tokens import (
     token_words,
     tokenize,
 )
-from tablecheck.operators.standardize import counted
 
 # A dictionary up to this measured size, counting so much per row besides its texts,
 # travels to the texts as a constant of the plan.
@@ -50,13 +49,15 @@ def term_dictionary(df: DataFrame, text_col: str, style: TokenStyle = TokenStyle
 
 def term_presence(df: DataFrame, text_col: str, terms: Sequence[str]) -> DataFrame:
     """``(term, texts)``: in how many texts each listed term occurs, from one pass."""
-    names = {f"t{i}": term for i, term in enumerate(dict.fromkeys(terms))}
-    counts = df.agg(
-        *[F.count_if(column(text_col).contains(term)).alias(n) for n, term in names.items()]
+    listed = list(dict.fromkeys(terms))
+    # One constant of the plan, parsed while planning, however many terms there are.
+    table = F.from_json(F.lit(json.dumps(listed)), "array<string>")
+    held = F.filter(table, lambda term: column(text_col).contains(term))
+    counts = df.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
+    every = df.sparkSession.range(1).select(F.explode(table).alias("term"))
+    return every.join(counts, "term", "left").select(
+        "term", F.coalesce("texts", F.lit(0).cast("bigint")).alias("texts")
     )
-    texts = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    rows = counted(counts, names, "texts")
-    return rows.select(texts[F.col("column")].alias("term"), "texts")
 
 
 def token_collisions(dictionary: DataFrame) -> DataFrame:

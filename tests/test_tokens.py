@@ -195,3 +195,19 @@ def test_any_text(spark, texts):
     df, style = frame(spark, texts), tc.TokenStyle(terms=("A_B", "a_a"))
     tokenized = tc.tokenize_text(df, "t", style)
     assert by_id(tokenized) == [expected(t, style.terms)[0] for t in texts]
+
+
+@pytest.mark.parametrize("underscore", [True, False])
+def test_lists_of_words_of_any_length(spark, underscore):
+    """Words are looked up in a table; terms with other characters are one pattern. Same result."""
+    texts = ["A_B A_B_C xA_B A_Bx éA_B _ __ A_ _B (A_B) \"A_B\" A_B.A_B", "w_3 w_77 w_5000 plain é_ï", "", None]
+    df = frame(spark, texts)
+    words = ["A_B", "_B", "plain", "é_ï", *[f"w_{i}" for i in range(3000)]]
+    few = tc.TokenStyle(terms=["no-word", "A_B", "_B", "plain", "é_ï", "w_3", "w_77"], require_underscore=underscore)
+    many = tc.TokenStyle(terms=words, require_underscore=underscore)
+    assert many.of_words and not few.of_words
+    assert by_id(tc.tokenize_text(df, "t", many)) == by_id(tc.tokenize_text(df, "t", few))
+    names = lambda style: sorted(map(tuple, tc.term_dictionary(df, "t", style).collect()))
+    assert names(many) == names(few)
+    seen = {r["term"]: r["texts"] for r in tc.term_presence(df, "t", words).collect()}
+    assert len(seen) == len(words) and seen["A_B"] == 1 and seen["w_4"] == 0
