@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.functions.columns import column, render_date
-from tablecheck.session import in_parallel, pin
+from tablecheck.session import exists, in_parallel, move, remove
 from tablecheck.sinks.reports import write_tables
 from tablecheck.sources.contracts import UNEVEN, ColumnRule, Contract, table_name
+from tablecheck.sources.tables import read_table
 
 # Contract type names and what they mean here.
 TYPES: dict[str, T.DataType] = {
@@ -38,6 +40,7 @@ NULL_TEXTS = (
 # Working column: which cells of a row did not read as their type.
 UNREAD = "_unread_cells"
 CORRUPT = "_corrupt_record"
+HINT = " of records differ in number from the header (multi_line=True allows line ends in cells)"
 
 
 def spark_type(rule: ColumnRule) -> T.DataType:
@@ -57,7 +60,8 @@ def _cell(name: str) -> Column:
 
 
 def _typed(rule: ColumnRule) -> Column:
-    cell, dtype = _cell(rule.name), spark_type(rule)
+    """A cell that has been through ``_cell``, in its type."""
+    cell, dtype = column(rule.name), spark_type(rule)
     if isinstance(dtype, T.StringType):
         return cell
     if isinstance(dtype, T.DateType):
@@ -77,18 +81,22 @@ def checked(raw: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFr
     missing = [r.name for r in rules if r.name not in raw.columns]
     if missing:
         raise ValueError(f"table {table}: columns missing from the file: {missing}")
-    by_name = {r.name: r for r in rules}
-    columns = [
-        (_typed(by_name[n]) if n in by_name else _cell(n)).alias(n)
-        for n in raw.columns if n != UNEVEN
-    ]
+    kept = [n for n in raw.columns if n != UNEVEN]
     uneven = [UNEVEN] if UNEVEN in raw.columns else []
+    parsed = {
+        r.name: (f"_typed_{i}", r) for i, r in enumerate(rules)
+        if not isinstance(spark_type(r), T.StringType)
+    }
+    # One step after the other, so that each cell is cleaned once and parsed once.
+    cells = raw.select(*[_cell(n).alias(n) for n in kept], *uneven)
+    typed = cells.select("*", *[_typed(r).alias(alias) for alias, r in parsed.values()])
     unread = [
-        F.when(_cell(r.name).isNotNull() & _typed(r).isNull(), F.lit(r.name))
-        for r in rules if not isinstance(spark_type(r), T.StringType)
+        F.when(column(n).isNotNull() & F.col(alias).isNull(), F.lit(n))
+        for n, (alias, _) in parsed.items()
     ]
     names = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
-    return raw.select(*columns, *uneven, names.alias(UNREAD))
+    columns = [F.col(parsed[n][0]).alias(n) if n in parsed else column(n) for n in kept]
+    return typed.select(*columns, *uneven, names.alias(UNREAD))
 
 
 def conform(
@@ -108,7 +116,8 @@ def _shown(typed: DataFrame, rules: tuple[ColumnRule, ...], dates_as_text: bool)
     )
 
 
-def _table_violations(typed: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFrame:
+def _checks(typed: DataFrame, rules: tuple[ColumnRule, ...]) -> dict[str, tuple]:
+    """By name of the count: the column, the rule, and which rows break it."""
     checks = {}
     for i, rule in enumerate(rules):
         unread = F.array_contains(UNREAD, rule.name)
@@ -118,6 +127,11 @@ def _table_violations(typed: DataFrame, table: str, rules: tuple[ColumnRule, ...
             checks[f"t{i}"] = (rule.name, "type", unread)
     if UNEVEN in typed.columns:
         checks["uneven"] = ("(record)", "cells", F.col(UNEVEN))
+    return checks
+
+
+def _table_violations(typed: DataFrame, table: str, rules: tuple[ColumnRule, ...]) -> DataFrame:
+    checks = _checks(typed, rules)
     counts = typed.agg(
         F.count("*").alias("rows"), *[F.count_if(c[2]).alias(n) for n, c in checks.items()]
     )
@@ -187,22 +201,48 @@ def read_raw_tables(
 def ingest(
     raw_tables: Mapping[str, DataFrame], contract: Contract, out: str, *, fmt: str = "parquet"
 ) -> dict[str, DataFrame]:
-    """Check text tables against the contract, then write them typed, one folder each.
+    """Check text tables against the contract and write them typed, one folder each.
 
-    The text is parsed once, into typed columns in the scratch folder; check and output
-    both read that columnar copy. Nothing is written to ``out`` if any table breaks the
-    contract: the error lists every offending column.
+    The text is parsed and written once, beside its final place; the job that writes a table
+    counts what breaks the contract. The folders are moved to ``out`` when no table does.
+    Otherwise nothing stays, and the error lists every offending column.
     """
     unknown = sorted(set(raw_tables) - set(contract))
     if unknown:
         raise ValueError(f"tables without a contract: {unknown}")
-    staged = in_parallel(
-        lambda table, raw: pin(checked(raw, table, contract[table]), "staged"), raw_tables
-    )
-    broken = _all_violations(staged, contract).collect()
-    if broken:
-        listed = ", ".join(f"{r['table']}.{r['column']}: {r['cells']} {r['rule']}" for r in broken)
-        raise ValueError(f"contract violations: {listed}")
-    shown = {table: _shown(df, contract[table], True) for table, df in staged.items()}
-    write_tables(shown, out, fmt=fmt)
-    return shown
+    spark = next(iter(raw_tables.values())).sparkSession if raw_tables else None
+    if spark is None:
+        return {}
+    staging = f"{out.rstrip('/')}_staging-{uuid.uuid4().hex}"
+    taken = [t for t in raw_tables if exists(spark, f"{out.rstrip('/')}/{t}")]
+    if taken:
+        raise FileExistsError(f"tables exist already in {out}: {taken}")
+    typed = {t: checked(raw, t, contract[t]) for t, raw in raw_tables.items()}
+    rules = {t: _checks(df, contract[t]) for t, df in typed.items()}
+    seen = {t: Observation() for t in typed}
+    shown = {
+        t: _shown(
+            df.observe(seen[t], F.count("*").alias("rows"), *[
+                F.count_if(broken).alias(name) for name, (_, _, broken) in rules[t].items()
+            ]),
+            contract[t], True,
+        )
+        for t, df in typed.items()
+    }
+    try:
+        write_tables(shown, staging, fmt=fmt)
+        broken = [
+            f"{t}.{name}: {cells} {rule}" + (HINT if rule == "cells" else "")
+            for t in typed for count, (name, rule, _) in rules[t].items()
+            if (cells := seen[t].get[count])
+        ]
+        if broken:
+            raise ValueError(f"contract violations: {', '.join(broken)}")
+        for t in typed:
+            move(spark, f"{staging}/{t}", f"{out.rstrip('/')}/{t}")
+    finally:
+        remove(spark, staging)
+    return {
+        t: read_table(spark, f"{out.rstrip('/')}/{t}", fmt=fmt, sep=",", header=True, schema=df.schema)
+        for t, df in shown.items()
+    }

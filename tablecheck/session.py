@@ -51,7 +51,8 @@ def configure(
 def in_parallel(work: Callable[[str, T], R], items: Mapping[str, T]) -> dict[str, R]:
     """``work(name, item)`` for each item, a few jobs at a time so that small ones overlap."""
     # Job groups and cancels of the caller's thread reach these threads.
-    run = inheritable_thread_target(lambda pair: work(*pair))
+    session = SparkSession.getActiveSession()
+    run = inheritable_thread_target(session)(lambda pair: work(*pair))
     with ThreadPoolExecutor(max_workers=JOBS_AT_ONCE) as pool:
         done = pool.map(run, items.items())
         return dict(zip(items, done))
@@ -81,13 +82,35 @@ def release(spark: SparkSession, since: int = 0) -> int:
     Frames that read them can no longer be used, so call it when a run's results are written.
     """
     paths, _scratch[since:] = _scratch[since:], []
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(hadoop).delete(folder, True)
+        remove(spark, path)
     return len(paths)
 
 
+def _file(spark: SparkSession, path: str):
+    """The path and its file system, as Spark sees them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, files = _file(spark, path)
+    return files.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found, files = _file(spark, path)
+    files.delete(found, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    found, files = _file(spark, path)
+    target = _file(spark, to)[0]
+    files.mkdirs(target.getParent())
+    if not files.rename(found, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at its end what the runs inside have written to the scratch folder."""

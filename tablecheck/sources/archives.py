@@ -7,7 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +20,14 @@ BATCH = 10_000
 
 def _record_reader(sep: str, batch_size: int):
     # Everything the tasks run is nested here, so executors need not have this package.
-    def rows(member: str, records: list[list[str]], is_header: bool) -> pd.DataFrame:
-        return pd.DataFrame({"member": member, "is_header": is_header, "cells": records})
+    def rows(member: str, records: list[list[str]], is_header: bool) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([member] * n), pa.array([is_header] * n), pa.array(records, pa.list_(pa.string()))],
+            names=["member", "is_header", "cells"],
+        )
 
-    def members(archive: zipfile.ZipFile) -> Iterator[pd.DataFrame]:
+    def members(archive: zipfile.ZipFile) -> Iterator[pa.RecordBatch]:
         for member in archive.namelist():
             if not member.endswith(".csv"):
                 continue
@@ -44,11 +48,11 @@ def _record_reader(sep: str, batch_size: int):
                 if batch:
                     yield rows(member, batch, False)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(2**31 - 1)  # a cell may be as long as Spark's strings
         for batch in batches:
             for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     yield from members(archive)
 
     return read
@@ -60,7 +64,7 @@ def unpack(archives: DataFrame, sep: str = ";") -> DataFrame:
     ``archives`` has a binary ``content`` column. Each archive is read by one task, as zip
     allows no other way, and record by record.
     """
-    records = archives.select("content").mapInPandas(
+    records = archives.select("content").mapInArrow(
         _record_reader(sep, BATCH), "member string, is_header boolean, cells array<string>"
     )
     return records.select(table_of("member").alias("table"), "is_header", "cells")

@@ -7,7 +7,7 @@ import subprocess
 import sys
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
@@ -180,7 +180,7 @@ def test_large_members_come_in_batches():
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
         archive.writestr("t.csv", "a\n" + "".join(f"{i}\n" for i in range(5)))
-    frames = list(archives._record_reader(";", 2)([pd.DataFrame({"content": [buffer.getvalue()]})]))
+    frames = list(archives._record_reader(";", 2)([pa.RecordBatch.from_pydict({"content": [buffer.getvalue()]})]))
     assert [len(f) for f in frames] == [1, 2, 2, 1]
 
 
