@@ -1,7 +1,7 @@
 """Token ids as ORC files.
 
-One row is one document: its id, the file part it is in, the ids before it in that part and
-its own ids. Rows lie in ascending order of document ids, across files too. ORC stores the
+One row is one document: its id, the file part it is in, the ids before it in that part, how
+many it has, and these. Rows lie in ascending order of document ids, across files too. ORC stores the
 integer columns by run-length encoding, keeps minima and maxima per stripe and row group
 (row indexes) and Bloom filters of the document ids, so that a reader splits files by
 stripes and skips those without the documents it wants.
@@ -10,6 +10,7 @@ stripes and skips those without the documents it wants.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.llm.bpe import read_vocabulary
+from tablecheck.llm.bpe import blocks, byte_symbols, read_vocabulary
 from tablecheck.llm.helpers import named
 
 STRIPE_BYTES = 64 * 1024 * 1024
@@ -26,9 +27,13 @@ ROW_GROUP = 10_000
 #: Stored bytes of a document besides those of its text, for sizing the parts.
 PART_ROWS = 200_000
 #: Text that is encoded together, in characters; at least one whole text.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Words whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Marks that the split takes for words of their own behind letters.
+STOPS = ".,;:!?"
+#: Characters below it are in composed form and none of them is a mark.
+COMPOSED = "\u0300"
 
 
 def encode_words(source: str):
@@ -36,7 +41,8 @@ def encode_words(source: str):
 
     Words between blanks and line ends are encoded once and remembered. This is exact where
     the tokenizer drops white space and no rule of it looks across white space, as with
-    Unicode normalization, lower-casing and a split that removes what is no word.
+    Unicode normalization, lower-casing and a split that removes what is no word. A word of
+    nothing but letters goes straight to the library's model, any other through all its rules.
     """
     import json
     import os
@@ -62,29 +68,47 @@ def encode_words(source: str):
             for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
     known: dict[str, bytes] = {}
+    model, symbols = tokenizer.model, byte_symbols()
+
+    def plain_word(word: str) -> bytes:
+        """Ids of lower-case letters, which all rules leave as they are."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(symbols)
+        return array("I", [t.id for t in model.tokenize(word)]).tobytes()
+
+    def whole(word: str) -> bytes:
+        return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def word_ids(word: str) -> bytes:
+        # Letters, and full stops and the like behind them, are split from each other.
+        letters = word.rstrip(STOPS)
+        low = letters.lower()
+        if not letters.isalpha() or not (low.isascii() or max(letters + low) < COMPOSED):
+            return whole(word)
+        if low not in known:
+            known[low] = plain_word(low)
+        if letters == word:
+            return known[low]
+        stops = word[len(letters) :]
+        if stops not in known:
+            known[stops] = whole(stops)
+        return known[low] + known[stops]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(known) > REMEMBERED:
             known.clear()
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(known))
-        for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        for word in set().union(*parts).difference(known):
+            known[word] = word_ids(word)
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
 
     return encode
 
 
-def encode_batch(texts: pa.Array, encoder, end_id: int | None) -> pa.ListArray:
-    """The ids of each text, with ``end_id`` behind them; a few million characters at a time."""
+def encode_rows(texts: list[str], encoder, end_id: int | None) -> pa.ListArray:
+    """The ids of each text, with ``end_id`` behind them."""
     end = np.array([] if end_id is None else [end_id], "<u4")
-    rows, block, size = [], [], 0
-    for i, value in enumerate(texts):
-        block.append(value.as_py() or "")
-        size += len(block[-1])
-        if size > BLOCK_CHARS or i == len(texts) - 1:
-            rows += [x for row in encoder(block) for x in (row, end)]
-            block, size = [], 0
+    rows = [x for row in encoder(texts) for x in (row, end)]
     lengths = np.array([len(r) for r in rows], np.int64).reshape(-1, 2).sum(axis=1)
     ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
     flat = np.concatenate(rows).astype(np.int32) if rows else np.array([], np.int32)
@@ -116,20 +140,23 @@ def write_token_orc(
 
         part, before, encoder = TaskContext.get().partitionId(), 0, encode_words(source)
         for batch in batches:
-            ids = encode_batch(batch["text"], encoder, end_id)
-            lengths = np.diff(ids.offsets.to_numpy())
-            starts = before + np.cumsum(lengths, dtype=np.int64) - lengths
-            before += int(lengths.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.full(len(lengths), part, np.int32)),
-                 pa.array(starts), ids],
-                names=["doc_id", "part", "before", "ids"],
-            )
+            done = 0
+            for texts in blocks((t.as_py() for t in batch["text"]), BLOCK_CHARS):
+                ids = encode_rows(texts, encoder, end_id)
+                lengths = np.diff(ids.offsets.to_numpy())
+                starts = before + np.cumsum(lengths, dtype=np.int64) - lengths
+                before += int(lengths.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(done, len(texts)), pa.array(np.full(len(texts), part, np.int32)),
+                     pa.array(starts), pa.array(lengths.astype(np.int32)), ids],
+                    names=["doc_id", "part", "before", "n", "ids"],
+                )
+                done += len(texts)
 
     kind = docs.schema["doc_id"].dataType
     schema = (
         T.StructType().add("doc_id", kind).add("part", "integer").add("before", "long")
-        .add("ids", T.ArrayType(T.IntegerType()))
+        .add("n", "integer").add("ids", T.ArrayType(T.IntegerType()))
     )
     (
         dealt.mapInArrow(place, schema).write.mode("errorifexists")
@@ -140,7 +167,7 @@ def write_token_orc(
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
-    """The documents of ``write_token_orc``: doc_id, part, before, ids.
+    """The documents of ``write_token_orc``: doc_id, part, before, n, ids.
 
     With ``doc_ids`` only those; the filter reaches the scan, which skips stripes and row
     groups by minima, maxima and Bloom filters.
@@ -152,12 +179,13 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list | None = None)
 def with_starts(rows: DataFrame) -> DataFrame:
     """``read_token_orc`` rows with ``start``, the number of ids in all documents before.
 
-    The parts' totals, one row for each file, are summed up in order of the parts.
+    The parts' totals, one row for each file, are summed up in order of the parts and
+    broadcast: 12 bytes for the 200,000 documents or more of a file.
     """
-    totals = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
+    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 
 def crc32_of_ids(ids: Column) -> Column:
