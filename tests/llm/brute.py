@@ -89,3 +89,75 @@ def edit_distance(pattern: str, text: str) -> int:
 
 def crc32(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def without_repeats(rows: list[tuple], min_sentences: int, min_words: int) -> dict:
+    """id to text without sentences that an earlier span covers, from (id, text) with unique ids."""
+    def split(text):
+        cuts, at = [], 0
+        for m in re.finditer(r"((?<=[.!?])[^\S\n]|\n)\s*", text):
+            cuts.append((at, m.end()))
+            at = m.end()
+        return [c for c in [*cuts, (at, len(text))] if text[c[0] : c[1]].split()]
+
+    def spans(said):
+        n, out = len(said), set()
+        for i in range(n):
+            for j in range(i + min_sentences, n + 1):
+                if sum(map(len, said[i:j])) >= min_words:
+                    out.add((i, j))
+                    break
+        for j in range(n + 1):
+            for i in range(j - min_sentences, -1, -1):
+                if sum(map(len, said[i:j])) >= min_words:
+                    out.add((i, j))
+                    break
+        return sorted(out)
+
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        text = text or ""
+        places = split(text)
+        said = [text[a:b].lower().split() for a, b in places]
+        gone, mine = set(), set()
+        for a, b in spans(said):
+            key = tuple(" ".join(s) for s in said[a:b])
+            if first.setdefault(key, i) != i or key in mine:
+                gone.update(range(a, b))
+            mine.add(key)
+        cut = [False] * len(text)
+        for k in gone:
+            a, b = places[k]
+            cut[a:b] = [True] * (b - a)
+        # White space that belongs to no sentence stays unless a cut span goes over it.
+        for k in gone:
+            if k + 1 in gone and any(a <= k and k + 1 < b for a, b in spans(said)):
+                a, b = places[k][1], places[k + 1][0]
+                cut[a:b] = [True] * (b - a)
+        out[i] = "".join(c for c, x in zip(text, cut) if not x)
+    return out
+
+
+def outlier_distances(rows: list[tuple], floors, grain, share, steps, median_chi2) -> dict:
+    """id to scaled squared distance, from (id, group, measures) that pass the base rule."""
+    groups: dict = {}
+    for i, group, (words, chars, symbols, lines, repeated) in rows:
+        n = max(words, 1)
+        x = [np.log(n), np.log(max(chars, 1) / n), *(np.log1p(100 * v / n) for v in (symbols, lines, repeated))]
+        groups.setdefault(group, []).append((i, np.floor(np.array(x) * grain + 0.5)))
+    floor, out = np.diag((np.array(floors) * grain) ** 2), {}
+    for members in groups.values():
+        x = np.array([m[1] for m in members])
+        low = lambda v: np.sort(v, axis=0)[int(np.ceil(len(v) / 2)) - 1]
+        mean, cov = low(x), np.diag((1.4826 * low(abs(x - low(x)))) ** 2)
+        for step in range(steps + 1):
+            apart = x - mean
+            d2 = np.einsum("ij,ij->i", apart @ np.linalg.inv(cov + floor), apart)
+            place = np.floor(np.log1p(d2) * grain + 0.5)
+            if step < steps:
+                near = x[place <= np.sort(place)[int(np.ceil(share * len(x))) - 1]]
+                mean, cov = near.mean(axis=0), np.atleast_2d(np.cov(near.T, bias=True))
+        middle = np.expm1(low(place) / grain)
+        scale = min(1.0, median_chi2 / max(middle, 1e-9))
+        out.update({m[0]: d * scale for m, d in zip(members, d2)})
+    return out

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
-from tablecheck.llm import chat, decontamination
+from tablecheck.llm import chat, decontamination, quality, substring_dedup
 from tests.llm import brute
+from tests.oracle_check import connect, difference
 
 SF = "/root/testdata/sf0.001"
 DOCS = brute.table(SF, "documents")
@@ -26,6 +28,8 @@ def run(spark):
 
 def test_op1_removes_only_repeats(run):
     got = run("op1_substring_dedup")
+    want = brute.without_repeats(list(BY_ID.items()), substring_dedup.MIN_SENTENCES, substring_dedup.MIN_WORDS)
+    assert {r["doc_id"]: r["text"] for r in got} == want
     assert sorted(r["doc_id"] for r in got) == sorted(BY_ID)
     assert all(len(BY_ID[r["doc_id"]]) - len(r["text"]) == r["cut_chars"] for r in got)
     assert any(r["cut_chars"] for r in got)
@@ -62,6 +66,18 @@ def test_op4_measures(run):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+def test_op4_distances(run):
+    got = {r["doc_id"]: r for r in run("op4_quality")}
+    group = {r["doc_id"]: (r["lang"], r["source"]) for r in DOCS}
+    rows = [(i, group[i], brute.measures(BY_ID[i])) for i, r in got.items() if not r["base_failed"]]
+    want = brute.outlier_distances(
+        rows, quality.FLOORS, quality.GRAIN, quality.SHARE, quality.STEPS, quality.MEDIAN_CHI2
+    )
+    assert {i for i, r in got.items() if r["distance"] is not None} == set(want)
+    assert all(math.isclose(got[i]["distance"], d, rel_tol=1e-6, abs_tol=1e-6) for i, d in want.items())
+    assert {i for i, r in got.items() if r["kept"]} == {i for i, d in want.items() if d <= quality.LIMIT}
+
+
 def test_op5_shape(run):
     got = run("op5_toxicity")
     assert sorted(r["doc_id"] for r in got) == sorted(BY_ID)
@@ -70,6 +86,11 @@ def test_op5_shape(run):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
+@pytest.mark.parametrize("name", ["op6_sharding", "op9_chat"])
+def test_sql(spark, name):
+    assert difference(spark, connect(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
 def test_op6(run):
     got = run("op6_sharding")
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted(
