@@ -12,8 +12,11 @@ from tablecheck.llm import (
     bpe, chat, decontamination, quality, sharding, simhash, substring_dedup, token_counts, token_orc, toxicity,
 )
 from tablecheck.llm.helpers import read
+from tablecheck.llm.oracles import ORACLES
 from tablecheck.session import pin, scratch_path
 
+__all__ = ["ORACLES", "QUERIES"]
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID, N_SHARDS, TOKEN_LIMIT = 2, 16, 1024
 
@@ -125,4 +128,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts, op8_decontamination, op9_chat, op10_token_orc,
     )
 }
-ORACLES: dict[str, str] = {}

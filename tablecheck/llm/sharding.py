@@ -79,11 +79,17 @@ def interleave(
     )
 
 
-def write_shards(df: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot",
-                 files: int = 1) -> None:
-    """Write interleaved rows as Parquet, one folder a shard, in ``files`` files by slot each."""
-    spread = F.pmod(F.floor(named(slot_col) / RANGE_ROWS), F.lit(files))
+def write_shards(
+    df: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot",
+    rows_per_file: int = 1_000_000,
+) -> None:
+    """Write interleaved rows as Parquet, one folder a shard.
+
+    Stretches of ``rows_per_file`` slots stay together and in order, so a task never holds a
+    whole shard.
+    """
+    stretch = F.floor(named(slot_col) / rows_per_file)
     (
-        df.repartition(shard_col, spread).sortWithinPartitions(shard_col, slot_col)
+        df.repartition(named(shard_col), stretch).sortWithinPartitions(shard_col, slot_col)
         .write.mode("errorifexists").partitionBy(shard_col).parquet(path)
     )
