@@ -29,6 +29,8 @@ TEXTS_PER_CLASS = 10_000
 MIN_COUNT = 5
 #: Words, and pairs of words, of the model: the most frequent ones of the labelled texts.
 MAX_WORDS, MAX_PAIRS = 200_000, 500_000
+#: Expressions that a task counts before it hands them on, to be summed by all tasks.
+HELD = 150_000
 DISCOUNT = 0.75
 #: Where the classes differ by less than this factor, both take the shared probability: the
 #: classes' mixtures of languages and subjects differ by chance.
@@ -103,13 +105,19 @@ def labelled_sample(labels: DataFrame, texts_per_class: int) -> DataFrame:
 def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): the words of all texts of the corpus, counted by batch before the shuffle."""
 
+    def rows_of(found: Counter) -> pa.RecordBatch:
+        columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
         for batch in batches:
-            found = Counter()
             for text in batch["text"]:
                 found.update(words_of(text.as_py()))
-            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+                if len(found) > HELD:
+                    yield rows_of(found)
+                    found = Counter()
+        yield rows_of(found)
 
     rows = df.select(named(text_col).alias("text")).mapInArrow(count, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -118,16 +126,22 @@ def corpus_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 def pair_counts(texts: DataFrame) -> DataFrame:
     """(context, word, toxic, ordinary): pairs of words in the labelled texts (toxic, text)."""
 
+    def rows_of(found: Counter) -> pa.RecordBatch:
+        context, word, toxic = zip(*found) if found else ((), (), ())
+        columns = [pa.array(context, pa.string()), pa.array(word, pa.string()),
+                   pa.array(toxic, pa.int32()), pa.array(list(found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["context", "word", "toxic", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
         for batch in batches:
-            found = Counter()
             for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"]):
                 words = words_of(text.as_py())
                 found.update(zip([BEGIN, *words], words, [toxic] * len(words)))
-            context, word, toxic = zip(*found) if found else ((), (), ())
-            columns = [pa.array(context, pa.string()), pa.array(word, pa.string()),
-                       pa.array(toxic, pa.int32()), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["context", "word", "toxic", "n"])
+                if len(found) > HELD:
+                    yield rows_of(found)
+                    found = Counter()
+        yield rows_of(found)
 
     rows = texts.select("toxic", "text").mapInArrow(
         count, "context string, word string, toxic int, n long"
