@@ -26,7 +26,7 @@ from tablecheck.llm.helpers import gather, named, offsets
 #: Splits text before the merges; a fixed value of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text of a block, in characters; a block has at least one whole text.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 5_000_000
 
 
 def read_vocabulary(path: str) -> str:
@@ -109,7 +109,7 @@ def load_merges(source: str) -> Merges:
         pieces[i] = bytes(byte_of[c] for c in piece) if known else piece.encode()
     lengths = np.array([len(p) for p in pieces], np.int64)
     return Merges(
-        np.array([ids[shown[b]] for b in range(256)], np.int64), keys[order], order, left, right,
+        np.array([ids[shown[b]] for b in range(256)], np.int32), keys[order], order, left, right,
         made, width, special, np.frombuffer(b"".join(pieces), np.uint8), offsets(lengths), lengths,
     )
 
@@ -121,7 +121,7 @@ def leftmost(positions: np.ndarray, after: np.ndarray) -> np.ndarray:
         if p != taken:
             kept.append(p)
             taken = q
-    return np.array(kept, np.int64)
+    return np.array(kept, np.int32)
 
 
 def merge_words(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +131,9 @@ def merge_words(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndar
     n = len(symbols)
     if not n:
         return symbols, sizes
-    here = np.arange(n, dtype=np.int64)
-    after, before = here + 1, here - 1
+    # A block has fewer than 2^31 bytes, as any text of Spark's has.
+    here = np.arange(n, dtype=np.int32)
+    after, before = here + np.int32(1), here - np.int32(1)
     starts = offsets(sizes)[sizes > 0]
     before[starts] = -1
     after[np.append(starts[1:], n) - 1] = -1
@@ -141,7 +142,7 @@ def merge_words(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndar
 
     def index(places: np.ndarray) -> None:
         """Enter the pairs that begin at these places into the lists of their ranks."""
-        key = symbols[places] * merges.width + symbols[after[places]]
+        key = symbols[places].astype(np.int64) * merges.width + symbols[after[places]]
         slot = np.minimum(np.searchsorted(merges.keys, key), len(merges.keys) - 1)
         hit = merges.keys[slot] == key
         places, ranks = places[hit], merges.ranks[slot[hit]]
