@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.llm.bpe import Codes, blocks, load_merges, read_vocabulary, word_splitter
+from tablecheck.llm.bpe import (
+    Codes, blocks, byte_symbols, load_merges, read_vocabulary, word_splitter,
+)
 from tablecheck.llm.helpers import named
 
 
@@ -49,13 +51,16 @@ def count_column(text: Column, source: str) -> Column:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(source)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        split = word_splitter(load_merges(source).special)
+        special = load_merges(source).special
+        split = word_splitter(special)
+
+        model, symbols = tokenizer.model, byte_symbols()
 
         def pieces(words: list[str]) -> np.ndarray:
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return np.fromiter((len(e) for e in found), np.int64, len(found))
+            # A pre-token needs no more than the model; special tokens are one piece.
+            shown = (w.encode().decode("latin-1").translate(symbols) for w in words)
+            counts = (1 if w in special else len(model.tokenize(s)) for w, s in zip(words, shown))
+            return np.fromiter(counts, np.int64, len(words))
 
         for batch in batches:
             texts = (v.as_py() for v in batch)
