@@ -56,19 +56,20 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     state = pin(known.select("n.tree", "n.id", F.col("p.id").alias("above"), F.col("n.score").alias("total"), F.lit(1).alias("hops")), "replies")
     jumps, waiting = [], None
     while True:
-        open_now = state.where("above is not null").count()
+        # Only messages that do not see their root yet look further up.
+        climbing = state.where("above is not null")
+        open_now = climbing.count()
         if open_now == 0 or open_now == waiting:
             break
-        jumps.append(state)
+        jumps.append(climbing)
         waiting = open_now
-        joined = state.alias("s").join(state.alias("t"), _same_tree("s", "t") & F.expr("s.above = t.id"), "left")
-        state = pin(
-            joined.select(
-                "s.tree", "s.id", F.col("t.above").alias("above"),
-                (F.col("s.total") + F.coalesce("t.total", F.lit(0.0))).alias("total"),
-                (F.col("s.hops") + F.coalesce("t.hops", F.lit(0))).alias("hops"),
-            ), "replies",
+        joined = climbing.alias("s").join(state.alias("t"), _same_tree("s", "t") & F.expr("s.above = t.id"), "left")
+        higher = joined.select(
+            "s.tree", "s.id", F.col("t.above").alias("above"),
+            (F.col("s.total") + F.coalesce("t.total", F.lit(0.0))).alias("total"),
+            (F.col("s.hops") + F.coalesce("t.hops", F.lit(0))).alias("hops"),
         )
+        state = pin(state.where("above is null").unionByName(higher), "replies")
     rooted = state.where("above is null")
     parents = (jumps[0] if jumps else state).where("above is not null").select("tree", F.col("above").alias("id"))
     leaves = rooted.alias("r").join(parents.alias("p"), _same_tree("r", "p") & F.expr("r.id = p.id"), "left_anti")
@@ -77,7 +78,7 @@ def reply_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     path = chosen.select("tree", F.col("id").alias("leaf"), F.lit(0).alias("up"), "id")
     for power in reversed(range(len(jumps))):
         higher = path.alias("s").join(
-            jumps[power].where("above is not null").alias("t"), _same_tree("s", "t") & F.expr("s.id = t.id")
+            jumps[power].alias("t"), _same_tree("s", "t") & F.expr("s.id = t.id")
         )
         path = pin(path.union(higher.select("s.tree", "s.leaf", F.col("s.up") + 2**power, "t.above")), "path")
     return path
