@@ -39,8 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, and digests of them and of what they decode to."""
-    path = public_tokenizers.path(BYTE_BPE)
-    return digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path))
+    return digests(bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(BYTE_BPE)))
 
 
 STAGES = [

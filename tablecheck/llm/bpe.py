@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.llm.helpers import gather, named, offsets
+from tablecheck.llm.helpers import fresh, gather, named, offsets
 
 #: Splits text before the merges; a fixed value of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -257,13 +257,20 @@ def encode_column(text: Column, source: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges = load_merges(source)
         for batch in batches:
-            texts = (v.as_py() for v in batch)
-            ids = [row.tobytes() for block in blocks(texts) for row in encode_block(block, merges)]
-            yield pa.array(ids, pa.binary())
+            for block in blocks(v.as_py() for v in batch):
+                yield pa.array([row.tobytes() for row in encode_block(block, merges)], pa.binary())
 
     return F.arrow_udf(encode, T.BinaryType())(text)
 
 
+def decode_row(ids: bytes, merges: Merges) -> str:
+    """The text of one row of ids; an id that the vocabulary does not have has no text."""
+    row = np.frombuffer(ids, "<u4").astype(np.int64)
+    row = row[row < merges.width]
+    raw = gather(merges.piece_bytes, merges.piece_starts, merges.piece_lengths, row).tobytes()
+    return raw.decode("utf-8", "replace")
+
+
 def decode_column(ids: Column, source: str) -> Column:
     """The text of binaries of token ids; bytes that are no UTF-8 become U+FFFD.
 
@@ -273,20 +280,40 @@ def decode_column(ids: Column, source: str) -> Column:
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges = load_merges(source)
-        starts = np.append(merges.piece_starts, 0)
-        lengths = np.append(merges.piece_lengths, 0)
         for batch in batches:
-            texts = []
+            texts, size = [], 0
             for value in batch:
-                row = np.frombuffer(value.as_py() or b"", "<u4").astype(np.int64)
-                row = np.minimum(row, merges.width)
-                raw = gather(merges.piece_bytes, starts, lengths, row).tobytes()
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pa.array(texts, pa.string())
+                texts.append(decode_row(value.as_py() or b"", merges))
+                size += len(texts[-1])
+                if size > BLOCK_CHARS:
+                    yield pa.array(texts, pa.string())
+                    texts, size = [], 0
+            if texts:
+                yield pa.array(texts, pa.string())
 
     return F.arrow_udf(decode, T.StringType())(ids)
 
 
+def round_trip_column(text: Column, source: str) -> Column:
+    """Struct of ``token_ids`` and the text ``decoded`` from them, by one task for each row.
+
+    The same as ``decode_column`` of ``encode_column``, without a second Python process beside the
+    first and without the ids going to and fro between them.
+    """
+    kind = T.StructType().add("token_ids", T.BinaryType()).add("decoded", T.StringType())
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        merges = load_merges(source)
+        for batch in batches:
+            for block in blocks(v.as_py() for v in batch):
+                ids = [row.tobytes() for row in encode_block(block, merges)]
+                del block
+                texts = pa.array([decode_row(row, merges) for row in ids], pa.string())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), texts], ["token_ids", "decoded"])
+
+    return F.arrow_udf(both, kind)(text)
+
+
 def encode(
     df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids"
 ) -> DataFrame:
@@ -309,3 +336,17 @@ def decode(
     A column already called ``text_col`` is replaced; null ids give the empty text.
     """
     return df.withColumn(text_col, decode_column(named(ids_col), read_vocabulary(tokenizer)))
+
+
+def round_trip(
+    df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids",
+    decoded_col: str = "decoded",
+) -> DataFrame:
+    """``decode(encode(df))`` in one pass: ``df`` with ``ids_col`` and ``decoded_col``.
+
+    Nulls, empty texts, repeated rows and columns of those names are treated as there.
+    """
+    pair = fresh(df, "pair")[0]
+    out = df.withColumn(pair, round_trip_column(named(text_col), read_vocabulary(tokenizer)))
+    out = out.withColumn(ids_col, F.col(pair)["token_ids"])
+    return out.withColumn(decoded_col, F.col(pair)["decoded"]).drop(pair)

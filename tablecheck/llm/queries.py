@@ -35,8 +35,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    path = public_tokenizers.path(BYTE_BPE)
-    return digests(bpe.decode(bpe.encode(docs, path).drop("text"), path))
+    return digests(bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE)))
 
 
 def digests(rows: DataFrame) -> DataFrame:

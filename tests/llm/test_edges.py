@@ -42,7 +42,10 @@ def test_encode_and_decode(odd, empty):
     want = brute.token_ids([r["text"] for r in rows], "byte_bpe_50k.json")
     assert [np.frombuffer(r["token_ids"], "<u4").tolist() for r in rows] == want
     assert [r["decoded"] for r in rows] == [r["text"] or "" for r in rows]
-    assert bpe.encode(empty, BYTE).count() == 0
+    both = bpe.round_trip(odd.withColumnRenamed("hash", "decoded"), BYTE).collect()
+    key = lambda r: (bytes(r["token_ids"]), r["decoded"])
+    assert sorted(map(key, both)) == sorted(map(key, rows))
+    assert bpe.encode(empty, BYTE).count() == 0 and bpe.round_trip(empty, BYTE).count() == 0
     again = bpe.encode(odd.withColumnRenamed("hash", "token_ids"), BYTE)
     assert dict(again.dtypes)["token_ids"] == "binary"
 
