@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.llm.helpers import fresh, named, row_key
+from tablecheck.session import pin
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
 #: A sentence ends at white space after . ! or ?, and at each line end.
@@ -146,7 +147,8 @@ def remove_repeats(
     table = span_table(df, min_sentences, min_words, id_col, text_col)
     # Counted before the shuffle, so a passage of very many documents is a few rows.
     firsts = table.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    repeated = firsts.where("n > 1").drop("n")
+    # Written, so that the join below reads plain shuffles, whose hot hashes Spark can split.
+    repeated = pin(firsts.where("n > 1").drop("n"), "repeated")
     later = (
         (F.col("span") >= LATER) | (F.col("id") > F.col("first"))
         | (F.col("id").isNull() & F.col("first").isNotNull())
