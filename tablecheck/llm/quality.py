@@ -3,8 +3,9 @@
 Texts are measured, a base rule rejects what is plainly no prose, and the rest is judged
 by how far its measures lie from those of its language and source. Centre and spread are
 minimum-covariance-determinant estimates: concentration steps keep the share of a group
-that lies nearest, estimate again, and so on. Sums are of whole numbers, so they do not
-depend on the order in which tasks end.
+that lies nearest, estimate again, and so on, from two starts; the estimate of the least
+determinant counts. Sums are of whole numbers, so they do not depend on the order in which
+tasks end.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from tablecheck.llm.helpers import SPACE_CLASS, named
 from tablecheck.session import pin
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that an estimate rests on, and concentration steps.
-SHARE, STEPS = 0.75, 6
+#: Share of a group that an estimate rests on, just over half, so that just under half of
+#: a group may be junk; and concentration steps.
+SHARE, STEPS = 0.51, 6
 #: Quantile 0.5 of the chi-square distribution with as many degrees as there are measures,
 #: and the squared distance beyond which a text is rejected (quantile 0.999999).
 MEDIAN_CHI2, LIMIT = 4.351, 35.89
@@ -82,11 +84,15 @@ def _measures() -> list[Column]:
     return [F.round(v * GRAIN).cast("long").alias(f"x{i}") for i, v in enumerate(values)]
 
 
-def _least_share(counts: DataFrame, value: str, share: float) -> Column:
-    """True for the values that the least ``share`` of a group's rows needs; counts is (grp, value, n)."""
+def _least_share(value: str, share: float) -> Column:
+    """How many of the n rows of each value are among the least ``share`` of a group's rows.
+
+    For a frame of (grp, value, n); at most one value of a group is there in part.
+    """
     before = Window.partitionBy("grp").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("grp")
-    return F.coalesce(F.sum("n").over(before), F.lit(0)) < F.ceil(share * F.sum("n").over(whole))
+    left = F.ceil(share * F.sum("n").over(whole)) - F.coalesce(F.sum("n").over(before), F.lit(0))
+    return F.least(F.col("n"), F.greatest(left, F.lit(0)))
 
 
 def _medians(rows: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def _medians(rows: DataFrame) -> DataFrame:
     out = None
     for i in range(D):
         counts = rows.groupBy("grp", F.col(f"x{i}").alias("v")).agg(F.count("*").alias("n"))
-        low = counts.withColumn("low", _least_share(counts, "v", 0.5)).where("low")
+        low = counts.withColumn("low", _least_share("v", 0.5)).where("low > 0")
         middle = low.groupBy("grp").agg(F.max("v").alias(f"m{i}"))
         out = middle if out is None else out.join(middle, "grp")
     return out
@@ -150,7 +156,8 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Mean and spread of the share of each group that is nearest by ``params``.
 
     Moments are summed per bin of distance before the shuffle; which bins belong to
-    the nearest share is decided on the bins.
+    the nearest share is decided on the bins. The rows of the bin at the cut count by the
+    fraction of them that is needed, so many copies of one text do not come in as a whole.
     """
     pairs = [(i, j) for i in range(D) for j in range(i + 1)]
     bins = _distance(rows, params).groupBy("grp", _bin(F.col("d2")).alias("bin")).agg(
@@ -158,11 +165,18 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
         *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
         *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"p{i}{j}") for i, j in pairs],
     )
-    near = bins.withColumn("near", _least_share(bins, "bin", SHARE)).where("near")
+    near = bins.withColumn("near", _least_share("bin", SHARE)).where("near > 0")
+    whole, part = F.col("near") == F.col("n"), F.col("near") / F.col("n")
+
+    def total(name: str) -> Column:
+        # One bin at most is there in part, so its product is no sum of fractions.
+        cut = F.max(F.when(~whole, F.col(name).cast("double") * part))
+        zero = F.lit(0.0)
+        return (F.coalesce(F.sum(F.when(whole, F.col(name))).cast("double"), zero) + F.coalesce(cut, zero)).alias(name)
+
     sums = near.groupBy("grp").agg(
-        F.sum("n").cast("double").alias("n"),
-        *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(D)],
-        *[F.sum(f"p{i}{j}").cast("double").alias(f"p{i}{j}") for i, j in pairs],
+        F.sum("near").cast("double").alias("n"),
+        *[total(f"s{i}") for i in range(D)], *[total(f"p{i}{j}") for i, j in pairs],
     )
     n = F.col("n")
     return sums.select(
@@ -171,6 +185,30 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def _estimate(rows: DataFrame, steps: int) -> DataFrame:
+    """Centre and spread of each group of ``rows``.
+
+    One start is from all rows, one from the distinct vectors, among which copies of a text
+    are one. Both are concentrated on all rows at once, as groups whose names begin with
+    the number of the start. The lesser determinant stays, the first start at a tie.
+    """
+    start = lambda k: F.concat(F.lit(k), F.col("grp")).alias("grp")
+    values = [F.col(f"x{i}") for i in range(D)]
+    begin = pin(rows.select(start("0"), *values).unionAll(rows.distinct().select(start("1"), *values)), "starts")
+    medians = pin(_medians(begin), "medians")
+    params = pin(_deviations(begin, medians), "spread")
+    twice = rows.select(F.explode(F.array(start("0"), start("1"))).alias("grp"), *values)
+    for _ in range(steps):
+        params = pin(_concentrate(twice, params), "spread")
+    size = F.round(sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")), 6)
+    sized = params.join(_factors(params).select("grp", size.alias("size")), "grp")
+    names = [c for c in params.columns if c != "grp"]
+    best = sized.groupBy(F.substring("grp", 2, 1 << 30).alias("grp")).agg(
+        F.min_by(F.struct(*names), F.struct("size", F.substring("grp", 1, 1))).alias("best")
+    )
+    return pin(best.select("grp", "best.*"), "spread")
+
+
 def robust_outliers(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     group_cols: tuple[str, ...] = ("lang", "source"), limit: float = LIMIT, steps: int = STEPS,
@@ -184,7 +222,8 @@ def robust_outliers(
 
     The vector is the logarithms of words, characters a word, and symbols, repeated lines and
     repeated words per hundred words (these plus one). Estimates of a group, all
-    rows with equal ``group_cols`` (nulls are equal), rest on its rows that pass the base rule.
+    rows with equal ``group_cols`` (nulls are equal), rest on the nearest SHARE of its rows
+    that pass the base rule; up to some 45% of them may be junk, copies of one text too.
     ``distance`` is the squared Mahalanobis distance, scaled so that the group's median is that
     of the chi-square distribution; beyond ``limit`` a text is rejected. The spread of a
     measure has a floor (FLOORS), so equal texts, ties and groups of one row are no
@@ -203,13 +242,10 @@ def robust_outliers(
     )
     table = pin(measured.withColumn("base_failed", failed).select("*", *_measures()), "measures")
     rows = table.where("not base_failed").select("grp", *[f"x{i}" for i in range(D)])
-    medians = pin(_medians(rows), "medians")
-    params = pin(_deviations(rows, medians), "spread")
-    for _ in range(steps):
-        params = pin(_concentrate(rows, params), "spread")
+    params = _estimate(rows, steps)
     judged = _distance(table, params)
     bins = judged.where("not base_failed").groupBy("grp", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
-    low = bins.withColumn("low", _least_share(bins, "bin", 0.5)).where("low")
+    low = bins.withColumn("low", _least_share("bin", 0.5)).where("low > 0")
     middle = low.groupBy("grp").agg(F.expm1(F.max("bin") / GRAIN).alias("middle"))
     # Never scaled up: a group of equal rows has no spread, and floors as its measure.
     scale = F.least(F.lit(1.0), MEDIAN_CHI2 / F.greatest(F.col("middle"), F.lit(1e-9)))

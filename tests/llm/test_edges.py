@@ -241,6 +241,21 @@ def test_quality(spark, odd, empty):
     assert kept == {d[0] for d in docs}
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.45])
+def test_quality_rejects_a_bad_text_however_often_it_is_there(spark, share):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    docs = [(i, prose(rng.randrange(60, 900)), "en", "s") for i in range(110)]
+    n = round(len(docs) * share / (1 - share))
+    copy = " ".join(f"{w}###" for w in prose(200).split())
+    varied = [" ".join(f"{w}###" for w in prose(rng.randrange(100, 300)).split()) for _ in range(n)]
+    junk = [(1000 + i, copy, "en", "s") for i in range(n)]
+    other = [(i, t, "en", "t") for i, t, _, _ in docs] + [(1000 + i, t, "en", "t") for i, t in enumerate(varied)]
+    df = spark.createDataFrame(docs + junk + other, "doc_id long, text string, lang string, source string")
+    kept = sorted(r["doc_id"] for r in quality.robust_outliers(df).where("kept").collect())
+    assert kept == sorted([d[0] for d in docs] * 2)
+
+
 def test_quality_uses_no_python(spark, odd):
     plan = quality.robust_outliers(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
