@@ -5,11 +5,15 @@ one of at least ``min_sentences`` sentences and ``min_words`` words that begins,
 ends, at a sentence, so a passage is covered up to its first and last sentence. Runs are
 joined globally on their hash; a run that has an earlier occurrence is not the first, and
 the sentences it covers are cut.
+
+Sentences of more than ``min_words`` words are also cut into pieces at places that nearby words
+choose, so runs of pieces find passages within a sentence, and texts without sentences.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,9 @@ MIN_SENTENCES, MIN_WORDS = 2, 12
 #: A sentence ends at white space after . ! or ?, and at each line end.
 BOUNDARY = r"(?:(?<=[.!?])[^\S\n]|\n)\s*"
 LATER, START_BITS = 1 << 62, 31
+#: Of so many neighbouring places between words one at least ends a piece.
+REACH = 9
+WORD = re.compile(r"\S+")
 
 
 def sentences(text: str, boundary) -> list[tuple[int, int]]:
@@ -36,34 +43,95 @@ def sentences(text: str, boundary) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def piece_ends(words: list[str], reach: int = REACH) -> list[int]:
+    """Where the pieces of a long sentence end, as numbers of words.
+
+    Places are known by the hash of the words on both sides; each window of ``reach`` places
+    chooses its least one, so equal passages are cut alike but for their first and last words.
+    Among equal ones a place that is chosen already stays, so one word over and over is cut
+    every ``reach`` words.
+    """
+    raw = [w.encode() for w in words]
+    pairs = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(raw, raw[1:])]
+    out, at = [], -1
+    for end in range(reach - 1, len(pairs)):
+        begin = end - reach + 1
+        if at < begin:
+            least = min(pairs[begin : end + 1])
+            at = next(k for k in range(end, begin - 1, -1) if pairs[k] == least)
+        elif pairs[end] < pairs[at]:
+            at = end
+        else:
+            continue
+        out.append(at + 1)
+    return [*out, len(words)]
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh64_digest(" ".join(words).encode())
+
+
 def runs(text: str, boundary, min_sentences: int, min_words: int) -> list[tuple[int, int]]:
     """(hash, packed span) of the runs of a text.
 
     A span is start * 2^31 + end in characters; LATER is added where the text itself has
     an earlier run of that hash. Case and the kind of white space do not count.
+    Besides the runs of sentences there is one from each piece of a long sentence on, and one
+    up to each end of such a sentence: the shortest of at least two units (pieces, or sentences
+    that are not long) and ``min_words`` words. A run of one unit over and over is no repeat
+    of what stands before it in the text, but it is one of an earlier text.
     """
     kept, sizes, digests = [], [], []
+    units, lengths, codes, pieces, closed = [], [], [], [], []
     for a, b in sentences(text, boundary):
         words = text[a:b].lower().split()
-        if words:
-            kept.append((a, b))
-            sizes.append(len(words))
-            digests.append(xxhash.xxh64_digest(" ".join(words).encode()))
+        if not words:
+            continue
+        kept.append((a, b))
+        sizes.append(len(words))
+        digests.append(_digest(words))
+        if len(words) <= min_words:
+            units.append((a, b))
+            lengths.append(len(words))
+            codes.append(digests[-1])
+            continue
+        starts = [m.start() for m in WORD.finditer(text, a, b)]
+        begin = 0
+        for end in piece_ends(words):
+            pieces.append(len(units))
+            units.append((starts[begin] if begin else a, starts[end] if end < len(words) else b))
+            lengths.append(end - begin)
+            codes.append(_digest(words[begin:end]))
+            begin = end
+        closed.append(len(units))
     n = len(kept)
-    if n < min_sentences:
-        return []
-    total = np.append(0, np.cumsum(sizes))
-    at = np.arange(n + 1)
-    ahead = np.maximum(at + min_sentences, np.searchsorted(total, total + min_words))
-    back = np.minimum(at - min_sentences, np.searchsorted(total, total - min_words, "right") - 1)
-    spans = {(i, j) for i, j in zip(at.tolist(), ahead.tolist()) if j <= n}
-    spans |= {(i, j) for i, j in zip(back.tolist(), at.tolist()) if i >= 0}
-    joined, seen, out = b"".join(digests), set(), []
-    for i, j in sorted(spans):
-        code = xxhash.xxh64_intdigest(joined[8 * i : 8 * j])
+    found = {}
+    if n >= min_sentences:
+        total = np.append(0, np.cumsum(sizes))
+        at = np.arange(n + 1)
+        ahead = np.maximum(at + min_sentences, np.searchsorted(total, total + min_words))
+        back = np.minimum(at - min_sentences, np.searchsorted(total, total - min_words, "right") - 1)
+        spans = {(i, j) for i, j in zip(at.tolist(), ahead.tolist()) if j <= n}
+        spans |= {(i, j) for i, j in zip(back.tolist(), at.tolist()) if i >= 0}
+        joined = b"".join(digests)
+        found = {(kept[i][0], kept[j - 1][1], joined[8 * i : 8 * j]): False for i, j in spans}
+    if pieces:
+        total = np.append(0, np.cumsum(lengths))
+        at, to = np.array(pieces), np.array(closed)
+        ahead = np.maximum(at + 2, np.searchsorted(total, total[at] + min_words))
+        back = np.minimum(to - 2, np.searchsorted(total, total[to] - min_words, "right") - 1)
+        spans = {(i, j) for i, j in zip(pieces, ahead.tolist()) if j <= len(units)}
+        spans |= {(i, j) for i, j in zip(back.tolist(), closed) if i >= 0}
+        joined = b"".join(codes)
+        for i, j in spans:
+            key = joined[8 * i : 8 * j]
+            found[units[i][0], units[j - 1][1], key] = key == codes[i] * (j - i)
+    seen, out = set(), []
+    for (start, end, key), dull in sorted(found.items()):
+        code = xxhash.xxh64_intdigest(key)
         code -= (code >> 63) << 64
-        span = (kept[i][0] << START_BITS) + kept[j - 1][1]
-        out.append((code, span + (LATER if code in seen else 0)))
+        span = (start << START_BITS) + end
+        out.append((code, span + (LATER if code in seen and not dull else 0)))
         seen.add(code)
     return out
 
@@ -135,10 +203,11 @@ def remove_repeats(
     """``df`` with repeated sentence spans cut out of ``text_col``.
 
     The first occurrence of a span is the one in the least id, there the leftmost. Later ones
-    lose the sentences they cover, with the white space behind them; a text may become
-    empty, its row stays. Rows of one id count as one document, so they do not lose what they
+    lose the sentences, or pieces of a long sentence, that they cover, with the white space
+    behind them; a text may become empty, its row stays. A repeated passage of over 50 varied
+    words is found wherever sentences end, but for a few words at its ends. Rows of one id count as one document, so they do not lose what they
     share, and null ids count as one document behind all others. Null texts stay null; texts
-    with fewer than ``min_sentences`` sentences or ``min_words`` words have no span. Texts
+    with fewer than ``min_words`` words have no span. Texts
     may have 2^31 - 1 characters. With ``cut_col`` a column of that name (an existing one is
     replaced) holds the characters cut from each text.
 

@@ -160,6 +160,23 @@ def test_passages_are_cut_where_they_occur_again(spark):
     assert all(got[i] == f"{b} {a}" for i, _, b, a in rows[1:])
 
 
+def test_passages_within_a_sentence_are_cut_where_they_occur_again(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, inner, bare = words(60), words(51), words(400)
+    texts = [f"{words(9)}. {passage}. {words(9)}.", f"{words(9)}. {passage.upper()}. {words(9)}.",
+             f"{words(40)} {inner} {words(40)}", f"{words(30)} {inner} {words(30)}", bare, bare, "word " * 300, "word " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert all(got[i] == texts[i] for i in (0, 2, 4, 6))
+    before, _, after = texts[1].split(". ")
+    assert got[1] == f"{before}. {after}"
+    # A passage amid a sentence may keep a few words at its ends; what is new stays.
+    left = got[3].split()
+    assert left[:30] == texts[3].split()[:30] and left[-30:] == texts[3].split()[-30:] and len(left) < 60 + 39
+    assert got[5] == "" and got[7] == ""
+
+
 def test_decontamination(spark, odd, empty):
     items = ["", None, "x", PROSE, "A benchmark question that nobody else would ever think of asking here?"]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
