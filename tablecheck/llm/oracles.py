@@ -7,20 +7,27 @@ import re
 from tablecheck.llm.chat import CONTROL, END, SEP, START
 
 # CRC-32 byte by byte, with the table of its polynomial worked out first.
-_CRC = """
+_CRC_TABLE = """
 WITH RECURSIVE bits(b, k, v) AS (
   SELECT i, 0, i FROM range(256) t(i)
   UNION ALL
   SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
-crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc(codes: str) -> str:
+    """CRC-32 of a list of bytes beside the table ``t``."""
+    step = "lambda v, x: xor(v // 256, t[xor(v, x) % 256 + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), {step}), 4294967295)"
+
+
+_CRC = f"""{_CRC_TABLE},
 raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 bytes AS (
   SELECT doc_id, source, n,
          list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM raw),
 docs AS (
-  SELECT doc_id, source, n + 1 AS size,
-         xor(list_reduce(list_prepend(4294967295, b),
-                         lambda v, x: xor(v // 256, t[xor(v, x) % 256 + 1])), 4294967295) AS text_crc32
+  SELECT doc_id, source, n + 1 AS size, {_crc('b')} AS text_crc32
   FROM bytes, crc)"""
 
 SHARDS = f"""{_CRC},
@@ -67,4 +74,53 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(reply) AS loss_cha
        sha256(reply) AS loss_sha256, formatted_chars
 FROM joined"""
 
-ORACLES = {"op6_sharding": SHARDS, "op9_chat": CHATS}
+_TURNS = f"""{_CRC_TABLE},
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, conv_id::VARCHAR AS s FROM own),
+hashed AS (
+  SELECT conv_id, base, {_crc("list_transform(range(length(s)), lambda i: ascii(s[i + 1])::BIGINT)")} % 9 AS h
+  FROM ids, crc),
+shared AS (
+  SELECT hashed.*, least(h, coalesce(n, 0)) AS lent FROM hashed
+  LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM own GROUP BY conv_id) USING (base)),
+turns AS (
+  SELECT conv_id, CASE WHEN base = conv_id THEN pos ELSE pos - h + lent END AS pos, role, text
+  FROM own JOIN shared USING (conv_id) WHERE base = conv_id OR pos >= h
+  UNION ALL
+  SELECT shared.conv_id, pos, role, text FROM shared JOIN own ON own.conv_id = base
+  WHERE base <> shared.conv_id AND pos < h)"""
+
+TRIE = f"""{_TURNS},
+paths AS (
+  SELECT ids.conv_id, coalesce(path, []) AS path FROM ids LEFT JOIN (
+    SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS path
+    FROM turns GROUP BY conv_id) AS said ON said.conv_id = ids.conv_id),
+prefixes AS (
+  SELECT conv_id, d, len(path) AS total, md5(array_to_string(list_slice(path, 1, d), ',')) AS k
+  FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT k, d, min(conv_id) AS rep, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN d = total THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+  FROM prefixes GROUP BY k, d),
+linked AS (
+  SELECT nodes.*, up.rep AS parent, up.k AS up, coalesce((n_convs_ - 1) * strlen(text), 0) AS weight
+  FROM (SELECT *, n_convs AS n_convs_ FROM nodes) AS nodes
+  LEFT JOIN prefixes AS above ON above.conv_id = nodes.rep AND above.d = nodes.d - 1
+  LEFT JOIN nodes AS up ON up.k = above.k AND up.d = above.d
+  LEFT JOIN turns ON turns.conv_id = nodes.rep AND turns.pos = nodes.d - 1),
+children AS (SELECT up AS k, d - 1 AS d, count(*) AS n FROM linked WHERE d > 0 GROUP BY up, d),
+below AS (
+  SELECT p.k, p.d, sum(l.weight) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM linked AS l JOIN prefixes AS p ON p.conv_id = l.rep AND p.d <= l.d
+  LEFT JOIN children AS c ON c.k = l.k AND c.d = l.d
+  GROUP BY p.k, p.d)
+SELECT rep AS conv_id, linked.d AS depth, parent AS parent_conv_id, n_convs, coalesce(children.n, 0) AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM linked JOIN below ON below.k = linked.k AND below.d = linked.d
+LEFT JOIN children ON children.k = linked.k AND children.d = linked.d"""
+
+ORACLES = {"op6_sharding": SHARDS, "op9_chat": CHATS, "op11_prefix_trie": TRIE}

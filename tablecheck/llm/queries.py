@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.llm import (
-    bpe, chat, decontamination, quality, sharding, simhash, substring_dedup, token_counts, token_orc, toxicity,
+    bpe, chat, decontamination, periodic_runs, prefix_trie, quality, sharding, simhash, substring_dedup,
+    token_counts, token_orc, toxicity,
 )
 from tablecheck.llm.helpers import read
 from tablecheck.llm.oracles import ORACLES
@@ -120,10 +121,65 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _decimal_crc32(number: Column) -> Column:
+    return F.crc32(F.encode(number.cast("string"), "UTF-8"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of conversations that begin as a neighbour does."""
+    own = pin(prefix_trie.number_turns(read(spark, sf_dir, "conversations")), "numbered")
+    counts = own.groupBy("conv_id").agg(F.count("*").alias("n"))
+    base = (F.col("conv_id") - F.col("conv_id") % 5).alias("base")
+    shared = counts.select("conv_id", base, F.pmod(_decimal_crc32(F.col("conv_id")), F.lit(9)).alias("h"))
+    lent = F.least(F.col("h"), F.coalesce(F.col("n"), F.lit(0)))
+    shared = shared.join(counts.withColumnRenamed("conv_id", "base"), "base", "left").select(
+        "conv_id", "base", "h", (lent - F.col("h")).alias("shift")
+    )
+    same = F.col("base") == F.col("conv_id")
+    kept = own.join(shared, "conv_id").where(same | (F.col("pos") >= F.col("h")))
+    pos = F.when(same, F.col("pos")).otherwise(F.col("pos") + F.col("shift"))
+    first = own.where("pos < 8").withColumnRenamed("conv_id", "base")
+    borrowed = shared.where(~same).join(first, "base").where("pos < h")
+    turns = kept.select("conv_id", pos.alias("pos"), "role", "text").union(
+        borrowed.select("conv_id", "pos", "role", "text")
+    )
+    turns = turns.withColumn("size", F.octet_length("text").cast("long"))
+    return prefix_trie.prefix_trie(turns, counts).withColumnRenamed("saved", "saved_tokens")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which are made periodic first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = _decimal_crc32(F.col("doc_id"))
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    g = F.floor(h / 10)
+    a = F.when(F.col("n") > 0, g % F.col("n"))
+    docs = docs.withColumn("a", a).withColumn("p", F.floor((F.col("n") - F.col("a")) / (g % 8 + 3)) + 1)
+    place = F.sequence(F.lit(0), F.col("n") - 1)
+    again = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+    planted = F.array_join(F.transform(place, lambda i: F.get("words", again(i).cast("int"))), " ")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.add_runs(docs)
+    # The longest run; of those the one that starts first, then the one with the least period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.withColumn("best", best)
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_simhash, op3_bpe, op4_quality, op5_toxicity, op6_sharding,
-        op7_token_counts, op8_decontamination, op9_chat, op10_token_orc,
+        op7_token_counts, op8_decontamination, op9_chat, op10_token_orc, op11_prefix_trie,
+        op13_periodic_runs,
     )
 }
