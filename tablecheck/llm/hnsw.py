@@ -21,6 +21,8 @@ BUILD_BEAM = 64
 BATCH = 1024
 #: Nodes that a query expands in one step.
 STRIDE = 4
+#: Numbers that one array operation of a search makes.
+AT_ONCE = 4_000_000
 
 
 @dataclass
@@ -63,6 +65,38 @@ def _choose(vectors: np.ndarray, candidates: np.ndarray, sims: np.ndarray, degre
     return out
 
 
+def likeness(one: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the lines ``one[i]`` and ``other[j]``, some at a time."""
+    step = max(1, AT_ONCE // max(1, one.shape[1]))
+    parts = [
+        np.einsum("ij,ij->i", one[i[k : k + step]], other[j[k : k + step]]) for k in range(0, len(i), step)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0, one.dtype)
+
+
+def _unseen(
+    links: np.ndarray, lines: np.ndarray, source: np.ndarray, seen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(line, node), each once, of the neighbours of ``source`` that are new to their line."""
+    n, total = seen.shape
+    step = max(1, AT_ONCE // links.shape[1])
+    found = []
+    marked = np.zeros((n, total), bool) if len(source) > step else None
+    for k in range(0, len(source), step):
+        to = links[source[k : k + step]]
+        r, c = np.nonzero((to >= 0) & (to < total))
+        at, node = lines[k : k + step][r], to[r, c]
+        new = seen[at, node] == -2
+        if marked is not None:
+            marked[at[new], node[new]] = True
+        else:
+            found.append(at[new] * total + node[new])
+    if marked is not None:
+        return np.nonzero(marked)
+    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return code // total, code % total
+
+
 def search(
     graph: Graph, queries: np.ndarray, level: int, entries: np.ndarray, beam: int, floor: float = 2.0,
     present: int | None = None,
@@ -83,14 +117,10 @@ def search(
     sims = np.full((n, beam), np.float32(-2))
     waiting = np.zeros((n, beam), bool)
     lines, columns = np.nonzero(entries >= 0)
-    nodes = entries[lines, columns]
+    code = np.unique(lines * total + entries[lines, columns])
+    lines, nodes = code // total, code % total
     while len(lines):
-        # Look at the nodes that are new to their query.
-        code = np.unique(lines * total + nodes)
-        lines, nodes = code // total, code % total
-        new = seen[lines, nodes] == -2
-        lines, nodes = lines[new], nodes[new]
-        like = np.einsum("ij,ij->i", queries[lines], vectors[nodes])
+        like = likeness(queries, lines, vectors, nodes)
         seen[lines, nodes] = like
         # Whatever is close enough is expanded at once, however many that are.
         close = like >= floor
@@ -112,15 +142,15 @@ def search(
         # Expand the best that wait, and what is close.
         live = np.flatnonzero(waiting.any(axis=1))
         value = np.where(waiting[live], sims[live], -2)
-        pick = np.argpartition(-value, stride - 1, axis=1)[:, :stride] if stride < beam else np.tile(np.arange(beam), (len(live), 1))
+        pick = np.tile(np.arange(beam), (len(live), 1))
+        if stride < beam:
+            pick = np.argpartition(-value, stride - 1, axis=1)[:, :stride]
         r, c = np.nonzero(np.take_along_axis(value, pick, 1) > -2)
         lines, columns = live[r], pick[r, c]
         waiting[lines, columns] = False
         source = np.append(best[lines, columns], near_nodes)
         lines = np.append(lines, near_lines)
-        to = links[source]
-        r, c = np.nonzero((to >= 0) & (to < total))
-        lines, nodes = lines[r], to[r, c]
+        lines, nodes = _unseen(links, lines, source, seen)
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(best, order, 1), np.take_along_axis(sims, order, 1), seen
 
@@ -245,13 +275,13 @@ def looked_at(
     return search(graph, queries, 0, entries, beam, floor)[2]
 
 
-def to_bytes(graph: Graph) -> bytes:
+def links_to_bytes(graph: Graph) -> bytes:
     out = io.BytesIO()
-    np.savez(out, *[l.astype(np.int32) for l in graph.links], vectors=graph.vectors)
+    np.savez(out, *[level.astype(np.int32) for level in graph.links])
     return out.getvalue()
 
 
-def from_bytes(data: bytes) -> Graph:
+def from_bytes(vectors: np.ndarray, data: bytes) -> Graph:
     held = np.load(io.BytesIO(data))
-    links = [held[f"arr_{i}"].astype(np.int64) for i in range(len(held.files) - 1)]
-    return Graph(held["vectors"], links, [len(l) for l in links])
+    links = [held[f"arr_{i}"].astype(np.int64) for i in range(len(held.files))]
+    return Graph(np.ascontiguousarray(vectors, np.float32), links, [len(level) for level in links])

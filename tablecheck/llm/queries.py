@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.llm import (
-    bpe, chat, decontamination, periodic_runs, prefix_trie, quality, sharding, simhash, substring_dedup,
-    token_counts, token_orc, toxicity,
+    bpe, chat, decontamination, embedding_dedup, periodic_runs, prefix_trie, quality, sharding, simhash,
+    substring_dedup, token_counts, token_orc, toxicity,
 )
 from tablecheck.llm.helpers import read
 from tablecheck.llm.oracles import ORACLES
@@ -147,6 +147,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, counts).withColumnRenamed("saved", "saved_tokens")
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector."""
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, some of which are made periodic first."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -180,6 +185,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_simhash, op3_bpe, op4_quality, op5_toxicity, op6_sharding,
         op7_token_counts, op8_decontamination, op9_chat, op10_token_orc, op11_prefix_trie,
-        op13_periodic_runs,
+        op12_embedding_dedup, op13_periodic_runs,
     )
 }
