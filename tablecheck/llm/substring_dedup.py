@@ -6,8 +6,9 @@ ends, at a sentence, so a passage is covered up to its first and last sentence.
 joined globally on their hash; a run that has an earlier occurrence is not the first, and
 the sentences it covers are cut.
 
-Sentences of more than ``min_words`` words are also cut into pieces at places that nearby words
-choose, so runs of pieces find passages within a sentence, and texts without sentences.
+Passages of over 50 words are found wherever sentences end too: sentences of more than REACH words are
+cut into pieces at places that nearby words choose, and runs of such pieces, and of sentences
+beside them, of at least PIECE_WORDS words are hashed as well.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ MIN_SENTENCES, MIN_WORDS = 2, 12
 #: A sentence ends at white space after . ! or ?, and at each line end.
 BOUNDARY = r"(?:(?<=[.!?])[^\S\n]|\n)\s*"
 LATER, START_BITS = 1 << 62, 31
-#: Of so many neighbouring places between words one at least ends a piece.
-REACH = 9
+#: Of so many neighbouring places between words one at least ends a piece, and a run with pieces has
+#: so many words. A passage of REACH * 2 + PIECE_WORDS words or more holds such a run.
+REACH, PIECE_WORDS = 13, 24
 WORD = re.compile(r"\S+")
 
 
@@ -71,15 +73,25 @@ def _digest(words: list[str]) -> bytes:
     return xxhash.xxh64_digest(" ".join(words).encode())
 
 
+def _forward(total: np.ndarray, least: int, words: int) -> np.ndarray:
+    """Where the shortest run from each unit on ends that has ``least`` units and ``words`` words."""
+    return np.maximum(np.arange(len(total)) + least, np.searchsorted(total, total + words))
+
+
+def _back(total: np.ndarray, least: int, words: int) -> np.ndarray:
+    """Where the shortest such run up to each unit begins."""
+    return np.minimum(np.arange(len(total)) - least, np.searchsorted(total, total - words, "right") - 1)
+
+
 def runs(text: str, boundary, min_sentences: int, min_words: int) -> list[tuple[int, int]]:
     """(hash, packed span) of the runs of a text.
 
     A span is start * 2^31 + end in characters; LATER is added where the text itself has
     an earlier run of that hash. Case and the kind of white space do not count.
-    Besides the runs of sentences there is one from each piece of a long sentence on, and one
-    up to each end of such a sentence: the shortest of at least two units (pieces, or sentences
-    that are not long) and ``min_words`` words. A run of one unit over and over is no repeat
-    of what stands before it in the text, but it is one of an earlier text.
+    Besides the runs of sentences there are those of units: sentences of up to REACH words, and the pieces of longer
+    ones. From each unit on, and up to the end of each cut sentence, there is the shortest one of at least
+    two units and PIECE_WORDS words, if it has a piece in it. A run of one unit over and over is no
+    repeat of what stands before it in the text, but it is one of an earlier text.
     """
     kept, sizes, digests = [], [], []
     units, lengths, codes, pieces, closed = [], [], [], [], []
@@ -90,37 +102,37 @@ def runs(text: str, boundary, min_sentences: int, min_words: int) -> list[tuple[
         kept.append((a, b))
         sizes.append(len(words))
         digests.append(_digest(words))
-        if len(words) <= min_words:
+        if len(words) <= REACH:
             units.append((a, b))
             lengths.append(len(words))
             codes.append(digests[-1])
+            pieces.append(0)
             continue
         starts = [m.start() for m in WORD.finditer(text, a, b)]
         begin = 0
         for end in piece_ends(words):
-            pieces.append(len(units))
             units.append((starts[begin] if begin else a, starts[end] if end < len(words) else b))
             lengths.append(end - begin)
             codes.append(_digest(words[begin:end]))
+            pieces.append(1)
             begin = end
         closed.append(len(units))
     n = len(kept)
     found = {}
     if n >= min_sentences:
         total = np.append(0, np.cumsum(sizes))
-        at = np.arange(n + 1)
-        ahead = np.maximum(at + min_sentences, np.searchsorted(total, total + min_words))
-        back = np.minimum(at - min_sentences, np.searchsorted(total, total - min_words, "right") - 1)
-        spans = {(i, j) for i, j in zip(at.tolist(), ahead.tolist()) if j <= n}
-        spans |= {(i, j) for i, j in zip(back.tolist(), at.tolist()) if i >= 0}
+        ahead, back = _forward(total, min_sentences, min_words), _back(total, min_sentences, min_words)
+        spans = {(i, j) for i, j in enumerate(ahead.tolist()) if j <= n}
+        spans |= {(i, j) for j, i in enumerate(back.tolist()) if i >= 0}
         joined = b"".join(digests)
         found = {(kept[i][0], kept[j - 1][1], joined[8 * i : 8 * j]): False for i, j in spans}
-    if pieces:
-        total = np.append(0, np.cumsum(lengths))
-        at, to = np.array(pieces), np.array(closed)
-        ahead = np.maximum(at + 2, np.searchsorted(total, total[at] + min_words))
-        back = np.minimum(to - 2, np.searchsorted(total, total[to] - min_words, "right") - 1)
-        spans = {(i, j) for i, j in zip(pieces, ahead.tolist()) if j <= len(units)}
+    if closed:
+        total, held = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(pieces))
+        ahead = _forward(total, 2, PIECE_WORDS)
+        some = np.flatnonzero(ahead <= len(units))
+        some = some[held[ahead[some]] > held[some]]
+        spans = set(zip(some.tolist(), ahead[some].tolist()))
+        back = _back(total, 2, PIECE_WORDS)[closed]
         spans |= {(i, j) for i, j in zip(back.tolist(), closed) if i >= 0}
         joined = b"".join(codes)
         for i, j in spans:
@@ -205,15 +217,17 @@ def remove_repeats(
     The first occurrence of a span is the one in the least id, there the leftmost. Later ones
     lose the sentences, or pieces of a long sentence, that they cover, with the white space
     behind them; a text may become empty, its row stays. A repeated passage of over 50 varied
-    words is found wherever sentences end, but for a few words at its ends. Rows of one id count as one document, so they do not lose what they
-    share, and null ids count as one document behind all others. Null texts stay null; texts
+    words is found wherever sentences end, but some words at its ends may stay. Rows of one id
+    count as one document, so they do not lose what they share, and null ids count as one document
+    behind all others. Null texts stay null; texts
     with fewer than ``min_words`` words have no span. Texts
     may have 2^31 - 1 characters. With ``cut_col`` a column of that name (an existing one is
     replaced) holds the characters cut from each text.
 
     Runs of different sentences meet only if 64-bit hashes collide.
     """
-    table = span_table(df, min_sentences, min_words, id_col, text_col)
+    # Texts are cut into runs once; both reads below take them from there.
+    table = pin(span_table(df, min_sentences, min_words, id_col, text_col), "runs")
     # Counted before the shuffle, so a passage of very many documents is a few rows.
     firsts = table.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     # Written, so that the join below reads plain shuffles, whose hot hashes Spark can split.

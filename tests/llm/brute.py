@@ -91,50 +91,69 @@ def crc32(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
 
 
-def without_repeats(rows: list[tuple], min_sentences: int, min_words: int) -> dict:
-    """id to text without sentences that an earlier span covers, from (id, text) with unique ids."""
-    def split(text):
-        cuts, at = [], 0
-        for m in re.finditer(r"((?<=[.!?])[^\S\n]|\n)\s*", text):
-            cuts.append((at, m.end()))
-            at = m.end()
-        return [c for c in [*cuts, (at, len(text))] if text[c[0] : c[1]].split()]
-
-    def spans(said):
-        n, out = len(said), set()
-        for i in range(n):
-            for j in range(i + min_sentences, n + 1):
-                if sum(map(len, said[i:j])) >= min_words:
-                    out.add((i, j))
-                    break
-        for j in range(n + 1):
-            for i in range(j - min_sentences, -1, -1):
-                if sum(map(len, said[i:j])) >= min_words:
-                    out.add((i, j))
-                    break
-        return sorted(out)
+def pieces(words: list[str], reach: int) -> list[int]:
+    """Word numbers at which the pieces of a long sentence begin, and its number of words."""
+    codes = [zlib.crc32(b.encode(), zlib.crc32(a.encode())) for a, b in zip(words, words[1:])]
+    chosen = []
+    for w in range(len(codes) - reach + 1):
+        window = range(w, w + reach)
+        least = [k for k in window if codes[k] == min(codes[w : w + reach])]
+        # A place that was chosen last stays while it is among the least.
+        if not chosen or chosen[-1] not in least:
+            chosen.append(least[-1])
+    return [0, *(k + 1 for k in chosen), len(words)]
+
+
+def shortest(lengths: list[int], units: int, words: int, starts, ends) -> set[tuple[int, int]]:
+    """The shortest run from each of ``starts`` on and up to each of ``ends``."""
+    n, out = len(lengths), set()
+    enough = lambda i, j: j - i >= units and sum(lengths[i:j]) >= words
+    for i in starts:
+        out.update([(i, j) for j in range(i, n + 1) if enough(i, j)][:1])
+    for j in ends:
+        out.update([(i, j) for i in range(j, -1, -1) if enough(i, j)][:1])
+    return out
+
 
+def without_repeats(
+    rows: list[tuple], min_sentences: int, min_words: int, reach: int, piece_words: int
+) -> dict:
+    """id to text without what a run that occurs before covers, from (id, text) with unique ids."""
     first, out = {}, {}
-    for i, text in sorted(rows):
+    for doc, text in sorted(rows):
         text = text or ""
-        places = split(text)
-        said = [text[a:b].lower().split() for a, b in places]
-        gone, mine = set(), set()
-        for a, b in spans(said):
-            key = tuple(" ".join(s) for s in said[a:b])
-            if first.setdefault(key, i) != i or key in mine:
-                gone.update(range(a, b))
+        ends = [m.end() for m in re.finditer(r"((?<=[.!?])[^\S\n]|\n)\s*", text)]
+        said = [(a, b) for a, b in zip([0, *ends], [*ends, len(text)]) if text[a:b].split()]
+        units, cut, closed = [], [], []
+        for a, b in said:
+            starts = [a + m.start() for m in re.finditer(r"\S+", text[a:b])]
+            if len(starts) <= reach:
+                units.append((a, b))
+                cut.append(False)
+                continue
+            at = pieces(text[a:b].lower().split(), reach)
+            places = [a, *(starts[k] for k in at[1:-1]), b]
+            units += zip(places, places[1:])
+            cut += [True] * (len(places) - 1)
+            closed.append(len(units))
+        found = []
+        count = lambda spans: [len(text[a:b].split()) for a, b in spans]
+        words = lambda spans: tuple(" ".join(text[a:b].lower().split()) for a, b in spans)
+        every = range(len(said) + 1)
+        for i, j in shortest(count(said), min_sentences, min_words, every, every):
+            found.append((said[i][0], said[j - 1][1], words(said[i:j]), False))
+        for i, j in shortest(count(units), 2, piece_words, range(len(units)), closed):
+            if any(cut[i:j]):
+                key = words(units[i:j])
+                found.append((units[i][0], units[j - 1][1], key, len(set(key)) == 1))
+        gone, mine, dull = [False] * len(text), set(), {}
+        for a, b, key, same in found:
+            dull[a, b, key] = dull.get((a, b, key), False) or same
+        for (a, b, key), same in sorted(dull.items()):
+            if first.setdefault(key, doc) != doc or (key in mine and not same):
+                gone[a:b] = [True] * (b - a)
             mine.add(key)
-        cut = [False] * len(text)
-        for k in gone:
-            a, b = places[k]
-            cut[a:b] = [True] * (b - a)
-        # White space that belongs to no sentence stays unless a cut span goes over it.
-        for k in gone:
-            if k + 1 in gone and any(a <= k and k + 1 < b for a, b in spans(said)):
-                a, b = places[k][1], places[k + 1][0]
-                cut[a:b] = [True] * (b - a)
-        out[i] = "".join(c for c, x in zip(text, cut) if not x)
+        out[doc] = "".join(c for c, x in zip(text, gone) if not x)
     return out
 
 
@@ -161,3 +180,38 @@ def outlier_distances(rows: list[tuple], floors, grain, share, steps, median_chi
         scale = min(1.0, median_chi2 / max(middle, 1e-9))
         out.update({m[0]: d * scale for m, d in zip(members, d2)})
     return out
+
+
+def near_vectors(rows: list[tuple], threshold: float) -> dict:
+    """id to (links, least id reachable) from (id, vector, label) with unique ids."""
+    groups, out = {}, {}
+    for i, vector, label in rows:
+        able = vector and label is not None and all(x is not None and np.isfinite(x) for x in vector) and any(vector)
+        if able:
+            groups.setdefault((label, len(vector)), []).append((i, vector))
+        else:
+            out[i] = (0, i)
+    for group in groups.values():
+        ids = np.array([i for i, _ in group])
+        unit = np.array([v for _, v in group], float)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        near = unit @ unit.T >= threshold
+        np.fill_diagonal(near, True)
+        root, before = ids, None
+        while before is None or (root != before).any():
+            before, root = root, np.where(near, root, ids.max()).min(axis=1)
+        out.update({i: (int(n) - 1, int(r)) for i, n, r in zip(ids.tolist(), near.sum(axis=1), root)})
+    return out
+
+
+def periodic_runs(words: list[str], least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, smallest period) by start, then period: each period compared word by word."""
+    n, best = len(words), {}
+    ids = np.unique(np.array([w.encode() for w in words], dtype=object), return_inverse=True)[1] if n else np.zeros(0)
+    for q in range(1, n // 2 + 1):
+        same = np.concatenate([[False], ids[q:] == ids[:-q], [False]]).astype(np.int8)
+        edges = np.flatnonzero(np.diff(same))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a + q >= max(least, 2 * q):
+                best.setdefault((a, b - a + q), q)  # the smallest period comes first
+    return sorted((start, length, q) for (start, length), q in best.items())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,7 +29,10 @@ def run(spark):
 
 def test_op1_removes_only_repeats(run):
     got = run("op1_substring_dedup")
-    want = brute.without_repeats(list(BY_ID.items()), substring_dedup.MIN_SENTENCES, substring_dedup.MIN_WORDS)
+    want = brute.without_repeats(
+        list(BY_ID.items()), substring_dedup.MIN_SENTENCES, substring_dedup.MIN_WORDS,
+        substring_dedup.REACH, substring_dedup.PIECE_WORDS,
+    )
     assert {r["doc_id"]: r["text"] for r in got} == want
     assert sorted(r["doc_id"] for r in got) == sorted(BY_ID)
     assert all(len(BY_ID[r["doc_id"]]) - len(r["text"]) == r["cut_chars"] for r in got)
@@ -86,7 +90,7 @@ def test_op5_shape(run):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
-@pytest.mark.parametrize("name", ["op6_sharding", "op9_chat"])
+@pytest.mark.parametrize("name", ["op6_sharding", "op9_chat", "op11_prefix_trie"])
 def test_sql(spark, name):
     assert difference(spark, connect(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) is None
 
@@ -153,6 +157,37 @@ def test_op10(run):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in run("op10_token_orc")} == want
 
 
+def test_op12(run):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in brute.table(SF, "embeddings")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in run("op12_embedding_dedup")}
+    assert got == brute.near_vectors(rows, 0.93)
+
+
+def test_op13(run):
+    got = {r["doc_id"]: r for r in run("op13_periodic_runs")}
+    assert set(got) == set(BY_ID)
+    found = 0
+    for i, text in BY_ID.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n, h = len(words), zlib.crc32(str(i).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+        runs = brute.periodic_runs(words)
+        gone = {k for start, length, q in runs for k in range(start + q, start + length)}
+        r = got[i]
+        assert r["n_runs"] == len(runs), i
+        assert r["runs_sha256"] == brute.sha("".join(f"{s},{l},{q}\n" for s, l, q in runs))
+        assert r["collapsed_sha256"] == brute.sha(" ".join(w for k, w in enumerate(words) if k not in gone))
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=(None, None, None))
+        assert (r["start"], r["length"], r["period"]) == best
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        found += len(runs)
+    assert found
+
+
 def test_pipeline(run, spark):
     import corpus_pipeline
 
