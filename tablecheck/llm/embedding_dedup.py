@@ -28,6 +28,8 @@ SHARD_ROWS, SHARD_NUMBERS = 8192, 2_000_000
 BEAM, AUDITED, RECALL = 32, 256, 0.99
 #: Queries that run together.
 BATCH = 256
+#: Tasks at most over which shards, or pairs of them, are dealt.
+MAX_TASKS = 20_000
 #: Single precision may be off by so much.
 SLACK = 1e-4
 
@@ -142,7 +144,12 @@ def class_links(classes: DataFrame, threshold: float, shard_rows: int, shard_num
             names=kind.names,
         )
 
-    shards = pin(dealt.groupBy("label", "dim", "shard").applyInArrow(build, kind), "graphs")
+    # A graph is small to read and long to work on, so Spark must not join small partitions here.
+    shards = F.col("shards")
+    much = groups.agg(F.sum(shards), F.sum(shards * (shards + 1) / 2)).first()
+    spread = [int(min(MAX_TASKS, max(1, 2 * (m or 0)))) for m in much]
+    apart = dealt.repartition(spread[0], "label", "dim", "shard").groupBy("label", "dim", "shard")
+    shards = pin(apart.applyInArrow(build, kind), "graphs")
     # Each pair of shards of a label once: the graph of one, and the vectors of the other.
     last, own = F.col("shards") - 1, F.col("shard")
     graphs = shards.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), own))).withColumn("j", own)
@@ -177,6 +184,7 @@ def class_links(classes: DataFrame, threshold: float, shard_rows: int, shard_num
 
     names = ["label", "dim", "i", "j", "nodes", "weights", "vectors", "links"]
     pairs = graphs.select(*names).union(queries.select(*names))
+    pairs = pairs.repartition(spread[1], "label", "dim", "i", "j")
     return pairs.groupBy("label", "dim", "i", "j").applyInArrow(meet, "a long, b long, links long")
 
 

@@ -75,26 +75,23 @@ def likeness(one: np.ndarray, i: np.ndarray, other: np.ndarray, j: np.ndarray) -
 
 
 def _unseen(
-    links: np.ndarray, lines: np.ndarray, source: np.ndarray, seen: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """(line, node), each once, of the neighbours of ``source`` that are new to their line."""
-    n, total = seen.shape
-    step = max(1, AT_ONCE // links.shape[1])
-    found = []
-    marked = np.zeros((n, total), bool) if len(source) > step else None
+    links: np.ndarray, lines: np.ndarray, source: np.ndarray, total: int, seen: np.ndarray, stamp: np.ndarray
+) -> np.ndarray:
+    """line * total + node, each once, of the neighbours of ``source`` that are new to their line.
+
+    They are marked in ``seen``. The last of equal ones that wrote its number to ``stamp`` stays.
+    """
+    step, found = max(1, AT_ONCE // links.shape[1]), []
     for k in range(0, len(source), step):
         to = links[source[k : k + step]]
-        r, c = np.nonzero((to >= 0) & (to < total))
-        at, node = lines[k : k + step][r], to[r, c]
-        new = seen[at, node] == -2
-        if marked is not None:
-            marked[at[new], node[new]] = True
-        else:
-            found.append(at[new] * total + node[new])
-    if marked is not None:
-        return np.nonzero(marked)
-    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return code // total, code % total
+        code = ((lines[k : k + step] * total)[:, None] + to)[(to >= 0) & (to < total)]
+        code = code[seen[code] == -2]
+        number = np.arange(len(code), dtype=np.int32)
+        stamp[code] = number
+        code = code[stamp[code] == number]
+        seen[code] = -3
+        found.append(code)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def search(
@@ -117,15 +114,19 @@ def search(
     sims = np.full((n, beam), np.float32(-2))
     waiting = np.zeros((n, beam), bool)
     lines, columns = np.nonzero(entries >= 0)
+    flat, stamp, worst = seen.reshape(-1), np.empty(seen.size, np.int32), np.full(n, np.float32(-2))
     code = np.unique(lines * total + entries[lines, columns])
-    lines, nodes = code // total, code % total
-    while len(lines):
+    while len(code):
+        lines = code // total
+        nodes = code - lines * total
         like = likeness(queries, lines, vectors, nodes)
-        seen[lines, nodes] = like
+        flat[code] = like
         # Whatever is close enough is expanded at once, however many that are.
         close = like >= floor
         near_lines, near_nodes = lines[close], nodes[close]
         # The best of the others and of the beam are the new beam.
+        better = like > worst[lines]
+        lines, nodes, like, close = lines[better], nodes[better], like[better], close[better]
         order = np.lexsort([-like, lines])
         lines, nodes, like, close = lines[order], nodes[order], like[order], close[order]
         ids, first, sizes = np.unique(lines, return_index=True, return_counts=True)
@@ -139,6 +140,7 @@ def search(
         if wide[1] > beam:
             kept = np.argpartition(-value, beam - 1, axis=1)[:, :beam]
             best[ids], sims[ids], waiting[ids] = (np.take_along_axis(x, kept, 1) for x in (held, value, free))
+            worst[ids] = sims[ids].min(axis=1)
         # Expand the best that wait, and what is close.
         live = np.flatnonzero(waiting.any(axis=1))
         value = np.where(waiting[live], sims[live], -2)
@@ -150,7 +152,7 @@ def search(
         waiting[lines, columns] = False
         source = np.append(best[lines, columns], near_nodes)
         lines = np.append(lines, near_lines)
-        lines, nodes = _unseen(links, lines, source, seen)
+        code = _unseen(links, lines, source, total, flat, stamp)
     order = np.argsort(-sims, axis=1, kind="stable")
     return np.take_along_axis(best, order, 1), np.take_along_axis(sims, order, 1), seen
 
