@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tablecheck.llm import (
-    bpe, chat, components, decontamination, quality, sharding, simhash, substring_dedup,
-    token_counts, token_orc, toxicity,
+    bpe, chat, components, decontamination, embedding_dedup, periodic_runs, prefix_trie, quality, sharding,
+    simhash, substring_dedup, token_counts, token_orc, toxicity,
 )
 from tests.llm import brute
 
@@ -346,3 +346,60 @@ def test_long_reply_chains(spark):
     (chat_row,) = chat.parse_chats(chat.format_chats(rows)).collect()
     assert [t["text"] for t in chat_row["turns"]] == [str(i) for i in range(300)]
     assert chat_row["loss_text"] == "".join(map(str, range(300)))
+
+
+def test_near_vectors_of_odd_rows(spark):
+    nan, big = float("nan"), 1e300
+    rows = [
+        (1, [1.0, 0.0], 1, 5), (2, [1.0, 0.0], 1, 5), (2, [1.0, 0.0], 1, 5), (3, [big, big / 10], 1, 5),
+        (4, [1.0, 0.0], 2, 5), (5, [1.0, 0.0], None, 5), (6, None, 1, 5), (7, [], 1, 5), (8, [0.0, 0.0], 1, 5),
+        (9, [1.0, nan], 1, 5), (10, [1.0, None], 1, 5), (11, [1.0, 0.0, 0.0], 1, 5), (12, [0.0, 1.0], 1, 5),
+        (None, [0.0, -1.0], 1, 5), (13, [float("inf"), 1.0], 1, 5),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links int")
+    got = [tuple(r) for r in embedding_dedup.near_vectors(df).collect()]
+    linked = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False)]
+    alone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13)] + [(None, 0, None, False)]
+    assert sorted(got, key=str) == sorted(linked + alone, key=str)
+    assert embedding_dedup.near_vectors(df.where("false")).count() == 0
+
+
+def test_near_vectors_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    near = centres[rng.integers(0, 30, 400)] + rng.normal(size=(400, 16)) * 0.2
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute.near_vectors(rows, 0.93)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df, shard_rows=25).collect()}
+    assert set(got) == set(want) and all(got[i] <= n for i, (n, _) in want.items())
+    assert sum(got.values()) >= 0.98 * sum(n for n, _ in want.values()) > 0
+
+
+def test_periodic_runs_of_odd_texts(odd, empty):
+    rows = periodic_runs.add_runs(odd.withColumnRenamed("hash", "runs")).collect()
+    for r in rows:
+        words = (r["text"] or "").encode().split()
+        if len(set(words)) == 1 and len(words) >= 12:
+            want = [(0, len(words), 1)]
+        else:
+            want = brute.periodic_runs([w.decode() for w in words])
+        assert [tuple(x) for x in r["runs"]] == want
+        gone = {k for s, n, q in want for k in range(s + q, s + n)}
+        assert r["collapsed"] == " ".join(w.decode() for k, w in enumerate(words) if k not in gone)
+    assert len(rows) == odd.count() and periodic_runs.add_runs(empty).count() == 0
+
+
+def test_prefix_trie_of_odd_turns(spark):
+    schema = "conv_id long, pos long, role string, text string, size long, depth int"
+    rows = [(1, 0, "a", "x", 1, 9), (2, 0, "a", "x", 1, 9), (2, 1, None, None, None, 9), (3, 0, "b", "x", 1, 9),
+            (None, 0, "a", "x", 1, 9)]
+    everyone = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "conv_id long")
+    found = prefix_trie.prefix_trie(spark.createDataFrame(rows, schema), everyone).collect()
+    got = {(r["conv_id"], r["depth"]): tuple(r)[2:] for r in found}
+    assert got == {
+        (1, 0): (None, 4, 2, 2, 1, brute.sha("4")), (1, 1): (1, 2, 1, 1, 1, brute.sha("1")),
+        (2, 2): (1, 1, 0, 1, 0, brute.sha("2")), (3, 1): (1, 1, 0, 1, 0, brute.sha("3")),
+    }
+    none = spark.createDataFrame([], schema)
+    assert prefix_trie.prefix_trie(none).count() == 0
