@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.llm import bpe, decontamination, simhash, substring_dedup, toxicity
-from tablecheck.llm.helpers import named, read
+from tablecheck.llm.helpers import fresh, named, read
 from tablecheck.llm.queries import BYTE_BPE, digests
 from tablecheck.session import pin
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject."""
-    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), score_col="_score")
-    return scored.where(F.col("_score") < 0.5).drop("_score")
+    (score,) = fresh(docs, "score")
+    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"), score_col=score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
