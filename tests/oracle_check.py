@@ -72,6 +72,9 @@ def main() -> int:
     for name, query in entry.queries().items():
         if len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
+        if name not in oracles:
+            print(f"--  {name} has no SQL", flush=True)
+            continue
         started = time.time()
         try:
             problem = difference(spark, con, sf_dir, query, oracles[name])
