@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,20 +183,33 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 class Reconciliation:
     """The comparison of two tables. Every frame is lazy until an action is called.
 
-    ``compared`` holds joined rows with flags; ``cancelled`` the rows of repeated keys that
-    are equal on both sides and were counted instead of joined.
+    ``joined`` makes the joined rows and the cancelled ones. It is called when rows, counts or
+    a verdict are first asked for, as pairing repeated keys writes scratch tables.
     """
 
     spark: SparkSession
     layout: Layout
     profile: KeyProfile
     prepared: tuple[DataFrame, DataFrame]
-    compared: DataFrame
-    cancelled: DataFrame | None
+    joined: Callable[[], tuple[DataFrame, DataFrame | None]]
     differences: tuple[tuple[str, str | None, str | None], ...]
     keep_equal: bool
     pinned: bool = False
 
+    @cached_property
+    def _planned(self) -> tuple[DataFrame, DataFrame | None]:
+        return self.joined()
+
+    @property
+    def compared(self) -> DataFrame:
+        """Joined rows with a flag for each value."""
+        return self._planned[0]
+
+    @property
+    def cancelled(self) -> DataFrame | None:
+        """Rows of repeated keys that are equal on both sides: counted instead of joined."""
+        return self._planned[1]
+
     @property
     def mismatches(self) -> DataFrame:
         """Report rows that differ: any flag false, or present on one side only."""
@@ -299,7 +313,8 @@ class Reconciliation:
         cancelled = self.cancelled
         if cancelled is not None and self.keep_equal:
             cancelled = pin(cancelled, "equal")
-        return replace(self, compared=pin(kept, "compared"), cancelled=cancelled, pinned=True)
+        compared = pin(kept, "compared")
+        return replace(self, joined=lambda: (compared, cancelled), pinned=True)
 
     def write_report(
         self, path: str, *, ordered: bool = False, null_key_text: str | None = None, **options
@@ -478,7 +493,8 @@ def reconcile(
         # Whole numbers closer than 1 are equal.
         if (abs_tol > 1 and isinstance(dtype, T.IntegralType)) or name in layout.text_numbers
         or isinstance(dtype, (T.FractionalType, T.DecimalType))
-    ))
+    ), {v: layout.text_numbers[name] for v, name, dtype in zip(vs, layout.values, layout.value_types)
+        if name in layout.text_numbers and isinstance(dtype, T.StringType)})
     null_ks = profile.keys_null_on_both_sides(ks)
 
     def join_unique(l: DataFrame, r: DataFrame) -> DataFrame:
@@ -486,35 +502,39 @@ def reconcile(
             l, r = only_changed(l, r, ks, vs, null_ks)
         return full_outer(l, r, ks, vs, null_ks)
 
-    cancelled = None
-    if not profile.repeated_keys:
-        joined = join_unique(l, r)
-    elif on_duplicates == "error":
+    if profile.repeated_keys and on_duplicates == "error":
         raise ValueError(
             f"keys repeat: {profile.duplicated_left} keys on the left, "
             f"{profile.duplicated_right} on the right"
         )
-    elif on_duplicates == "fanout":
-        rows = profile.sampled_left + profile.sampled_right
-        if max_fanout is not None and profile.pairs > max_fanout * rows:
-            raise ValueError(
-                f"repeated keys would give {profile.pairs} pairs, more than {max_fanout} per "
-                "input row; use on_duplicates='pair'"
-            )
-        joined = fan_out(l, r, ks, vs, null_ks, profile.max_copies, hot_rows)
-    elif profile.few_repeat:
-        unique, repeated = split_by_repetition(l, r, ks)
-        paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, hot_rows, twins)
-        joined = join_unique(*unique).unionByName(paired)
-    else:
-        joined, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, hot_rows, twins)
+    rows = profile.sampled_left + profile.sampled_right
+    too_many = max_fanout is not None and profile.pairs > max_fanout * rows
+    if profile.repeated_keys and on_duplicates == "fanout" and too_many:
+        raise ValueError(
+            f"repeated keys would give {profile.pairs} pairs, more than {max_fanout} per "
+            "input row; use on_duplicates='pair'"
+        )
+
+    def joined() -> tuple[DataFrame, DataFrame | None]:
+        cancelled = None
+        if not profile.repeated_keys:
+            rows = join_unique(l, r)
+        elif on_duplicates == "fanout":
+            rows = fan_out(l, r, ks, vs, null_ks, profile.max_copies, hot_rows)
+        elif profile.few_repeat:
+            unique, repeated = split_by_repetition(l, r, ks)
+            paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, hot_rows, twins)
+            rows = join_unique(*unique).unionByName(paired)
+        else:
+            rows, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, hot_rows, twins)
+        return layout.compared(rows), cancelled
+
     return Reconciliation(
         spark=left.sparkSession,
         layout=layout,
         profile=profile,
         prepared=prepared,
-        compared=layout.compared(joined),
-        cancelled=cancelled,
+        joined=joined,
         differences=tuple(differences),
         keep_equal=keep_equal,
     )

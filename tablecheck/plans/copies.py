@@ -1,14 +1,16 @@
 """Pairing the copies of a repeated key one to one.
 
-Copies that are the same in every column cancel out, counted rather than listed. What is
-left is numbered within its key in value order, and the n-th left copy meets the n-th
-right copy. The result never has more rows than both inputs together.
+Copies that are the same in every column cancel out, counted rather than listed. Of what is
+left, rows that agree within the tolerance meet first. The rest is numbered within its key in
+value order, and the n-th left copy meets the n-th right copy. The result never has more rows
+than both inputs together. Equal copies stay one row with a count until a pair is reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,32 +19,40 @@ from tablecheck.plans.folding import fold, unfold
 from tablecheck.plans.keys import broadcast_measured, key_counts, null_safe
 from tablecheck.session import pin
 
-
-def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    window = Window.partitionBy(*group).orderBy(*(order or [F.lit(0)]))
-    return df.drop("nth").withColumn("copy", F.row_number().over(window).cast("bigint"))
+# Rows of one key and the same exact values that one task matches at a time.
+MATCHED_ROWS = 100_000
+PAIRS = "array<struct<l: int, r: int, n: bigint>>"
 
 
 @dataclass(frozen=True)
 class Twins:
-    """Values that are compared within ``tolerance``: the columns ``near``."""
+    """Values that are compared within ``tolerance``: the columns ``near``.
+
+    ``patterns`` gives, for text columns among them, what reads as a number.
+    """
 
     tolerance: float
     near: tuple[str, ...]
+    patterns: Mapping[str, str] = field(default_factory=dict)
 
-    def order(self, vs: Sequence[str]) -> list[Column]:
-        """Exactly compared values first, so that near ones cannot reorder the others."""
-        names = [v for v in vs if v not in self.near] + [v for v in vs if v in self.near]
-        return [F.col(v) for v in names] or [F.lit(0)]
+    def number(self, v: str) -> Column:
+        """The value as a finite double; null if it is only equal to itself."""
+        double = F.col(v).try_cast("double")
+        finite = F.abs(double) < F.lit(float("inf"))
+        if v in self.patterns:
+            finite &= F.col(v).rlike(self.patterns[v])
+        return F.when(finite, double)
 
-    def cells(self, vs: Sequence[str], shift: float) -> list[Column]:
-        """Exact values as they are, near ones by their cell of one tolerance's width."""
+    def exact(self, v: str) -> Column:
+        """What rows that may meet have in common: null for every number."""
+        return F.when(self.number(v).isNull(), F.coalesce(F.col(v).cast("string"), F.lit("")))
 
-        def cell(v: str) -> Column:
-            place = F.floor(F.col(v).try_cast("double") / F.lit(self.tolerance) + F.lit(shift))
-            return F.coalesce(place.cast("string"), F.col(v).cast("string"))
 
-        return [cell(v) if v in self.near else F.col(v) for v in vs]
+def _numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Folded rows with ``first``, the copies of the group that come before them."""
+    window = Window.partitionBy(*group).orderBy(*(order or [F.lit(0)]))
+    upto = F.sum("copies").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("first", (upto - F.col("copies")).cast("bigint"))
 
 
 def _numbered_by_range(
@@ -51,20 +61,15 @@ def _numbered_by_range(
     """The same numbers for groups too large for one task.
 
     A range partitioning on (group, order) cuts a large group into consecutive parts. The
-    parts are pinned, numbered apart, and shifted by the rows of the group that lie in
+    parts are pinned, numbered apart, and shifted by the copies of the group that lie in
     earlier parts.
     """
-    ranged = (
-        # nth lets equal copies, which are interchangeable, fall into several parts.
-        df.repartitionByRange(parts, *group, *order, "nth")
-        .drop("nth")
-        .withColumn("part", F.spark_partition_id())
-    )
+    ranged = df.repartitionByRange(parts, *group, *order).withColumn("part", F.spark_partition_id())
     pinned = pin(ranged, "ranges")
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         pinned.groupBy(*group, "part")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("copies").alias("n"))
         .withColumn("shift", F.sum("n").over(before))
         .filter("shift > 0")
         .select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("part").alias("s_part"), "shift")
@@ -74,44 +79,267 @@ def _numbered_by_range(
     on = null_safe([F.col(g) for g in group], [F.col(f"s_{g}") for g in group])
     on &= F.col("part") == F.col("s_part")
     local = _numbered(pinned, [*group, "part"], order)
-    shifted = F.col("copy") + F.coalesce(F.col("shift"), F.lit(0))
+    shifted = F.col("first") + F.coalesce(F.col("shift"), F.lit(0))
     return local.join(broadcast_measured(pin(shifts, "shifts")), on, "left").select(
-        *group, *order, shifted.alias("copy")
+        *df.columns, shifted.alias("first")
     )
 
 
-def number_copies(
-    folded: DataFrame, ks: Sequence[str], vs: Sequence[str], max_copies: int, hot_rows: int
-) -> DataFrame:
-    """Unfold ``(keys, from_left, values, copies)`` and number the copies of a key on each
-    side in value order.
-
-    With at most ``hot_rows`` copies per key a window does it, and the rows stay
-    partitioned by key for what follows; larger groups are numbered in ranges. ``vs`` gives
-    the order.
-    """
-    group = [*ks, "from_left"]
-    names = [*group, *vs]
-    if max_copies <= hot_rows:
-        return _numbered(unfold(folded, names, max_copies).repartition(*ks), group, vs)
-    pinned = pin(folded, "surplus")
+def _split_hot(
+    folded: DataFrame, group: Sequence[str], limit: int
+) -> tuple[DataFrame, DataFrame, int] | None:
+    """The rows of groups with up to, and of those with more than, ``limit`` folded rows, and
+    how many the latter are; None if there are none."""
     hot = pin(
-        pinned.groupBy(*group)
-        .agg(F.sum("copies").alias("n"))
-        .filter(F.col("n") > hot_rows)
+        folded.groupBy(*group)
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > limit)
         .select(*[F.col(g).alias(f"h_{g}") for g in group], "n"),
         "hot-keys",
     )
     rows = hot.agg(F.sum("n")).first()[0]
     if rows is None:
-        return _numbered(unfold(pinned, names, hot_rows).repartition(*ks), group, vs)
+        return None
     hot = broadcast_measured(hot.drop("n"))
     on = null_safe([F.col(g) for g in group], [F.col(f"h_{g}") for g in group])
-    cold = unfold(pinned.join(hot, on, "left_anti"), names, hot_rows)
-    large = unfold(pinned.join(hot, on, "left_semi"), names, max_copies)
-    # About hot_rows rows per part, however many there are.
-    ranged = _numbered_by_range(large, group, vs, -(-rows // hot_rows) + 1)
-    return _numbered(cold, group, vs).unionByName(ranged)
+    return folded.join(hot, on, "left_anti"), folded.join(hot, on, "left_semi"), rows
+
+
+def pair_in_order(
+    folded: DataFrame, ks: Sequence[str], vs: Sequence[str], order: Sequence[str],
+    max_copies: int, hot_rows: int,
+) -> DataFrame:
+    """The n-th left copy beside the n-th right copy of a key, in ``order``: ``full_outer`` rows
+    with their number of ``copies``.
+
+    ``folded`` is ``(keys, from_left, values, copies)``. Each row covers an interval of the
+    numbers of its side, and overlapping intervals meet, so that equal copies are never listed.
+    Up to ``hot_rows`` rows of a key are one task's; larger groups are numbered in ranges, and
+    numbers are paired in stretches of ``hot_rows``.
+    """
+    group = [*ks, "from_left"]
+    split = None
+    if max_copies > hot_rows:
+        folded = pin(folded, "surplus")
+        split = _split_hot(folded, group, hot_rows)
+    if split is None:
+        numbered = _numbered(folded.repartition(*ks), group, order)
+    else:
+        cold, hot, rows = split
+        # About hot_rows rows per part, however many there are.
+        ranged = _numbered_by_range(hot, group, order, -(-rows // hot_rows) + 1)
+        numbered = _numbered(cold, group, order).unionByName(ranged)
+    return _overlaps(numbered, ks, vs, hot_rows if max_copies > hot_rows else None)
+
+
+def _overlaps(
+    numbered: DataFrame, ks: Sequence[str], vs: Sequence[str], stretch: int | None
+) -> DataFrame:
+    """Pairs of a left and a right row whose intervals ``[first, first + copies)`` overlap.
+
+    Both ends of every interval are marks on a line; between two marks, the last interval
+    that began on each side is the one that covers, unless it has ended.
+    """
+    end = F.col("first") + F.col("copies")
+    at = [*ks]
+    if stretch is not None:
+        places = F.sequence(F.floor(F.col("first") / stretch), F.floor((end - 1) / stretch))
+        numbered = numbered.withColumn("end", end).withColumn("place", F.explode(places))
+        begin = F.greatest(F.col("first"), F.col("place") * stretch)
+        end = F.least(F.col("end"), (F.col("place") + 1) * stretch)
+        at = [*ks, "place"]
+        numbered = numbered.withColumn("first", begin).withColumn("copies", end - begin)
+        numbered = numbered.repartition(*at)
+        end = F.col("first") + F.col("copies")
+    row = F.struct(end.cast("bigint").alias("end"), *vs)
+    nothing = F.lit(None).cast("boolean")
+    marks = F.array(
+        F.struct(F.col("first").cast("bigint").alias("mark"), F.col("from_left").alias("starts")),
+        F.struct(end.cast("bigint").alias("mark"), nothing.alias("starts")),
+    )
+    marks = numbered.select(*at, row.alias("row"), F.inline(marks)).groupBy(*at, "mark").agg(
+        F.max(F.when(F.col("starts"), F.col("row"))).alias("l"),
+        F.max(F.when(~F.col("starts"), F.col("row"))).alias("r"),
+    )
+    along = Window.partitionBy(*at).orderBy("mark")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = marks.select(
+        *at, "mark", F.lead("mark").over(along).alias("next"),
+        *[F.last(mark, ignorenulls=True).over(so_far).alias(mark) for mark in "lr"],
+    ).where("next is not null")
+    here = {mark: F.coalesce(F.col(f"{mark}.end") > F.col("mark"), F.lit(False)) for mark in "lr"}
+    side = (
+        F.when(here["l"] & here["r"], "both").when(here["l"], "left_only")
+        .when(here["r"], "right_only")
+    )
+    values = [
+        F.when(here[mark], F.col(f"{mark}.{v}")).alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"
+    ]
+    return covered.select(
+        *ks, *values, side.alias("side"), (F.col("next") - F.col("mark")).alias("copies")
+    ).where("side is not null")
+
+
+def _best_pairs(tolerance: float) -> Callable:
+    """A function that pairs the rows of one group: lists of each near column's values and of
+    copies, of both sides, give ``(left place, right place, copies)``, null where there is none.
+    """
+
+    def numbers(column):
+        return [Decimal(x.strip()) if isinstance(x, str) else x for x in column]
+
+    def within(a, b):
+        # As columns are compared: the difference in their own type, then as a double.
+        return abs(float(a - b)) < tolerance
+
+    def cells(column):
+        return len({float(x) // tolerance for x in column})
+
+    def pairs(left_copies, right_copies, *columns):
+        left_n, right_n = list(left_copies), list(right_copies)
+        width = len(columns) // 2
+        out = []
+        if left_n and right_n:
+            # Columns without a number hold None on both sides and always agree.
+            columns = [(numbers(columns[i]), numbers(columns[width + i])) for i in range(width)
+                       if columns[i][0] is not None]
+            # The column that tells most rows apart leads.
+            columns.sort(key=lambda sides: -cells(sides[0] + sides[1]))
+            (lead_l, lead_r), *others = columns or [([0.0] * len(left_n), [0.0] * len(right_n))]
+            lefts = sorted(range(len(left_n)), key=lead_l.__getitem__)
+            rights = sorted(range(len(right_n)), key=lead_r.__getitem__)
+            waiting, taken = [], 0
+            for i in lefts:
+                while taken < len(rights) and (
+                    lead_r[rights[taken]] <= lead_l[i] or within(lead_l[i], lead_r[rights[taken]])
+                ):
+                    waiting.append(rights[taken])
+                    taken += 1
+                # The leads only grow: what is too small now stays so.
+                small = 0
+                while small < len(waiting) and not within(lead_l[i], lead_r[waiting[small]]):
+                    small += 1
+                del waiting[:small]
+                place = 0
+                while left_n[i] and place < len(waiting):
+                    j = waiting[place]
+                    if all(within(l[i], r[j]) for l, r in others):
+                        n = min(left_n[i], right_n[j])
+                        out.append((i, j, n))
+                        left_n[i] -= n
+                        right_n[j] -= n
+                    if right_n[j]:
+                        place += 1
+                    else:
+                        del waiting[place]
+        out += [(i, None, n) for i, n in enumerate(left_n) if n]
+        return out + [(None, j, n) for j, n in enumerate(right_n) if n]
+
+    return pairs
+
+
+def pair_near(
+    surplus: DataFrame, ks: Sequence[str], vs: Sequence[str], twins: Twins, max_copies: int,
+    hot_rows: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of rows that agree within the tolerance, and the rows that are left.
+
+    Rows with the same exact values are gathered by key. With one near column the smallest
+    left row meets the smallest right row it can, which gives as many pairs as there can be;
+    with several this is done along the column that varies most, and may miss some. A
+    group of more than MATCHED_ROWS folded rows (``hot_rows`` if that is less) is cut into
+    stretches of that size in value order, and what is left in a second round at other places:
+    there a row close to a cut may miss its twin.
+    """
+    limit = min(hot_rows, MATCHED_ROWS)
+    marks = {v: f"x{v}" for v in twins.near}
+    same = [v for v in vs if v not in twins.near]
+    rows = surplus.select("*", *[twins.exact(v).alias(x) for v, x in marks.items()])
+    group = [*ks, *same, *marks.values()]
+    if max_copies <= limit:
+        return _matched(rows, group, ks, vs, twins)
+    rows = pin(rows, "surplus")
+    split = _split_hot(rows, group, limit)
+    if split is None:
+        return _matched(rows, group, ks, vs, twins)
+    cold, hot, n = split
+    met, left = _matched(cold, group, ks, vs, twins)
+    places = [f"o{v}" for v in twins.near]
+    for turn in (0, 1):
+        ordered = hot.select("*", *[twins.number(v).alias(o) for v, o in zip(twins.near, places)])
+        # Rows are numbered here, not copies: each counts once.
+        ordered = ordered.withColumnRenamed("copies", "each").withColumn(
+            "copies", F.lit(1).cast("bigint")
+        )
+        order = [*places, "from_left", *twins.near]
+        ordered = _numbered_by_range(ordered, group, order, -(-n // limit) + 1)
+        stretch = F.floor((F.col("first") + F.lit(turn * (limit // 2))) / limit)
+        cut = ordered.drop("copies", *places).withColumnRenamed("each", "copies")
+        found, hot = _matched(
+            cut.withColumn("stretch", stretch).drop("first"), [*group, "stretch"], ks, vs, twins
+        )
+        met = met.unionByName(found)
+        hot = hot.select("*", *[twins.exact(v).alias(x) for v, x in marks.items()])
+    return met, left.unionByName(hot.drop(*marks.values()))
+
+
+def _matched(
+    rows: DataFrame, group: Sequence[str], ks: Sequence[str], vs: Sequence[str], twins: Twins
+) -> tuple[DataFrame, DataFrame]:
+    """``pair_near`` for groups that a task can hold."""
+    row = F.struct(*twins.near, "copies")
+    mine = F.col("from_left")
+    grouped = rows.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.when(mine, row))).alias("ls"),
+        F.sort_array(F.collect_list(F.when(~mine, row))).alias("rs"),
+    )
+
+    def column(v: str, side: str) -> Column:
+        floating = rows.schema[v].dataType.typeName() in ("float", "double")
+        kind = "double" if floating else "string"
+        return F.when(
+            F.col(f"x{v}").isNull(), F.transform(side, lambda x: x[v].cast(kind))
+        ).otherwise(F.transform(side, lambda x: F.lit(None).cast(kind)))
+
+    best = F.udf(_best_pairs(twins.tolerance), PAIRS, useArrow=True)
+    pairs = best(
+        "ls.copies", "rs.copies", *[column(v, side) for side in ("ls", "rs") for v in twins.near]
+    )
+    both = (F.size("ls") > 0) & (F.size("rs") > 0)
+    found = grouped.where(both).withColumn("pairs", pairs).select("*", F.inline("pairs"))
+    found = found.select(
+        *group, F.get("ls", F.col("l")).alias("l"), F.get("rs", F.col("r")).alias("r"), "n"
+    )
+    # Groups of one side, the most of them, stay out of Python. The exchange is shared.
+    alone = grouped.where(~both).select(
+        *group, (F.size("ls") > 0).alias("mine"), F.explode(F.concat("ls", "rs")).alias("row")
+    )
+    found = found.unionByName(alone.select(
+        *group, F.when(F.col("mine"), F.col("row")).alias("l"),
+        F.when(~F.col("mine"), F.col("row")).alias("r"), F.col("row.copies").alias("n"),
+    ))
+
+    def value(v: str, mark: str) -> Column:
+        return F.col(f"{mark}.{v}") if v in twins.near else F.when(F.col(mark).isNotNull(), F.col(v))
+
+    side = (
+        F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only")
+        .otherwise("both")
+    )
+    whole = pin(
+        found.select(
+            *ks, *[value(v, mark).alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"],
+            side.alias("side"), F.col("n").alias("copies"),
+        ),
+        "twins",
+    )
+    mark = F.col("side") == "left_only"
+    left = whole.where("side <> 'both'").select(
+        *ks, mark.alias("from_left"),
+        *[F.when(mark, F.col(f"l{v[1:]}")).otherwise(F.col(f"r{v[1:]}")).alias(v) for v in vs],
+        "copies",
+    )
+    return whole.where("side = 'both'"), left
 
 
 def pair_copies(
@@ -120,10 +348,9 @@ def pair_copies(
 ) -> tuple[DataFrame, DataFrame]:
     """The paired remainder, as ``full_outer`` rows, and the rows that cancelled out.
 
-    The second frame is ``(keys, values, copies)``. Two shuffles: whole rows for the
-    counts, and what did not cancel for the pairs. Where values may differ within a tolerance, what
-    did not cancel first meets its twins: rows in one cell of a grid of the tolerance's width,
-    and then of that grid moved by half a cell. Only what is left is paired in value order.
+    The second frame is ``(keys, values, copies)``. Whole rows are shuffled for the counts;
+    what did not cancel is shuffled again, first to the rows within the tolerance, where
+    values may differ within one, then in value order.
     """
     folded = fold(left, right, ks, vs)
     n_left, n_right = F.col("n_left"), F.col("n_right")
@@ -135,56 +362,13 @@ def pair_copies(
     )
     met = None
     if twins.tolerance > 0 and twins.near:
-        for shift in (0.0, 0.5):
-            found, surplus = _pair_in_cells(surplus, ks, vs, twins, shift, max_copies)
-            met = found if met is None else met.unionByName(found)
+        met, surplus = pair_near(surplus, ks, vs, twins, max_copies, hot_rows)
+    # Exactly compared values first, so that near ones cannot reorder the others.
     order = [v for v in vs if v not in twins.near] + [v for v in vs if v in twins.near]
-    numbered = number_copies(surplus, ks, order, max_copies, hot_rows)
-    paired = _paired(numbered, ks, vs)
-    return (paired if met is None else met.unionByName(paired)), cancelled
-
-
-def _pair_in_cells(
-    surplus: DataFrame, ks: Sequence[str], vs: Sequence[str], twins: Twins, shift: float,
-    max_copies: int,
-) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a left and a right row in one cell, and the rows that are left.
-
-    Grouping by key and cell spreads a key whose values lie apart over all tasks.
-    """
-    names = [*ks, "from_left", *vs]
-    cells = [f"c_{v}" for v in vs]
-    rows = unfold(surplus, names, max_copies)
-    rows = rows.select("*", *[c.alias(n) for c, n in zip(twins.cells(vs, shift), cells)])
-    place = Window.partitionBy(*ks, *cells, "from_left").orderBy(*twins.order(vs))
-    rows = rows.drop("nth").withColumn("copy", F.row_number().over(place).cast("bigint"))
-    whole = pin(_paired(rows, [*ks, *cells], vs).drop(*cells), "twins")
-    alone = whole.where("side <> 'both'")
-    mark = F.col("side") == "left_only"
-    left = alone.select(
-        *ks, mark.alias("from_left"),
-        *[F.when(mark, F.col(f"l{v[1:]}")).otherwise(F.col(f"r{v[1:]}")).alias(v) for v in vs],
-        F.lit(1).cast("bigint").alias("copies"),
-    )
-    left = left.groupBy(*names).agg(F.sum("copies").alias("copies"))
-    return whole.where("side = 'both'"), left
-
-
-def _paired(numbered: DataFrame, ks: Sequence[str], vs: Sequence[str]) -> DataFrame:
-    """The n-th left copy beside the n-th right copy, as ``full_outer`` rows."""
-    # A struct is never null where the row exists, even if all its values are.
-    row = F.struct(F.lit(True).alias("here"), *vs)
-    paired = numbered.groupBy(*ks, "copy").agg(
-        F.max(F.when(F.col("from_left"), row)).alias("l"),
-        F.max(F.when(~F.col("from_left"), row)).alias("r"),
-    )
-    side = (
-        F.when(F.col("r").isNull(), "left_only")
-        .when(F.col("l").isNull(), "right_only")
-        .otherwise("both")
-    )
-    values = [F.col(f"{mark}.{v}").alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"]
-    return paired.select(*ks, *values, side.alias("side"))
+    paired = pair_in_order(surplus, ks, vs, order, max_copies, hot_rows)
+    paired = paired if met is None else met.unionByName(paired)
+    names = [c for c in paired.columns if c != "copies"]
+    return unfold(paired, names, max_copies).drop("nth"), cancelled
 
 
 def split_by_repetition(

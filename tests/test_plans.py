@@ -100,11 +100,11 @@ def test_date_range_reaches_the_scan_of_both_sides(spark):
     assert plan(result.rows).count("GreaterThanOrEqual(o_orderdate,") == 2
 
 
-def test_paired_copies_shuffle_twice(spark):
+def test_paired_copies_shuffle_once_when_written(spark):
     text = final_plan(queries.reconcile_duplicate_keys(spark, SF))
-    assert text.count("Exchange hashpartitioning") == 2
-    # The copies that met in a cell of either grid, written before, and what was left then.
-    assert text.count("FileScan") == 3 and "Join" not in text
+    assert text.count("Exchange hashpartitioning") == 1
+    # Rows that met within the tolerance, written before, and the rows that were left then.
+    assert text.count("FileScan") == 2 and "Join" not in text
 
 
 def test_few_repeating_keys_are_broadcast(spark):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from decimal import Decimal
 from itertools import product
+from random import Random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import tablecheck as tc
+from tablecheck import session
 from tablecheck.plans import copies, folding, joining
 from tablecheck.plans.digests import row_digest
 from tablecheck.plans.folding import unfold
@@ -203,13 +206,114 @@ def test_what_is_too_large_is_not_broadcast(spark, hot_pair, monkeypatch):
 
 
 def test_numbers_by_range_are_consecutive(spark):
-    rows = [(i % 2, i // 4, i) for i in range(400)]
-    df = spark.createDataFrame(rows, "g int, v int, nth long").repartition(3)
+    rows = [(i % 2, i // 2, 1 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, v int, copies long").repartition(3)
     out = copies._numbered_by_range(df, ["g"], ["v"], 7)
+    assert out.columns == ["g", "v", "copies", "first"]
     for g in (0, 1):
-        numbered = sorted((r["copy"], r["v"]) for r in out.collect() if r["g"] == g)
-        assert [c for c, _ in numbered] == list(range(1, 201))
-        assert [v for _, v in numbered] == sorted(v for _, v in numbered)
+        at = 0
+        for r in sorted((r for r in out.collect() if r["g"] == g), key=lambda r: r["v"]):
+            assert r["first"] == at
+            at += r["copies"]
+
+
+def most_pairs(left, right, tolerance):
+    """The size of a maximum matching, by augmenting paths."""
+    partner = {}
+
+    def place(i, seen):
+        for j, b in enumerate(right):
+            if j not in seen and all(abs(x - y) < tolerance for x, y in zip(left[i], b)):
+                seen.add(j)
+                if j not in partner or place(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(left)))
+
+
+def unmet(spark, left, right, names, **options):
+    """Reported rows by key, of tables whose value columns are all compared by tolerance."""
+    schema = "k string, " + ", ".join(f"{n} double" for n in names)
+    pair = [spark.createDataFrame([(k, *v) for k, v in rows], schema) for rows in (left, right)]
+    rows = tc.reconcile(*pair, ["k"], abs_tol=0.1, strict_shape=False, **options).rows
+    return Counter(r["K"] for r in rows.collect())
+
+
+def test_pairing_invents_no_differences(spark):
+    left = [("a", (1.04, 5.0)), ("a", (1.045, 7.0))]
+    right = [("a", (1.13, 5.0)), ("a", (1.12, 7.0))]
+    assert unmet(spark, left, right, "ab") == {}
+    left, right = [("a", (0.04,)), ("a", (0.30,))], [("a", (-5.0,)), ("a", (0.11,))]
+    assert unmet(spark, left, right, "a") == {"a": 1}
+
+
+@pytest.mark.parametrize("width, missed", [(1, 0), (2, 2)])
+def test_near_copies_meet_as_often_as_they_can(spark, width, missed):
+    random = Random(width)
+    tables = {}
+    for g in range(60):
+        draw = lambda: tuple(round(random.uniform(0, 0.9 / width), 3) for _ in range(width))
+        tables[str(g)] = [[draw() for _ in range(random.randint(2, 9))] for _ in "lr"]
+    sides = [[(k, v) for k, both in tables.items() for v in both[i]] for i in (0, 1)]
+    reported = unmet(spark, *sides, "ab"[:width])
+    for k, (l, r) in tables.items():
+        # Pairs that do not agree take one row for two, so the longer side counts.
+        least = max(len(l), len(r)) - most_pairs(l, r, 0.1)
+        assert least <= reported[k] <= least + missed
+
+
+def test_decimals_and_texts_meet_by_their_own_difference(spark):
+    left = [("a", Decimal("1.0000"), "0012"), ("a", Decimal("2.0000"), "7")]
+    right = [("a", Decimal("1.0001"), "12"), ("a", Decimal("2.0000"), "7.00001")]
+    schema = "k string, d decimal(18,4), t string"
+    pair = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    rows = tc.reconcile(*pair, ["k"], numeric_cols=["*"]).rows.collect()
+    assert [(r["T_OLD"], r["T_NEW"], r["D_COMPARE"]) for r in rows] == [("0012", "12", False)]
+
+
+def test_a_hot_key_of_near_values_is_cut_into_stretches(spark, monkeypatch):
+    random = Random(5)
+    values = [round(0.013 * i, 6) for i in range(600)]
+    left = [("h", (v,)) for v in values]
+    right = [("h", (v + random.uniform(-0.05, 0.05),)) for v in values]
+    sizes = []
+    plain = copies._matched
+
+    def spy(rows, group, *rest):
+        sizes.extend(r["count"] for r in rows.groupBy(*group).count().collect())
+        return plain(rows, group, *rest)
+
+    monkeypatch.setattr(copies, "_matched", spy)
+    reported = unmet(spark, left, right, "a", hot_rows=50)["h"]
+    assert len(sizes) >= 24 and max(sizes) <= 50
+    # Only rows within a tolerance of a cut may miss their twin: 8 rows a side at 24 cuts.
+    assert reported <= 24 * 8 / 2
+
+
+def test_counts_of_equal_copies_are_never_listed(spark):
+    many = 10**12
+    rows = [("k", True, 1, many), ("k", True, 2, 5), ("k", False, 1, 3), ("k", False, 3, many)]
+    folded = spark.createDataFrame(rows, "k0 string, from_left boolean, v0 int, copies long")
+    out = copies.pair_in_order(folded, ["k0"], ["v0"], ["v0"], 2 * many, 10**11)
+    pairs = Counter()
+    for r in out.collect():
+        pairs[r["l0"], r["r0"], r["side"]] += r["copies"]
+    assert pairs == {
+        (1, 1, "both"): 3, (1, 3, "both"): many - 3, (2, 3, "both"): 3, (2, None, "left_only"): 2,
+    }
+
+
+def test_nothing_is_written_before_rows_are_asked_for(hot_pair):
+    before = len(session._scratch)
+    result = tc.reconcile(*hot_pair, ["k"], strict_shape=False)
+    assert result.duplicate_keys.count() > 0
+    result.null_counts.collect()
+    result.schema_diff.collect()
+    assert len(session._scratch) == before
+    result.rows.count()
+    assert len(session._scratch) > before
 
 
 def test_hot_keys_of_both_sides_are_dealt_over_a_grid(spark):

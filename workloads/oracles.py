@@ -406,6 +406,7 @@ UNION ALL
 SELECT 'half', false, count(*), count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders""",
     "reconcile_text_codes": TEXT_CODES,
     "reconcile_near_copies": NEAR_COPIES,
+    "reconcile_noisy_copies": NEAR_COPIES,
     "contract_ingest": PLAIN_ORDERS,
     "contract_tables": (
         "SELECT 'customer' AS source, c_custkey AS id, c_name AS name, c_acctbal AS balance "

@@ -296,6 +296,19 @@ def reconcile_near_copies(spark, d):
     return rows.groupBy("L_ORDERKEY").agg(F.count("*").alias("reported"))
 
 
+def reconcile_noisy_copies(spark, d):
+    """As ``reconcile_near_copies``, with values moved by up to 0.95 of the tolerance, so that
+    many copies lie near the edge of it. How many rows are reported of each key."""
+    part = F.col("l_partkey")
+    base = F.floor(F.col("l_extendedprice") / 1000) * 1000.0 + 0.00004
+    lines = table(spark, d, "lineitem").withColumn("line", F.col("l_linenumber"))
+    old = lines.select("l_orderkey", "line", base.alias("price"))
+    moved = F.when(part % 11 == 0, base + 500.0).otherwise(base + part % 20 * 0.000005)
+    new = lines.select("l_orderkey", "line", moved.alias("price"))
+    rows = tc.reconcile(old, new, ["l_orderkey"]).rows
+    return rows.groupBy("L_ORDERKEY").agg(F.count("*").alias("reported"))
+
+
 def _ingested(spark, tables: dict[str, tuple[DataFrame, dict]]) -> dict[str, DataFrame]:
     """Tables as delimited files, read back and written under a contract."""
     base = scratch_path(spark, "ingest")
@@ -464,7 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         duplicate_keys_both_sides, mismatch_counts, key_null_counts, one_sided_rows,
         shape_and_summary, reconcile_date_range, date_range_rows, date_standardize,
         unparsed_dates, date_max, hash_sample, stratified_counts, reconcile_sampled,
-        reconcile_from_files, reconcile_text_codes, reconcile_near_copies, verdicts, stamped_report,
+        reconcile_from_files, reconcile_text_codes, reconcile_near_copies, reconcile_noisy_copies, verdicts, stamped_report,
         report_roundtrip, contract_ingest, contract_tables,
         archive_ingest, contract_violations, partitioned_write, tokenize_pages, tokenize_terms,
         tokenize_all_terms, term_presence, token_dictionary, token_collisions, restore_pages,
