@@ -488,13 +488,21 @@ def reconcile(
             null_counts=profile.null_counts,
         )
     prepared = (l, r)
-    twins = Twins(abs_tol, tuple(
+    numbers = [
         v for v, name, dtype in zip(vs, layout.values, layout.value_types)
-        # Whole numbers closer than 1 are equal.
-        if (abs_tol > 1 and isinstance(dtype, T.IntegralType)) or name in layout.text_numbers
-        or isinstance(dtype, (T.FractionalType, T.DecimalType))
-    ), {v: layout.text_numbers[name] for v, name, dtype in zip(vs, layout.values, layout.value_types)
-        if name in layout.text_numbers and isinstance(dtype, T.StringType)})
+        if name in layout.text_numbers or isinstance(dtype, T.NumericType)
+    ]
+    # Whole numbers closer than 1 are equal.
+    whole = tuple(
+        v for v, dtype in zip(vs, layout.value_types)
+        if abs_tol <= 1 and isinstance(dtype, T.IntegralType)
+    )
+    twins = Twins(
+        abs_tol, tuple(v for v in numbers if v not in whole),
+        {v: layout.text_numbers[name] for v, name, dtype in zip(vs, layout.values, layout.value_types)
+         if name in layout.text_numbers and isinstance(dtype, T.StringType)},
+        whole,
+    )
     null_ks = profile.keys_null_on_both_sides(ks)
 
     def join_unique(l: DataFrame, r: DataFrame) -> DataFrame:
@@ -523,10 +531,14 @@ def reconcile(
             rows = fan_out(l, r, ks, vs, null_ks, profile.max_copies, hot_rows)
         elif profile.few_repeat:
             unique, repeated = split_by_repetition(l, r, ks)
-            paired, cancelled = pair_copies(*repeated, ks, vs, profile.max_copies, hot_rows, twins)
+            paired, cancelled = pair_copies(
+                *repeated, ks, vs, profile.max_copies, hot_rows, twins, keep_equal
+            )
             rows = join_unique(*unique).unionByName(paired)
         else:
-            rows, cancelled = pair_copies(l, r, ks, vs, profile.max_copies, hot_rows, twins)
+            rows, cancelled = pair_copies(
+                l, r, ks, vs, profile.max_copies, hot_rows, twins, keep_equal
+            )
         return layout.compared(rows), cancelled
 
     return Reconciliation(

@@ -11,13 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablecheck.functions.compare import approx_equal
 from tablecheck.plans.folding import fold, unfold
 from tablecheck.plans.keys import broadcast_measured, key_counts, null_safe
-from tablecheck.session import pin
+from tablecheck.session import pin, stored
 
 # Rows of one key and the same exact values that one task matches at a time.
 MATCHED_ROWS = 100_000
@@ -28,12 +32,15 @@ PAIRS = "array<struct<l: int, r: int, n: bigint>>"
 class Twins:
     """Values that are compared within ``tolerance``: the columns ``near``.
 
-    ``patterns`` gives, for text columns among them, what reads as a number.
+    ``patterns`` gives, for text columns among them, what reads as a number. ``whole`` are
+    whole numbers, which a tolerance of up to 1 leaves equal or not; they are ordered with
+    the near ones.
     """
 
     tolerance: float
     near: tuple[str, ...]
     patterns: Mapping[str, str] = field(default_factory=dict)
+    whole: tuple[str, ...] = ()
 
     def number(self, v: str) -> Column:
         """The value as a finite double; null if it is only equal to itself."""
@@ -181,7 +188,7 @@ def _overlaps(
 
 
 def _best_pairs(tolerance: float) -> Callable:
-    """A function that pairs the rows of one group: lists of each near column's values and of
+    """A function that pairs the rows of each group: lists of each near column's values and of
     copies, of both sides, give ``(left place, right place, copies)``, null where there is none.
     """
 
@@ -204,7 +211,8 @@ def _best_pairs(tolerance: float) -> Callable:
             columns = [(numbers(columns[i]), numbers(columns[width + i])) for i in range(width)
                        if columns[i][0] is not None]
             # The column that tells most rows apart leads.
-            columns.sort(key=lambda sides: -cells(sides[0] + sides[1]))
+            if len(columns) > 1:
+                columns.sort(key=lambda sides: -cells(sides[0] + sides[1]))
             (lead_l, lead_r), *others = columns or [([0.0] * len(left_n), [0.0] * len(right_n))]
             lefts = sorted(range(len(left_n)), key=lead_l.__getitem__)
             rights = sorted(range(len(right_n)), key=lead_r.__getitem__)
@@ -235,7 +243,32 @@ def _best_pairs(tolerance: float) -> Callable:
         out += [(i, None, n) for i, n in enumerate(left_n) if n]
         return out + [(None, j, n) for j, n in enumerate(right_n) if n]
 
-    return pairs
+    # Whole batches become Python lists at once, which costs less than a call for each group.
+    def of_batch(groups: pa.Array) -> pa.Array:
+        lists = groups.flatten()
+        values = [a.values.to_pylist() for a in lists]
+        cuts = [a.offsets.to_pylist() for a in lists]
+        found, ends = [], [0]
+        for g in range(len(groups)):
+            found += pairs(*[v[c[g] : c[g + 1]] for v, c in zip(values, cuts)])
+            ends.append(len(found))
+        l, r, n = zip(*found) if found else ((), (), ())
+        rows = pa.StructArray.from_arrays(
+            [pa.array(l, pa.int32()), pa.array(r, pa.int32()), pa.array(n, pa.int64())],
+            names=["l", "r", "n"],
+        )
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    return of_batch
+
+
+def _marked(
+    rows: DataFrame, ks: Sequence[str], vs: Sequence[str], twins: Twins
+) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the exact values of near columns, and what rows that may meet share."""
+    marks = {v: f"x{v}" for v in twins.near}
+    marked = rows.select("*", *[twins.exact(v).alias(x) for v, x in marks.items()])
+    return marked, [*ks, *[v for v in vs if v not in twins.near], *marks.values()]
 
 
 def pair_near(
@@ -252,10 +285,7 @@ def pair_near(
     there a row close to a cut may miss its twin.
     """
     limit = min(hot_rows, MATCHED_ROWS)
-    marks = {v: f"x{v}" for v in twins.near}
-    same = [v for v in vs if v not in twins.near]
-    rows = surplus.select("*", *[twins.exact(v).alias(x) for v, x in marks.items()])
-    group = [*ks, *same, *marks.values()]
+    rows, group = _marked(surplus, ks, vs, twins)
     if max_copies <= limit:
         return _matched(rows, group, ks, vs, twins)
     rows = pin(rows, "surplus")
@@ -279,14 +309,90 @@ def pair_near(
             cut.withColumn("stretch", stretch).drop("first"), [*group, "stretch"], ks, vs, twins
         )
         met = met.unionByName(found)
-        hot = hot.select("*", *[twins.exact(v).alias(x) for v, x in marks.items()])
-    return met, left.unionByName(hot.drop(*marks.values()))
+        hot = _marked(hot, ks, vs, twins)[0]
+    return met, left.unionByName(hot.select(left.columns))
 
 
 def _matched(
     rows: DataFrame, group: Sequence[str], ks: Sequence[str], vs: Sequence[str], twins: Twins
 ) -> tuple[DataFrame, DataFrame]:
     """``pair_near`` for groups that a task can hold."""
+    return _met_and_left(_sorted_out(rows, group, vs, twins), ks, vs, twins)
+
+
+def _sorted_out(
+    rows: DataFrame, group: Sequence[str], vs: Sequence[str], twins: Twins
+) -> DataFrame:
+    """``_single_pairs``, written, and beside the rows of ``many`` what the search made of them."""
+    first = _single_pairs(rows, group, vs, twins)
+    read = rows.sparkSession.read.schema(first.schema)
+    path = stored(first, "surplus")
+    searched = _searched(read.parquet(path).where("many"), group, vs, twins)
+    return read.parquet(path, stored(searched, "twins"))
+
+
+def _single_pairs(
+    rows: DataFrame, group: Sequence[str], vs: Sequence[str], twins: Twins
+) -> DataFrame:
+    """``rows`` with ``met``, the copies that meet the only row of the other side, ``other``,
+    where a group has one row of each side; ``many`` where it has more rows of one and any of
+    the other, which take a search.
+
+    Most groups have one side or one row of each, and these need no list and no Python.
+    """
+    all_rows = Window.partitionBy(*group)
+    row = F.struct(*twins.near, "copies")
+    mine = F.col("from_left")
+
+    def only(side: Column, name: str) -> list[Column]:
+        return [
+            F.count_if(side).over(all_rows).alias(f"n_{name}"),
+            F.first(F.when(side, row), ignorenulls=True).over(all_rows).alias(f"one_{name}"),
+        ]
+
+    seen = rows.select("*", *only(mine, "l"), *only(~mine, "r"))
+    single = (F.col("n_l") == 1) & (F.col("n_r") == 1)
+    close = reduce(and_, [
+        F.col(f"x{v}").isNotNull() | approx_equal(
+            F.col(f"one_l.{v}"), F.col(f"one_r.{v}"), rows.schema[v].dataType, twins.tolerance,
+            twins.patterns.get(v),
+        )
+        for v in twins.near
+    ])
+    met = F.when(
+        mine.isNotNull() & single & close, F.least("one_l.copies", "one_r.copies")
+    ).otherwise(F.lit(0).cast("bigint"))
+    return seen.withColumn("met", met).select(
+        *rows.columns, "met",
+        F.when(mine & (F.col("met") > 0), F.col("one_r")).alias("other"),
+        (mine.isNotNull() & ~single & (F.col("n_l") > 0) & (F.col("n_r") > 0)).alias("many"),
+    )
+
+
+def _met_and_left(
+    rows: DataFrame, ks: Sequence[str], vs: Sequence[str], twins: Twins
+) -> tuple[DataFrame, DataFrame]:
+    """From ``_sorted_out`` rows: ``full_outer`` rows of what meets, and what is left."""
+
+    def value(v: str, mark: str) -> Column:
+        return F.col(f"other.{v}" if mark == "r" and v in twins.near else v).alias(f"{mark}{v[1:]}")
+
+    done = rows.where(~F.col("many"))
+    met = done.where(F.col("from_left") & (F.col("met") > 0)).select(
+        *ks, *[value(v, mark) for v in vs for mark in "lr"],
+        F.lit("both").alias("side"), F.col("met").alias("copies"),
+    )
+    left = done.where(F.col("copies") > F.col("met")).select(
+        *ks, "from_left", *vs, (F.col("copies") - F.col("met")).alias("copies")
+    )
+    return met, left
+
+
+def _searched(
+    rows: DataFrame, group: Sequence[str], vs: Sequence[str], twins: Twins
+) -> DataFrame:
+    """Groups with several rows of a side: a row as in ``_single_pairs`` for each pair, and for
+    each row, or rest of its copies, that found none."""
     row = F.struct(*twins.near, "copies")
     mine = F.col("from_left")
     grouped = rows.groupBy(*group).agg(
@@ -301,70 +407,60 @@ def _matched(
             F.col(f"x{v}").isNull(), F.transform(side, lambda x: x[v].cast(kind))
         ).otherwise(F.transform(side, lambda x: F.lit(None).cast(kind)))
 
-    best = F.udf(_best_pairs(twins.tolerance), PAIRS, useArrow=True)
-    pairs = best(
-        "ls.copies", "rs.copies", *[column(v, side) for side in ("ls", "rs") for v in twins.near]
-    )
-    both = (F.size("ls") > 0) & (F.size("rs") > 0)
-    found = grouped.where(both).withColumn("pairs", pairs).select("*", F.inline("pairs"))
+    best = F.arrow_udf(_best_pairs(twins.tolerance), PAIRS)
+    lists = [F.col("ls.copies"), F.col("rs.copies")]
+    lists += [column(v, side) for side in ("ls", "rs") for v in twins.near]
+    pairs = best(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(lists)]))
+    # Outer, as Spark would else filter on the pairs first, and so make them twice.
+    found = grouped.withColumn("pairs", pairs).select("*", F.inline_outer("pairs"))
     found = found.select(
         *group, F.get("ls", F.col("l")).alias("l"), F.get("rs", F.col("r")).alias("r"), "n"
     )
-    # Groups of one side, the most of them, stay out of Python. The exchange is shared.
-    alone = grouped.where(~both).select(
-        *group, (F.size("ls") > 0).alias("mine"), F.explode(F.concat("ls", "rs")).alias("row")
-    )
-    found = found.unionByName(alone.select(
-        *group, F.when(F.col("mine"), F.col("row")).alias("l"),
-        F.when(~F.col("mine"), F.col("row")).alias("r"), F.col("row.copies").alias("n"),
-    ))
-
-    def value(v: str, mark: str) -> Column:
-        return F.col(f"{mark}.{v}") if v in twins.near else F.when(F.col(mark).isNotNull(), F.col(v))
-
-    side = (
-        F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only")
-        .otherwise("both")
-    )
-    whole = pin(
-        found.select(
-            *ks, *[value(v, mark).alias(f"{mark}{v[1:]}") for v in vs for mark in "lr"],
-            side.alias("side"), F.col("n").alias("copies"),
-        ),
-        "twins",
-    )
-    mark = F.col("side") == "left_only"
-    left = whole.where("side <> 'both'").select(
-        *ks, mark.alias("from_left"),
-        *[F.when(mark, F.col(f"l{v[1:]}")).otherwise(F.col(f"r{v[1:]}")).alias(v) for v in vs],
-        "copies",
-    )
-    return whole.where("side = 'both'"), left
+    both = F.col("l").isNotNull() & F.col("r").isNotNull()
+    made = {
+        **{v: F.when(F.col("l").isNull(), F.col(f"r.{v}")).otherwise(F.col(f"l.{v}")) for v in twins.near},
+        "from_left": F.col("l").isNotNull(), "copies": F.col("n"),
+        "met": F.when(both, F.col("n")).otherwise(F.lit(0).cast("bigint")),
+        "other": F.when(both, F.col("r")), "many": F.lit(False),
+        "equal": F.lit(0).cast("bigint"),
+    }
+    return found.select(*[made.get(c, F.col(c)).alias(c) for c in rows.columns])
 
 
 def pair_copies(
     left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str],
-    max_copies: int, hot_rows: int, twins: Twins = Twins(0.0, ()),
+    max_copies: int, hot_rows: int, twins: Twins = Twins(0.0, ()), keep_equal: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The paired remainder, as ``full_outer`` rows, and the rows that cancelled out.
 
     The second frame is ``(keys, values, copies)``. Whole rows are shuffled for the counts;
     what did not cancel is shuffled again, first to the rows within the tolerance, where
-    values may differ within one, then in value order.
+    values may differ within one, then in value order. Without a hot key the first shuffle
+    is by key and serves the rows within the tolerance too. ``keep_equal`` says that the
+    second frame will be read: it is then written with what did not cancel.
     """
-    folded = fold(left, right, ks, vs)
+    near = twins.tolerance > 0 and bool(twins.near)
+    by_key = near and max_copies <= min(hot_rows, MATCHED_ROWS)
+    folded = fold(left, right, ks, vs, by_key)
     n_left, n_right = F.col("n_left"), F.col("n_right")
-    cancelled = folded.select(*ks, *vs, F.least(n_left, n_right).alias("copies")).filter(
-        "copies > 0"
+    equal = F.least(n_left, n_right)
+    surplus = folded.select(
+        *ks, *vs, F.when(n_left != n_right, n_left > n_right).alias("from_left"),
+        F.abs(n_left - n_right).alias("copies"), equal.alias("equal"),
     )
-    surplus = folded.filter(n_left != n_right).select(
-        *ks, *vs, (n_left > n_right).alias("from_left"), F.abs(n_left - n_right).alias("copies")
-    )
-    met = None
-    if twins.tolerance > 0 and twins.near:
-        met, surplus = pair_near(surplus, ks, vs, twins, max_copies, hot_rows)
+    if by_key and keep_equal:
+        marked, group = _marked(surplus, ks, vs, twins)
+        cancelled = _sorted_out(marked, group, vs, twins)
+        met, surplus = _met_and_left(cancelled, ks, vs, twins)
+    else:
+        cancelled, met = surplus, None
+        surplus = surplus.where("from_left IS NOT NULL").drop("equal")
+        if near:
+            met, surplus = pair_near(surplus, ks, vs, twins, max_copies, hot_rows)
+    cancelled = cancelled.where("equal > 0").select(*ks, *vs, F.col("equal").alias("copies"))
     # Exactly compared values first, so that near ones cannot reorder the others.
-    order = [v for v in vs if v not in twins.near] + [v for v in vs if v in twins.near]
+    last = {*twins.near, *twins.whole}
+    order = [v for v in vs if v not in last] + [v for v in vs if v in last]
     paired = pair_in_order(surplus, ks, vs, order, max_copies, hot_rows)
     paired = paired if met is None else met.unionByName(paired)
     names = [c for c in paired.columns if c != "copies"]

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 UNFOLD_STEP = 100_000
 
 
-def fold(left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str]) -> DataFrame:
+def fold(
+    left: DataFrame, right: DataFrame, ks: Sequence[str], vs: Sequence[str], by_key: bool = False
+) -> DataFrame:
     """``(keys, values, n_left, n_right)``: how often each whole row occurs on each side.
 
     Grouping by the whole row spreads a hot key over all tasks, and equal copies are
-    counted before the shuffle.
+    counted before the shuffle. ``by_key`` is for tables without a hot key: rows are
+    shuffled by their keys, so that what is done within a key next needs no other shuffle.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     tagged = left.select(*ks, *vs, one.alias("l"), none.alias("r")).unionByName(
         right.select(*ks, *vs, none.alias("l"), one.alias("r"))
     )
+    if by_key:
+        tagged = tagged.repartition(*ks)
     return tagged.groupBy(*ks, *vs).agg(
         F.sum("l").alias("n_left"), F.sum("r").alias("n_right")
     )

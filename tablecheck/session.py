@@ -121,12 +121,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+def stored(df: DataFrame, label: str = "table") -> str:
+    """Write ``df`` once to the shared scratch folder; its path there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
 def pin(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts lineage: later stages re-read files instead of re-running joins, and lost
     executors cost nothing that was already written.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, label))

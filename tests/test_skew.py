@@ -7,6 +7,7 @@ from decimal import Decimal
 from itertools import product
 from random import Random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -273,6 +274,61 @@ def test_decimals_and_texts_meet_by_their_own_difference(spark):
     assert [(r["T_OLD"], r["T_NEW"], r["D_COMPARE"]) for r in rows] == [("0012", "12", False)]
 
 
+def logged_pairs(monkeypatch, log):
+    """Every call of the Python search writes its number of groups to ``log``."""
+    plain = copies._best_pairs
+
+    def logging(tolerance):
+        search = plain(tolerance)
+
+        def of_batch(groups: pa.Array) -> pa.Array:
+            with open(log, "a") as f:
+                f.write(f"{len(groups)}\n")
+            return search(groups)
+
+        return of_batch
+
+    monkeypatch.setattr(copies, "_best_pairs", logging)
+    return lambda: sum(map(int, log.read_text().split())) if log.exists() else 0
+
+
+def test_only_groups_with_several_rows_of_a_side_are_searched_once(spark, tmp_path, monkeypatch):
+    searched = logged_pairs(monkeypatch, tmp_path / "log")
+    # Two rows a key; the whole number tells them apart, so each has one candidate.
+    left = spark.range(400).selectExpr("id div 2 AS k", "id % 2 AS line", "id * 1.0D AS a")
+    right = left.selectExpr("k", "line", "a + IF(k % 3 = 0, 0.5D, 0.00001D) AS a")
+    reported = tc.reconcile(left, right, ["k"]).rows.collect()
+    assert {r["K"] for r in reported} == {str(k) for k in range(0, 200, 3)}
+    assert len(reported) == 2 * 67 and searched() == 0
+    # Without it, a key's two rows and two candidates are searched, and once.
+    reported = tc.reconcile(left.drop("line"), right.drop("line"), ["k"]).rows.collect()
+    assert len(reported) == 2 * 67 and searched() == 200
+
+
+def test_single_rows_meet_with_their_copies(spark):
+    left = [("a", 1.0, "x")] * 5 + [("b", float("nan"), "x")] * 2 + [("c", 1.0, "x")] * 2
+    right = [("a", 1.00001, "x")] * 3 + [("b", float("nan"), "x")] + [("c", 1.00001, "y")] * 2
+    schema = "k string, a double, s string"
+    pair = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    rows = tc.reconcile(*pair, ["k"], strict_shape=False, keep_equal=True).rows.collect()
+    kinds = Counter((r["K"], r["_SIDE"], r["A_COMPARE"], r["S_COMPARE"]) for r in rows)
+    assert kinds == {
+        ("a", "both", True, True): 3, ("a", "left_only", False, False): 2,
+        ("b", "both", True, True): 1, ("b", "left_only", False, False): 1,
+        ("c", "both", True, False): 2,
+    }
+
+
+def test_equal_copies_are_kept_without_reading_the_inputs_again(spark, tmp_path):
+    at = str(tmp_path / "left")
+    spark.range(300).selectExpr("id % 100 AS k", "id * 1.0D AS a").write.parquet(at)
+    left = spark.read.parquet(at)
+    right = left.selectExpr("k", "IF(a < 90, a + 0.5D, a) AS a")
+    rows = tc.reconcile(left, right, ["k"], keep_equal=True).rows
+    assert rows.count() == 300
+    assert not [f for f in rows.inputFiles() if at in f]
+
+
 def test_a_hot_key_of_near_values_is_cut_into_stretches(spark, monkeypatch):
     random = Random(5)
     values = [round(0.013 * i, 6) for i in range(600)]
