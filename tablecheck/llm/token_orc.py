@@ -30,8 +30,9 @@ PART_ROWS = 200_000
 BLOCK_CHARS = 2_000_000
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
-#: Marks that the split takes for words of their own behind letters.
-STOPS = ".,;:!?"
+#: Marks that the split takes for words of their own behind letters. An apostrophe may belong
+#: to letters behind it.
+STOPS = ".,;:!?*#$%&|<>()[]{}/+=~^@_\"-"
 #: Characters below it are in composed form and none of them is a mark.
 COMPOSED = "\u0300"
 
@@ -67,8 +68,9 @@ def encode_words(source: str):
             np.array(e.ids, "<u4")
             for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
-    known: dict[str, bytes] = {}
     model, symbols = tokenizer.model, byte_symbols()
+    added = "".join(t["content"] for t in spec["added_tokens"])
+    marks = "".join(c for c in STOPS if c not in added)
 
     def plain_word(word: str) -> bytes:
         """Ids of lower-case letters, which all rules leave as they are."""
@@ -81,7 +83,7 @@ def encode_words(source: str):
 
     def word_ids(word: str) -> bytes:
         # Letters, and full stops and the like behind them, are split from each other.
-        letters = word.rstrip(STOPS)
+        letters = word.rstrip(marks)
         low = letters.lower()
         if not letters.isalpha() or not (low.isascii() or max(letters + low) < COMPOSED):
             return whole(word)
@@ -94,12 +96,17 @@ def encode_words(source: str):
             known[stops] = whole(stops)
         return known[low] + known[stops]
 
+    class Known(dict):
+        def __missing__(self, word: str) -> bytes:
+            ids = self[word] = word_ids(word)
+            return ids
+
+    known = Known()
+
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(known) > REMEMBERED:
             known.clear()
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        for word in set().union(*parts).difference(known):
-            known[word] = word_ids(word)
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
 
     return encode

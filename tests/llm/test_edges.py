@@ -61,6 +61,16 @@ def test_random_texts_encode_like_the_library(spark):
     assert [x.tolist() for x in words(texts)] == brute.token_ids(texts, "word_bpe_49k.json")
 
 
+def test_words_before_any_marks_encode_like_the_library():
+    assert set("*#$%&") < set(token_orc.STOPS) and "'" not in token_orc.STOPS
+    rng = random.Random(4)
+    alphabet = "abAZéÉßΣ中0 \n'st" + token_orc.STOPS
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["Mark*** né%%% <|endoftext|> a<|endoftext|> b|> c*'s d's* e'*", "***", ""]
+    words = token_orc.encode_words(bpe.read_vocabulary(WORD))
+    assert [x.tolist() for x in words(texts)] == brute.token_ids(texts, "word_bpe_49k.json")
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError, match="plain byte-level"):
         bpe.load_merges(bpe.read_vocabulary(WORD))
